@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": exact_dedup.op5_exact_dedup}
+    return {
+        "op2_token_store": token_store.op2_token_store,
+        "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, token_store
+from . import exact_dedup, packing, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_store": token_store.op2_token_store,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     }
 

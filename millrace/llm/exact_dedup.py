@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, scratch, texts_of
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Else every partition's store sets 4 MB of disk aside for its manifest.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -51,8 +55,9 @@ def streamed_state(spark: SparkSession, path: str, files_per_batch: int | None =
     """Feed the log at ``path`` through the keyed state; returns digest, keep_id, its locator and group_size."""
     log = spark.read.parquet(path)
     work = scratch(spark, "dedup-state")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _STATE_STORE}
+    for key, value in _STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         reader = spark.readStream.schema(log.schema)
         if files_per_batch:
@@ -66,7 +71,8 @@ def streamed_state(spark: SparkSession, path: str, files_per_batch: int | None =
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(commit).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     if query.lastProgress is None:  # nothing ever arrived
         return log.select("digest", F.col("doc_id").alias("keep_id"), "locator", F.lit(1).cast("long").alias("group_size")).limit(0)
     updates = spark.read.parquet(f"{work}/updates")

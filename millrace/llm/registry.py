@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, packing, token_store
+from . import decontamination, exact_dedup, near_dedup, packing, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
+        "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
     }
 
 

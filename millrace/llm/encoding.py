@@ -1,9 +1,11 @@
 """Whole texts to token ids with the tokenizers library, each distinct piece encoded once per worker.
 
 Both vocabularies used here split a text into words before they merge, and a word never crosses a
-space (U+0020) that a non-space character follows.  So a text is cut at those spaces, every piece
-is encoded by the library, and the ids of pieces seen before come from a bounded table.  Texts that
-hold a special-token string are encoded whole.
+space (U+0020) that a non-space character follows, nor the border of a run of letters (but for
+contractions, which begin with an apostrophe).  So a text is cut at those spaces, a piece not seen
+before at its runs of letters, every part is encoded by the library, and the ids of parts seen
+before come from a bounded table of two generations.  Texts that hold a special-token string are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -12,21 +14,80 @@ import os
 import re
 from array import array
 
+import regex
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CUT = re.compile(r" (?=\S)")
+_PARTS = regex.compile(r"\p{L}+|\P{L}+")
 _encoders: dict[str, PieceEncoder] = {}
 
 
+class _Joined(Exception):
+    """A piece that begins with white space belongs to what stands before it."""
+
+
+class _Known(dict):
+    """ids by string; two generations of at most ``entries`` strings, used ones move to the younger."""
+
+    def __init__(self, plain, prefix: str, entries: int, longest: int):
+        super().__init__()
+        self.plain, self.prefix, self.entries, self.longest, self.older = plain, prefix, entries, longest, {}
+
+    def whole(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.plain(self.prefix + text)
+        if len(text) <= self.longest:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
+
+    __missing__ = whole
+
+
+class _Pieces(_Known):
+    """ids of a space and a piece that follows it."""
+
+    def __init__(self, plain, entries: int, longest: int):
+        super().__init__(plain, " ", entries, longest)
+        self.inner = _Known(plain, "", entries // 4, longest)
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace():
+            raise _Joined
+        if piece.isalpha():
+            return self.whole(piece)
+        if piece[-1] in ".," and _safe(piece[-2:-1]) and piece[:-1].isalpha():
+            return self[piece[:-1]] + self.inner[piece[-1]]
+        parts = _PARTS.findall(piece)
+        if len(parts) == 1:
+            return self.whole(piece)
+        for n, part in enumerate(parts):
+            last = n == len(parts) - 1
+            if part[0].isalpha():
+                if not last and not _safe(part[-1]):
+                    return self.whole(piece)
+            elif not part.isascii() or not last and (part[-1] == "'" or len(part) > 1 and part[-2:].isspace()):
+                return self.whole(piece)
+        return self[parts[0]] + b"".join([self.inner[x] for x in parts[1:]])
+
+
+def _safe(letter: str) -> bool:
+    """A letter that normalising and lower-casing leave one letter."""
+    return "" < letter < "\u0250" and letter != "\u0130"
+
+
 class PieceEncoder:
     """ids of a text as little-endian unsigned 32-bit integers, without special tokens."""
 
-    def __init__(self, path: str, entries: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, entries: int = 700_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._entries, self._longest = entries, longest
-        self._known: dict[str, bytes] = {}
+        self._known = _Pieces(self._plain, entries, longest)
         added = [str(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.vocabulary = self._tokenizer.get_vocab_size()
@@ -34,28 +95,18 @@ class PieceEncoder:
     def _plain(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """ids of a space and the piece; only pieces that may stand alone are remembered."""
-        ids = self._plain(" " + piece)
-        if len(piece) <= self._longest:
-            if len(self._known) >= self._entries:
-                self._known.clear()
-            self._known[piece] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if "<|" in text and self._special(text):
             return self._plain(text)
-        known = self._known
-        cut = text.split(" ")
+        known, cut = self._known, text.split(" ")
         try:
             return self._plain(cut[0]) + b"".join([known[x] for x in cut[1:]])
-        except KeyError:
+        except _Joined:
             pass
         cut = _CUT.split(text)
-        return self._plain(cut[0]) + b"".join([known.get(x) or self._piece(x) for x in cut[1:]])
+        return self._plain(cut[0]) + b"".join([known[x] for x in cut[1:]])
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, near_dedup, packing, token_store
+from . import decontamination, exact_dedup, near_dedup, packing, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_store": token_store.op2_token_store,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
         "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
     }

@@ -8,10 +8,10 @@ Learning (on at most about ``sample_rows`` labelled rows, drawn by hash; ``label
 * terms are word beginnings of 3 to ``longest`` letters and whole words that at least ``least``
   toxic texts and a ``share`` of them hold; of each, the number of distinct toxic and clean texts (texts that share a minimum shingle hash count once,
   so a group of near copies does not make its words look telling);
-* the shortest beginnings that are telling enough enter the lexicon, lengthened while the toxic
-  texts agree on the next letter; the weight is the log odds ratio;
-* words that a lexicon entry begins but that clean texts use are exception phrases: they match the
-  automaton too and cancel the entry;
+* terms that are telling enough (log odds ratio and log likelihood ratio) enter the lexicon; the
+  weight is the log odds ratio, less the weight of shorter entries that match with it;
+* words that a lexicon entry begins but that clean texts hold as readily are exception phrases:
+  they match the automaton too and cancel the entry;
 * a logistic curve over two length-normalised measures, log of the weight sum and log of the weight
   sum per hundred words, is fitted by Newton steps, giving a score between 0 and 1.
 
@@ -149,25 +149,55 @@ def _counted(sample: DataFrame, longest: int, least: int) -> dict[str, tuple[int
     return {t: (n, clean[t]) for t, n in known.items()}
 
 
-def _lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, odds: float) -> tuple[dict[str, float], list[str]]:
+def _lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, odds: float, evidence: float) -> dict[str, float]:
+    """Entry and weight: the log odds ratio, less what its shorter entries bring already."""
+    next_letters: dict[str, list[str]] = {}
+    for term in counts:
+        next_letters.setdefault(term[:-1], []).append(term[-1])
+
     def weight(term: str) -> float:
         t, c = counts[term]
         return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
 
-    nexts: dict[str, list[str]] = {}
-    for term in counts:
-        nexts.setdefault(term[:-1], []).append(term)
+    def likelihood(term: str) -> float:
+        """Log likelihood ratio of the term's spread over both kinds against one rate for all."""
+        (t, c), out = counts[term], 0.0
+        rate = (t + c) / (toxic + clean)
+        for held, of in ((t, toxic), (c, clean)):
+            for seen, expected in ((held, of * rate), (of - held, of * (1 - rate))):
+                if seen > 0:
+                    out += 2 * seen * math.log(seen / max(expected, 1e-9))
+        return out
+
+    telling = {t: n for t in counts if weight(t) >= odds and (n := likelihood(t)) >= evidence}
+    above: dict[str, float] = {}  # total weight that a match of a chosen term brings, with its shorter entries
     chosen: dict[str, float] = {}
-    for term in sorted(counts, key=len):
-        if any(term[:k] in chosen for k in range(4, len(term))) or weight(term) < odds:
-            continue
-        while longer := [x for x in nexts.get(term, []) if counts[x][0] >= 0.9 * counts[term][0]]:
-            term = longer[0]
-        if not any(term[:k] in chosen for k in range(4, len(term))):
-            chosen[term] = weight(term)
-    # Whole words under an entry that clean texts use more than chance allows.
-    spared = [t for t in counts if t.endswith(" ") and t not in chosen and weight(t) < 0 and any(t[:k] in chosen for k in range(4, len(t)))]
-    return chosen, sorted(spared)
+    for term in sorted(telling, key=lambda t: (len(t), t)):
+        if any(counts[x][0] >= 0.95 * counts[term][0] for x in (term + c for c in next_letters.get(term, ())) if x in telling):
+            continue  # the longer one says the same
+        before = next((above[term[:k]] for k in range(len(term) - 1, 3, -1) if term[:k] in above), 0.0)
+        if weight(term) - before >= 1.0:
+            above[term] = weight(term)
+            chosen[term] = weight(term) - before
+    return chosen
+
+
+def _exceptions(sample: DataFrame, entries: dict[str, float], toxic: int, clean: int, least: int) -> list[str]:
+    """Whole words under an entry that clean texts hold at least as readily as toxic ones."""
+    schema = pa.schema([("word", pa.string()), ("family", pa.int64()), ("toxic", pa.bool_())])
+
+    def spread(batches):
+        for batch in pieces(batches, 256):
+            rows = {}
+            for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                words = {w for w in (f" {w} " for w in set(fold(text).split())) if any(w[:k] in entries for k in range(4, len(w)))}
+                if words:
+                    family = _family(text)
+                    rows.update(dict.fromkeys((w, family, mark) for w in words))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    used = sample.mapInArrow(spread, "word string, family long, toxic boolean").groupBy("word").agg(F.countDistinct(F.when(F.col("toxic"), F.col("family"))).alias("t"), F.countDistinct(F.when(~F.col("toxic"), F.col("family"))).alias("c"))
+    return sorted(r.word for r in used.where((F.col("c") >= least) & (F.col("t") * clean <= F.col("c") * toxic)).collect())  # bounded by the sample
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> tuple[float, float, float]:
@@ -179,7 +209,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) ->
     return tuple(float(b) for b in beta)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, longest: int = 8, least: int = 6, share: float = 0.02, odds: float = 4.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, longest: int = 8, least: int = 6, share: float = 0.02, odds: float = 1.8, evidence: float = 30.0) -> Model:
     """A model from labelled rows of (doc_id, text) and (doc_id, toxic)."""
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"] == 1).alias("toxic")).where("doc_id is not null and toxic is not null").distinct()
     part = min(1.0, sample_rows / max(1, marks.count()))
@@ -190,8 +220,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, longest
         if len(kinds) < 2:
             return Model({}, [], (-30.0, 0.0, 0.0))
         counts = _counted(sample, longest, max(least, int(share * kinds[True])))
-        weights, exceptions = _lexicon(counts, kinds[True], kinds[False], odds)
-        model = Model(weights, exceptions, (0.0, 0.0, 0.0))
+        weights = _lexicon(counts, kinds[True], kinds[False], odds, evidence)
+        model = Model(weights, _exceptions(sample, weights, kinds[True], kinds[False], least), (0.0, 0.0, 0.0))
 
         def measured(batches):
             automaton = model.automaton()

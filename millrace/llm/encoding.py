@@ -30,6 +30,8 @@ class _Joined(Exception):
 class _Known(dict):
     """ids by string; two generations of at most ``entries`` strings, used ones move to the younger."""
 
+    word = None  # a shorter way for words of plain letters
+
     def __init__(self, plain, prefix: str, entries: int, longest: int):
         super().__init__()
         self.plain, self.prefix, self.entries, self.longest, self.older = plain, prefix, entries, longest, {}
@@ -37,7 +39,8 @@ class _Known(dict):
     def whole(self, text: str) -> bytes:
         ids = self.older.get(text)
         if ids is None:
-            ids = self.plain(self.prefix + text)
+            word = self.word
+            ids = array("I", word(text)).tobytes() if word and text.isalpha() and _safe(max(text)) and "\u0130" not in text else self.plain(self.prefix + text)
         if len(text) <= self.longest:
             if len(self) >= self.entries:
                 self.older = dict(self)
@@ -51,8 +54,9 @@ class _Known(dict):
 class _Pieces(_Known):
     """ids of a space and a piece that follows it."""
 
-    def __init__(self, plain, entries: int, longest: int):
+    def __init__(self, plain, word, entries: int, longest: int):
         super().__init__(plain, " ", entries, longest)
+        self.word = word
         self.inner = _Known(plain, "", entries // 4, longest)
 
     def __missing__(self, piece: str) -> bytes:
@@ -80,6 +84,28 @@ def _safe(letter: str) -> bool:
     return "" < letter < "\u0250" and letter != "\u0130"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, others from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
+class _Words:
+    """The library's merges alone, for words of plain letters: normalising and splitting would leave them whole."""
+
+    def __init__(self, tokenizer):
+        self._model, self._letters = tokenizer.model, _byte_letters()
+        self._lower = tokenizer.encode("QA", add_special_tokens=False).ids == tokenizer.encode("qa", add_special_tokens=False).ids
+        self._space = "" if not tokenizer.encode(" ", add_special_tokens=False).ids else " "
+        probes = ("word", "Anblewh", "ererinning", "Éléâtre", "ciónñz", "größeß", "ÅÄÖ", "i", "xqzkj")
+        self.usable = all(self.ids(x) == tokenizer.encode(" " + x, add_special_tokens=False).ids for x in probes)
+
+    def ids(self, word: str) -> list[int]:
+        text = self._space + (word.lower() if self._lower else word)
+        return [t.id for t in self._model.tokenize(text.encode().decode("latin-1").translate(self._letters))]
+
+
 class PieceEncoder:
     """ids of a text as little-endian unsigned 32-bit integers, without special tokens."""
 
@@ -87,7 +113,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known = _Pieces(self._plain, entries, longest)
+        words = _Words(self._tokenizer)
+        self._known = _Pieces(self._plain, words.ids if words.usable else None, entries, longest)
         added = [str(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.vocabulary = self._tokenizer.get_vocab_size()

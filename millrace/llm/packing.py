@@ -196,5 +196,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:
     return ranked.mapInArrow(place, PLACED_DDL)
 
 
+def pack_words(docs: DataFrame) -> DataFrame:
+    """``pack`` with the public 49k vocabulary and sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))

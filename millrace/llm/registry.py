@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, near_dedup, packing, token_store, toxicity
+from . import decontamination, exact_dedup, html_text, near_dedup, packing, token_rollup, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_rollup": token_rollup.op1_token_rollup,
         "op2_token_store": token_store.op2_token_store,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_html_text": html_text.op7_html_text,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
         "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL}
+    return {"op1_token_rollup": token_rollup.SQL, "op5_exact_dedup": exact_dedup.SQL}

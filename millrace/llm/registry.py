@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_text, near_dedup, packing, token_rollup, token_store, toxicity
+from . import decontamination, exact_dedup, html_text, near_dedup, packing, repeated_strings, token_rollup, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_html_text": html_text.op7_html_text,
+        "op8_repeated_strings": repeated_strings.op8_repeated_strings,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
         "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
     }

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_text, near_dedup, packing, repeated_strings, token_rollup, token_store, toxicity
+from . import class_lm, decontamination, exact_dedup, html_text, near_dedup, packing, repeated_strings, token_rollup, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_rollup": token_rollup.op1_token_rollup,
         "op2_token_store": token_store.op2_token_store,
+        "op3_class_lm": class_lm.op3_class_lm,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_toxicity": toxicity.op6_toxicity,

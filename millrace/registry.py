@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .queries import chat_queries, document_queries
+
 
 def queries():
-    return {}
+    return document_queries.QUERIES | chat_queries.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return document_queries.SQL | chat_queries.SQL

@@ -1,0 +1,14 @@
+"""Scratch folders that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder name under spark.checkpoint.dir, or under the local temporary folder where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/millrace-shared"
+    return f"{root}/{label}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import NO_CONTEXT, SETTINGS
-from ..functions.text import strip
+from ..functions.text import features, strip
 from ..functions.vectors import postings, squared_norms
 
 #: Rows of query postings that are broadcast at once, and query vectors held by a task at once.
@@ -26,8 +27,69 @@ def blocks(df: DataFrame, key: str, rows: int, most: int) -> list[DataFrame]:
 def hashed_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k, dimension: int = SETTINGS.dimension) -> DataFrame:
     """(query_id, rank, distance, id, source, chunk_index): cosine distance of hashed term vectors, ties by source, index and id.
 
-    Queries are (query_id, query).  Chunks stay where they are: the query side's postings are
-    broadcast, in blocks of a checked size, and each partition keeps its best k before the shuffle.
+    Queries are (query_id, query), chunks (id, source, chunk_index, content).  Chunks are read once
+    and never shuffled: blocks of at most ``BLOCK_VECTORS`` query vectors travel with the tasks, a
+    chunk's buckets are summed in place, and each batch passes on its best k per query.  A chunk
+    without terms has distance NaN, which sorts last.
+    """
+    schema = pa.schema([("query_id", pa.int64()), ("distance", pa.float64()), ("id", pa.string()), ("source", pa.string()), ("chunk_index", pa.int32())])
+    parts = []
+    for part in blocks(queries, "query_id", queries.count(), BLOCK_VECTORS):
+        asked = part.select("query_id", features(F.coalesce("query", F.lit(""))).alias("terms")).collect()  # one block of queries
+        if not asked:
+            continue
+        names, table = [r.query_id for r in asked], np.zeros((len(asked), dimension), dtype=np.int64)
+        for row, r in zip(table, asked, strict=True):
+            _add_terms(row, r.terms, {}, dimension)
+        lengths = np.sqrt((table * table).sum(axis=1))
+
+        def search(batches, names=names, table=table, lengths=lengths):
+            known: dict[str, int] = {}
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                rows = np.zeros((batch.num_rows, dimension), dtype=np.int32)
+                for row, terms in zip(rows, batch.column("terms").to_pylist(), strict=True):
+                    _add_terms(row, terms, known, dimension)
+                wide = rows.astype(float)  # whole numbers, exact in doubles
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    distance = 1 - (table.astype(float) @ wide.T) / (lengths[:, None] * np.sqrt((wide * wide).sum(axis=1))[None, :])
+                ids, sources, places = (batch.column(c).to_pylist() for c in ("id", "source", "chunk_index"))
+                order = np.where(np.isnan(distance), np.inf, distance)
+                cut = np.partition(order, min(k, batch.num_rows) - 1, axis=1)[:, min(k, batch.num_rows) - 1]
+                out = []
+                for q, (name, limit) in enumerate(zip(names, cut, strict=True)):
+                    near = [(order[q, i], sources[i] is None, sources[i] or "", places[i] is None, places[i] or 0, ids[i], i) for i in np.flatnonzero(order[q] <= limit)]
+                    out += [(name, float(distance[q, x[-1]]), x[-2], sources[x[-1]], places[x[-1]]) for x in sorted(near)[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], f.type) for n, f in enumerate(schema)], schema=schema)
+
+        terms = chunked.select("id", "source", "chunk_index", features(F.coalesce("content", F.lit(""))).alias("terms"))
+        parts.append(terms.mapInArrow(search, "query_id long, distance double, id string, source string, chunk_index int"))
+    if not parts:
+        return chunked.sparkSession.createDataFrame([], "query_id long, rank int, distance double, id string, source string, chunk_index int")
+    return _ranked(reduce(DataFrame.unionByName, parts), k)
+
+
+def _add_terms(row: np.ndarray, terms: list[str], known: dict[str, int], dimension: int) -> None:
+    """Add each term's sign to its bucket: the first 8 bytes of its MD5 digest, big-endian, give bucket and parity."""
+    if not terms:
+        return
+    if len(known) > 500_000:
+        known.clear()
+    values = []
+    for t in terms:
+        h = known.get(t)
+        if h is None:
+            h = known[t] = int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big")
+        values.append(h)
+    h = np.array(values, dtype=np.uint64)
+    np.add.at(row, (h % np.uint64(dimension)).astype(np.int64), np.where(h & np.uint64(1), 1, -1).astype(row.dtype))
+
+
+def postings_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k, dimension: int = SETTINGS.dimension) -> DataFrame:
+    """The same by joining postings on their bucket, all in SQL expressions; chunks that share no bucket with a query have no row.
+
+    The query side's postings are broadcast, in blocks of a checked size.
     """
     q = postings(queries, "query_id", "query", dimension).persist()
     c = postings(chunked, "id", "content", dimension)

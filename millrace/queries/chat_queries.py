@@ -8,7 +8,7 @@ from ..config import FALLBACK_PROMPT, GREETING, NO_CONTEXT, REFUSAL, SYSTEM_PROM
 from ..functions.text import daypart, is_greeting, normal_username, retrieval_query, role_of
 from ..operators import chat as C
 from ..operators.plugins import extractive, generate
-from ..operators.retrieval import context, hashed_topk
+from ..operators.retrieval import context, hashed_topk, postings_topk
 from ..plans import pipelines as P
 from ..streaming import chat_stream as R
 from .fixtures import MESSAGES_SQL, RAW_SQL, SESSIONS_SQL, USERS_SQL, chunk_table, chunks_sql, messages, postings_sql, questions, sessions, strip_sql, table, token_stream, users
@@ -53,6 +53,11 @@ def retrieve_hashed_topk(spark, sf_dir):
     return _hits(spark, sf_dir)
 
 
+@query(f"{_TOPK_SQL} SELECT query_id, rank, distance, id, source, chunk_index FROM hits")
+def retrieve_postings_topk(spark, sf_dir):
+    return postings_topk(questions(spark, sf_dir), chunk_table(spark, sf_dir))
+
+
 @query(f"{_CONTEXT_SQL} SELECT query_id, query, context FROM contexts")
 def retrieve_hashed_context(spark, sf_dir):
     return context(questions(spark, sf_dir), _hits(spark, sf_dir), chunk_table(spark, sf_dir)).drop("sources")

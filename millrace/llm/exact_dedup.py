@@ -47,6 +47,7 @@ def arrival_log(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
         docs["doc_id"].cast("long").alias("doc_id"),
         digest(text).alias("digest"),
         F.struct(F.input_file_name().alias("file"), F.octet_length(text).alias("n_bytes")).alias("locator"),
+        *([] if digest is sha256 else [sha256(text).alias("sha")]),
     ).write.parquet(path)
     return path
 
@@ -94,25 +95,27 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
     found = texts.join(hits.distinct(), texts["doc_id"].eqNullSafe(hits["doc_id"])).select("digest", texts["doc_id"], "text").where(digest(F.col("text")) == F.col("digest"))
     checked = found.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
     collided = checked.where(~F.col("same")).select("digest")
+    sha = "digest" if digest is sha256 else "sha"
     out = log.join(repeated, "digest", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.col(sha).alias("sha"),
         "digest",
     )
     if not collided.isEmpty():
         by_text = found.join(collided, "digest").select("digest", "doc_id", sha256(F.col("text")).alias("exact"), "text")
         groups = by_text.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        again = by_text.join(groups, ["digest", "text"]).select("doc_id", "keep_id", "group_size", F.col("exact").alias("digest"))
-        out = out.join(collided, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "digest").unionByName(again)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        again = by_text.join(groups, ["digest", "text"]).select("doc_id", "keep_id", "group_size", F.col("exact").alias("sha"))
+        out = out.join(collided, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "sha").unionByName(again)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id stays in its group, with all their columns."""
-    stay = exact_groups(docs, **options).where("kept").select(F.col("doc_id").alias("_stay"), "text_sha256")
+    stay = exact_groups(docs, **options).where("kept").select(F.col("doc_id").alias("_stay"), "text_sha256").distinct()
     here = sha256(normalised(docs["text"]))
-    return docs.join(stay.distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col("_stay")) & (F.lower(F.hex(here)) == F.col("text_sha256")), "left_semi")
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_stay"]) & (F.lower(F.hex(here)) == stay["text_sha256"]), "left_semi")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

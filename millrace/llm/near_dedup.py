@@ -218,7 +218,7 @@ def near_groups(docs: DataFrame, percent: int = 80, size: int = 5, bands: int =
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
     stay = near_groups(docs, **options).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_stay"]), "left_semi")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,8 @@ def test_language_model_is_a_distribution(spark):
     counts = stored(class_lm.token_counts(text), "counts")
     m = class_lm.train(text, counts, vocabulary=4, classes=2)
     assert (10**m.transitions).sum(axis=1) == pytest.approx([1.0] * 4)
-    tail = sum((r.n - m.discount) / m.tail_total for r in counts.collect() if r.token not in set(m.keys.tolist()) and r.token != -1) + m.discount * m.tail_distinct / m.tail_total
+    clustered = {t for t, i in zip(m.keys.tolist(), m.ids.tolist(), strict=True) if i < 4}
+    tail = sum((r.n - m.discount) / m.tail_total for r in counts.collect() if r.token not in clustered and r.token != -1) + m.discount * m.tail_distinct / m.tail_total
     assert tail == pytest.approx(1.0)
     for c in range(2):
         assert sum(10**e for e, k in zip(m.emissions[:4], m.classes[:4], strict=True) if k == c) == pytest.approx(1.0) or not (m.classes[:4] == c).any()
@@ -192,3 +193,14 @@ def test_pipeline_stages(name, stage, spark, docs, none, labels, benchmark, tmp_
     assert out.count() > 0 and stage(spark, none, str(tmp_path)).count() == 0
 
 
+
+
+def test_language_model_joins_rare_words_as_it_looks_up_frequent_ones(spark):
+    text = class_lm.texts_of(spark.createDataFrame([(i, f"a b c d{i % 7} a b x{i} y") for i in range(1, 60)], "doc_id long, text string"))
+    counts = stored(class_lm.token_counts(text), "counts")
+    both = []
+    for frequent in (4, 1000):
+        model = class_lm.train(text, counts, vocabulary=4, classes=2, frequent=frequent)
+        assert len(model.keys) <= frequent
+        both.append({r.doc_id: (r.n_known, round(r.score, 9), round(r.base_score, 9)) for r in class_lm.scored(text, counts, model, 10, 0).collect()})
+    assert both[0] == both[1]

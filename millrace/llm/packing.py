@@ -78,15 +78,15 @@ class _Complements:
                 self.pairs[2 * x] -= 1
 
     def pair(self, gap: int, most: int) -> tuple[int, int] | None:
-        """The pair with this sum whose larger length is largest; neither is above ``most``."""
+        """The most even pair with this sum (very short lengths are kept for odd gaps); neither is above ``most``."""
         if gap < 2 or not self.pairs[gap]:
             return None
-        large = np.arange(min(most, gap - 1), (gap + 1) // 2 - 1, -1)
+        large = np.arange((gap + 1) // 2, min(most, gap - 1) + 1)
         ok = np.flatnonzero((self.left[large] > 0) & (self.left[gap - large] > 0))
         return (int(large[ok[0]]), int(gap - large[ok[0]])) if len(ok) else None
 
     def triple(self, gap: int, most: int) -> tuple[int, int, int] | None:
-        large = np.arange(min(most, gap - 2), (gap + 2) // 3 - 1, -1)
+        large = np.arange((gap + 2) // 3, min(most, gap - 2) + 1)
         for x in large[(self.left[large] > 0) & (self.pairs[gap - large] > 0)]:
             if two := self.pair(gap - int(x), int(x)):
                 return (int(x), *two)

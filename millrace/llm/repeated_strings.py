@@ -170,7 +170,8 @@ def _contexts(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     lists = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "ahead", "last", "gram", "crowded")).alias("places"))  # at most a document's anchors
     joined = packed.join(lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("tag", "_tag").hint("shuffle_hash"), packed["doc_id"].eqNullSafe(F.col("_id")) & (packed["tag"] == F.col("_tag")))
-    return joined.dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", "body", "places").mapInArrow(run, "unit long, doc_id long, tag int, first long, ahead int, last int, bytes binary")
+    # Rows that repeat an id and its text come once each: they repeat one another, and so they count.
+    return joined.select("doc_id", "tag", "body", "places").mapInArrow(run, "unit long, doc_id long, tag int, first long, ahead int, last int, bytes binary")
 
 
 def repeated_in(ahead: np.ndarray, last: np.ndarray, texts: list[bytes], length: int) -> list[np.ndarray]:

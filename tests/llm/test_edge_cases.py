@@ -204,3 +204,10 @@ def test_language_model_joins_rare_words_as_it_looks_up_frequent_ones(spark):
         assert len(model.keys) <= frequent
         both.append({r.doc_id: (r.n_known, round(r.score, 9), round(r.base_score, 9)) for r in class_lm.scored(text, counts, model, 10, 0).collect()})
     assert both[0] == both[1]
+
+
+def test_repeated_strings_in_repeated_rows(spark):
+    one, two = LONG[:900], LONG[5000:5900]
+    rows = spark.createDataFrame([(1, one), (1, one), (2, two), (3, "x" + two[:400] + "y" * 150), (None, two[300:560])], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_removed, r.n_spans) for r in repeated_strings.remove_repeats(rows).collect())
+    assert got == [("1", 900, 1), ("1", 900, 1), ("2", 560, 1), ("3", 400, 1), ("None", 260, 1)]

@@ -25,11 +25,19 @@ def is_blank(c: Column) -> Column:
 
 
 def chunks(c: Column, size: int = 1000, overlap: int = 150) -> Column:
-    """Windows of ``size`` code points at steps of size - overlap (1 at least) over normalised text; the last reaches its end."""
-    step, text = max(size - overlap, 1), normalise_space(F.coalesce(c, F.lit("")))
+    """Windows of any text; long texts go faster through ``windows`` on a column that holds the normalised text."""
+    return windows(normalise_space(F.coalesce(c, F.lit(""))), size, overlap)
+
+
+def windows(text: Column, size: int = 1000, overlap: int = 150) -> Column:
+    """Windows of ``size`` code points at steps of size - overlap (1 at least) over normalised text; the last reaches its end.
+
+    ``text`` is evaluated for every window, so it should be a plain column.
+    """
+    step = max(size - overlap, 1)
     n = F.when(F.length(text) <= size, 1).otherwise(F.ceil((F.length(text) - size) / step).cast("int") + 1)
-    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.trim(F.substring(text, i * step + 1, F.lit(size))))
-    return F.filter(windows, lambda w: w != "")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.trim(F.substring(text, i * step + 1, F.lit(size))))
+    return F.filter(cut, lambda w: w != "")
 
 
 def tokens(c: Column) -> Column:
@@ -38,7 +46,11 @@ def tokens(c: Column) -> Column:
 
 def features(c: Column) -> Column:
     """Tokens and pairs of neighbours, repeats kept."""
-    words = tokens(c)
+    return features_of(tokens(c))
+
+
+def features_of(words: Column) -> Column:
+    """The same from a column of tokens, which is then cut out of the text once."""
     return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from .text import features
+from .text import features_of, tokens
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,7 +37,7 @@ def normalised(a: Column) -> Column:
 def postings(df: DataFrame, key: str, text: str, dimension: int = SETTINGS.dimension) -> DataFrame:
     """Sparse hashed vectors: (key, bucket, weight).  A feature's 64-bit digest picks the bucket, its parity the sign."""
     digest = F.conv(F.substring(F.md5(F.col("feature")), 1, 16), 16, 10).cast("decimal(20,0)")
-    exploded = df.select(key, F.explode(features(F.col(text))).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("times"))
+    exploded = df.select(key, tokens(F.col(text)).alias("words")).select(key, F.explode(features_of(F.col("words"))).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("times"))
     hashed = exploded.select(key, "times", digest.alias("h")).select(key, (F.col("h") % dimension).cast("int").alias("bucket"), F.when(F.col("h") % 2 == 1, F.col("times")).otherwise(-F.col("times")).alias("signed"))
     return hashed.groupBy(key, "bucket").agg(F.sum("signed").alias("weight")).where("weight <> 0")
 
@@ -48,7 +48,7 @@ def squared_norms(vectors: DataFrame, key: str) -> DataFrame:
 
 def hashed_dense(df: DataFrame, key: str, text: str, dimension: int = SETTINGS.dimension) -> DataFrame:
     """(key, embedding array<float>) by 8-byte BLAKE2b digests, features hashed once per batch; no feature gives the zero vector."""
-    listed = df.select(key, features(F.coalesce(F.col(text), F.lit(""))).alias("features"))
+    listed = df.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")).select(key, features_of(F.col("words")).alias("features"))
     key_type = dict(listed.dtypes)[key]
 
     def embed(batches):

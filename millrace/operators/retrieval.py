@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import NO_CONTEXT, SETTINGS
-from ..functions.text import features, strip
+from ..functions.text import features_of, strip, tokens
 from ..functions.vectors import postings, squared_norms
 
 #: Rows of query postings that are broadcast at once, and query vectors held by a task at once.
@@ -35,7 +35,7 @@ def hashed_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k,
     schema = pa.schema([("query_id", pa.int64()), ("distance", pa.float64()), ("id", pa.string()), ("source", pa.string()), ("chunk_index", pa.int32())])
     parts = []
     for part in blocks(queries, "query_id", queries.count(), BLOCK_VECTORS):
-        asked = part.select("query_id", features(F.coalesce("query", F.lit(""))).alias("terms")).collect()  # one block of queries
+        asked = part.select("query_id", tokens(F.coalesce("query", F.lit(""))).alias("words")).select("query_id", features_of(F.col("words")).alias("terms")).collect()  # one block of queries
         if not asked:
             continue
         names, table = [r.query_id for r in asked], np.zeros((len(asked), dimension), dtype=np.int64)
@@ -63,7 +63,8 @@ def hashed_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k,
                     out += [(name, float(distance[q, x[-1]]), x[-2], sources[x[-1]], places[x[-1]]) for x in sorted(near)[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], f.type) for n, f in enumerate(schema)], schema=schema)
 
-        terms = chunked.select("id", "source", "chunk_index", features(F.coalesce("content", F.lit(""))).alias("terms"))
+        words = chunked.select("id", "source", "chunk_index", tokens(F.coalesce("content", F.lit(""))).alias("words"))
+        terms = words.select("id", "source", "chunk_index", features_of(F.col("words")).alias("terms"))
         parts.append(terms.mapInArrow(search, "query_id long, distance double, id string, source string, chunk_index int"))
     if not parts:
         return chunked.sparkSession.createDataFrame([], "query_id long, rank int, distance double, id string, source string, chunk_index int")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EXTENSIONS, SETTINGS
-from ..functions.text import basename, chunks, extension, uuid_of
+from ..functions.text import basename, extension, normalise_space, uuid_of, windows
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +64,8 @@ def rename_collisions(names: DataFrame) -> DataFrame:
 
 def to_chunks(raw: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
     """(id, source, chunk_index, content, doc_id) from (doc_id, source, content)."""
-    exploded = raw.select("doc_id", "source", F.posexplode(chunks(F.col("content"), size, overlap)).alias("chunk_index", "content"))
+    clean = raw.select("doc_id", "source", normalise_space(F.coalesce("content", F.lit(""))).alias("clean"))
+    exploded = clean.select("doc_id", "source", F.posexplode(windows(F.col("clean"), size, overlap)).alias("chunk_index", "content"))
     return exploded.select(uuid_of(F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"), F.col("content")).alias("id"), "source", "chunk_index", "content", "doc_id")
 
 

@@ -211,3 +211,20 @@ def test_repeated_strings_in_repeated_rows(spark):
     rows = spark.createDataFrame([(1, one), (1, one), (2, two), (3, "x" + two[:400] + "y" * 150), (None, two[300:560])], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_removed, r.n_spans) for r in repeated_strings.remove_repeats(rows).collect())
     assert got == [("1", 900, 1), ("1", 900, 1), ("2", 560, 1), ("3", 400, 1), ("None", 260, 1)]
+
+
+def test_language_model_clusters_all_words_above_the_floor(spark):
+    """Far more words than the seed holds: every one gets a class of its kind, and steps end by the tolerance."""
+    rows = [(i, "noun0 verb0 noun1 verb1 noun2 verb2 " * 3 + " ".join(f"noun{(i * 7 + j) % 60} verb{(i * 11 + j * 3) % 60}" for j in range(30)) + f" once{i}") for i in range(1, 80)]
+    text = class_lm.texts_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    counts = stored(class_lm.token_counts(text), "counts")
+    m = class_lm.train(text, counts, classes=2, seed=6, tolerance=0.001)
+    got = {r.token: r["class"] for r in m.words.collect()}
+    assert len(got) == 120 and set(got) == {r.token for r in counts.collect() if r.n >= 5 and r.token != -1}
+    assert set(got.values()) == {0, 1} and m.steps[-1] - m.steps[-3] < 0.001 and max(m.steps) > 0.5
+    both = []
+    for frequent in (8, 1000):
+        m = class_lm.train(text, counts, classes=2, seed=6, frequent=frequent)
+        assert sum(10**m.emissions[:-2][m.classes[:-2] < 2]) <= 2 + 1e-9
+        both.append({r.doc_id: (r.n_known, round(r.score, 9), round(r.base_score, 9)) for r in class_lm.scored(text, counts, m, 10, 0).collect()})
+    assert both[0] == both[1]

@@ -77,19 +77,26 @@ class _Complements:
                 self.pairs[x + others] -= 1
                 self.pairs[2 * x] -= 1
 
-    def pair(self, gap: int, most: int) -> tuple[int, int] | None:
-        """The most even pair with this sum (very short lengths are kept for odd gaps); neither is above ``most``."""
+    def enough(self, *lengths: int) -> bool:
+        """Whether every length is left as often as it occurs here."""
+        return all(self.left[x] >= k for x, k in Counter(lengths).items())
+
+    def pair(self, gap: int, most: int, *held: int) -> tuple[int, int] | None:
+        """The most even pair with this sum (very short lengths are kept for odd gaps) that can be taken together
+        with ``held``; neither is above ``most``."""
         if gap < 2 or not self.pairs[gap]:
             return None
         large = np.arange((gap + 1) // 2, min(most, gap - 1) + 1)
-        ok = np.flatnonzero((self.left[large] > 0) & (self.left[gap - large] > 0))
-        return (int(large[ok[0]]), int(gap - large[ok[0]])) if len(ok) else None
+        for x in large[(self.left[large] > 0) & (self.left[gap - large] > 0)].tolist():
+            if self.enough(*held, x, gap - x):
+                return x, gap - x
+        return None
 
-    def triple(self, gap: int, most: int) -> tuple[int, int, int] | None:
+    def triple(self, gap: int, most: int, *held: int) -> tuple[int, int, int] | None:
         large = np.arange((gap + 2) // 3, min(most, gap - 2) + 1)
-        for x in large[(self.left[large] > 0) & (self.pairs[gap - large] > 0)]:
-            if two := self.pair(gap - int(x), int(x)):
-                return (int(x), *two)
+        for x in large[(self.left[large] > 0) & (self.pairs[gap - large] > 0)].tolist():
+            if two := self.pair(gap - x, x, *held, x):
+                return (x, *two)
         return None
 
 
@@ -104,16 +111,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
             gap = capacity - x
             if gap == 0:
                 found = ()
-            elif gap <= x and index.left[gap]:
+            elif gap <= x and index.enough(x, gap):
                 found = (gap,)
             else:
-                found = index.pair(gap, x) or index.triple(gap, x)
+                found = index.pair(gap, x, x) or index.triple(gap, x, x)
             if found is None:
                 break
             combination = Counter((x, *found))
             times = min(int(index.left[y]) // k for y, k in combination.items())
-            if times == 0:  # the only match needs one length more often than it is left
-                break
             index.take(combination, times)
             patterns.append((dict(combination), times))
     return patterns + _best_fit(index.left, capacity)

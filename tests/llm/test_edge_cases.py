@@ -228,3 +228,10 @@ def test_language_model_clusters_all_words_above_the_floor(spark):
         assert sum(10**m.emissions[:-2][m.classes[:-2] < 2]) <= 2 + 1e-9
         both.append({r.doc_id: (r.n_known, round(r.score, 9), round(r.base_score, 9)) for r in class_lm.scored(text, counts, m, 10, 0).collect()})
     assert both[0] == both[1]
+
+
+def test_packing_leaves_no_exact_complement():
+    """The most even pair (274, 274) needs more pieces of 274 than there are: the next pair is taken."""
+    patterns = packing.plan({1500: 10_000, 274: 1, 300: 10_000, 248: 10_000}, 2048)
+    assert ({1500: 1, 300: 1, 248: 1}, 10_000) in patterns
+    assert sum(n for _, n in packing.plan({6: 1, 4: 2, 2: 1, 1: 2}, 12)) == 2

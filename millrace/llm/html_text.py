@@ -5,7 +5,8 @@ styles, forms, menus, headers, footers, sidebars, notices, adverts and comments,
 becomes lines without text.  Over windows of ``window`` lines the text lengths are summed; the sum
 surges where main text begins and dives to nothing where it ends.  The text between the surge and
 the dive with the most text is kept, with every other such stretch of at least ``share`` of it and
-every stretch inside the page's article element.
+every shorter one near a kept one.  Where article or main elements hold most of the page's text, their
+borders are surges and dives too, and text inside them counts 1 / ``share`` times.
 
 Inside a block white space becomes one space; blocks are joined by an empty line; character
 references are decoded.
@@ -29,6 +30,7 @@ from .common import pieces
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ARTICLE = re.compile(r"<article[\s/>]", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 # Element names of HTML by what they mean for text.
@@ -49,10 +51,10 @@ _NAMED = {
 _CLOSED_BY = {"p": _BLOCKS, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 
-def _boilerplate(tag: str, rest: str, inside_article: bool) -> bool:
+def _boilerplate(tag: str, rest: str, inside_article: bool, only_article: bool) -> bool:
     if tag in _BOILERPLATE or tag == "header" and not inside_article:
         return True
-    if tag in ("html", "body", "main", "article"):
+    if tag in ("html", "body", "main") or tag == "article" and only_article:
         return False
     return any(word.lower() in _NAMED for found in _NAMES.finditer(rest) for word in _WORDS.findall(next(filter(None, found.groups()), ""))) if rest else False
 
@@ -64,6 +66,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, dropped, in an article
     at, end, raw = 0, len(page), None
+    only_article = len(_ARTICLE.findall(page)) < 2
 
     def flush() -> None:
         nonlocal linked
@@ -121,7 +124,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
                 break
         dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         article = article or tag in ("article", "main")
-        stack.append((tag, dropped or _boilerplate(tag, rest, article), article))
+        stack.append((tag, dropped or _boilerplate(tag, rest, article, only_article), article))
     flush()
     return out
 
@@ -131,19 +134,27 @@ def main_blocks(found: list[tuple[str, bool]], window: int = 3, share: float = 0
     if not found:
         return []
     lengths = np.array([len(block) for block, _ in found], dtype=np.int64)
+    inside = np.array([x for _, x in found])
+    if lengths[inside].sum() <= lengths[~inside].sum():
+        inside[:] = False
     sums = np.convolve(lengths, np.ones(window, dtype=np.int64))  # sums[i]: lines i - window + 1 .. i
     full = np.flatnonzero(sums > 0)
     if not len(full):
         return []
     runs = np.split(full, np.flatnonzero(np.diff(full) > 1) + 1)
-    stretches = [(int(run[0]), min(int(run[-1]) - window + 2, len(found))) for run in runs]  # surge, dive
-    totals = [int(lengths[a:b].sum()) for a, b in stretches]
-    most = max(totals)
-    keep = [(a, b) for (a, b), n in zip(stretches, totals, strict=True) if n >= share * most or any(found[i][1] for i in range(a, b))]
-    if any(inside for _, inside in found):
-        keep = [(a, b) for a, b in keep if any(found[i][1] for i in range(a, b))]
-        return [found[i][0] for a, b in keep for i in range(a, b) if found[i][0] and found[i][1]]
-    return [found[i][0] for a, b in keep for i in range(a, b) if found[i][0]]
+    stretches = []  # surge, dive
+    for run in runs:
+        a, b = int(run[0]), min(int(run[-1]) - window + 2, len(found))
+        borders = [a, *(a + 1 + np.flatnonzero(np.diff(inside[a:b]))).tolist(), b]
+        stretches += zip(borders, borders[1:], strict=False)
+    totals = [lengths[a:b].sum() / (share if inside[a] else 1) for a, b in stretches]
+    kept = [n > 0 and n >= share * max(totals) for n in totals]
+    for order in (range(1, len(stretches)), range(len(stretches) - 2, -1, -1)):  # what is near, downwards and upwards
+        for i in order:
+            j = i - 1 if order.step > 0 else i + 1
+            (a, b), (c, d) = stretches[i], stretches[j]
+            kept[i] = kept[i] or kept[j] and inside[a] == inside[c] and max(a - d, c - b) <= 2 * window
+    return [found[i][0] for (a, b), keep in zip(stretches, kept, strict=True) if keep for i in range(a, b) if found[i][0]]
 
 
 def extract(page: str | None) -> str:

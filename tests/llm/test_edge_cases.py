@@ -235,3 +235,16 @@ def test_packing_leaves_no_exact_complement():
     patterns = packing.plan({1500: 10_000, 274: 1, 300: 10_000, 248: 10_000}, 2048)
     assert ({1500: 1, 300: 1, 248: 1}, 10_000) in patterns
     assert sum(n for _, n in packing.plan({6: 1, 4: 2, 2: 1, 1: 2}, 12)) == 2
+
+
+def test_html_by_line_blocks():
+    text = [f"Sentence {i} of the story, long enough to be main text." for i in range(8)]
+    story = "".join(f"<p>{t}</p>" for t in text)
+    comments = "".join(f"<article class=comment><p>Reader {i} says so.</p></article>" for i in range(4))
+    want = "\n\n".join(text)
+    assert html_text.extract(f"<div class=entry>{story}</div>{comments}") == want
+    assert html_text.extract(f"<div class=entry>{story}</div><aside class=related><article><p>teaser</p></article></aside>") == want
+    assert html_text.extract(f"<article>{story}{comments}</article>") == want
+    assert html_text.extract(f"<div>{story}</div>") == want
+    advert = "<div class=ad><p>Buy</p><p>now</p><p>here</p></div>"
+    assert html_text.extract(f"<div>{story}{advert}<p>A short end.</p></div>") == want + "\n\nA short end."

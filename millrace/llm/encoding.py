@@ -1,11 +1,12 @@
 """Whole texts to token ids with the tokenizers library, each distinct piece encoded once per worker.
 
 Both vocabularies used here split a text into words before they merge, and a word never crosses a
-space (U+0020) that a non-space character follows, nor the border of a run of letters (but for
-contractions, which begin with an apostrophe).  So a text is cut at those spaces, a piece not seen
-before at its runs of letters, every part is encoded by the library, and the ids of parts seen
-before come from a bounded table of two generations.  Texts that hold a special-token string are
-encoded whole.
+space (U+0020) that a non-space character follows, a single line feed between two such characters,
+nor the border of a run of letters (but for contractions, which begin with an apostrophe).  So a
+text is cut at those spaces, a piece not seen before at its line feed and its runs of letters, every
+part is encoded by the library, and the ids of pieces seen before come from a table of two
+generations, whose number of entries is bounded.  Texts that hold a special-token string are encoded
+whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import os
 import re
 from array import array
 
+import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,44 +30,44 @@ class _Joined(Exception):
 
 
 class _Known(dict):
-    """ids by string; two generations of at most ``entries`` strings, used ones move to the younger."""
+    """ids by piece; two generations of at most ``entries`` pieces, used ones move to the younger.
 
-    word = None  # a shorter way for words of plain letters
+    ``prefix`` stands before every piece: a space, or nothing at the start of a text or a line.
+    ``inner`` is the table of what follows inside a piece (itself, where the prefix is empty).
+    """
 
-    def __init__(self, plain, prefix: str, entries: int, longest: int):
+    def __init__(self, plain, word, prefix: str, entries: int, longest: int, inner: _Known | None = None):
         super().__init__()
-        self.plain, self.prefix, self.entries, self.longest, self.older = plain, prefix, entries, longest, {}
-
-    def whole(self, text: str) -> bytes:
-        ids = self.older.get(text)
-        if ids is None:
-            word = self.word
-            ids = array("I", word(text)).tobytes() if word and text.isalpha() and _safe(max(text)) and "\u0130" not in text else self.plain(self.prefix + text)
-        if len(text) <= self.longest:
+        self.plain, self.word, self.prefix, self.entries, self.longest, self.older = plain, word, prefix, entries, longest, {}
+        self.inner = self if inner is None else inner
+
+    def keep(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) <= self.longest:
             if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
-            self[text] = ids
+            self[piece] = ids
         return ids
 
-    __missing__ = whole
-
-
-class _Pieces(_Known):
-    """ids of a space and a piece that follows it."""
-
-    def __init__(self, plain, word, entries: int, longest: int):
-        super().__init__(plain, " ", entries, longest)
-        self.word = word
-        self.inner = _Known(plain, "", entries // 4, longest)
+    def whole(self, piece: str) -> bytes:
+        return self.keep(piece, self.plain(self.prefix + piece))
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace():
-            raise _Joined
+        ids = self.older.get(piece)
+        if ids is not None:
+            return self.keep(piece, ids)
         if piece.isalpha():
+            if self.word and (piece.isascii() or _safe(max(piece)) and "İ" not in piece):
+                return self.keep(piece, self.word(self.prefix, piece))
             return self.whole(piece)
-        if piece[-1] in ".," and _safe(piece[-2:-1]) and piece[:-1].isalpha():
-            return self[piece[:-1]] + self.inner[piece[-1]]
+        if not piece or piece[0].isspace():
+            if self.prefix:
+                raise _Joined
+            return self.whole(piece)
+        if piece.count("\n") == 1:
+            before, _, after = piece.partition("\n")
+            if after and not before[-1].isspace() and not after[0].isspace():
+                return self[before] + self.inner["\n"] + self.inner[after]
         parts = _PARTS.findall(piece)
         if len(parts) == 1:
             return self.whole(piece)
@@ -76,12 +78,13 @@ class _Pieces(_Known):
                     return self.whole(piece)
             elif not part.isascii() or not last and (part[-1] == "'" or len(part) > 1 and part[-2:].isspace()):
                 return self.whole(piece)
-        return self[parts[0]] + b"".join([self.inner[x] for x in parts[1:]])
+        inner = self.inner
+        return self.keep(piece, self[parts[0]] + b"".join([inner[x] for x in parts[1:]]))
 
 
 def _safe(letter: str) -> bool:
     """A letter that normalising and lower-casing leave one letter."""
-    return "" < letter < "\u0250" and letter != "\u0130"
+    return "" < letter < "ɐ" and letter != "İ"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -94,33 +97,39 @@ def _byte_letters() -> dict[int, str]:
 class _Words:
     """The library's merges alone, for words of plain letters: normalising and splitting would leave them whole."""
 
-    def __init__(self, tokenizer):
-        self._model, self._letters = tokenizer.model, _byte_letters()
+    def __init__(self, tokenizer, code: str):
+        self._merge, self._letters, self._code = tokenizer.model.tokenize, _byte_letters(), code
         self._lower = tokenizer.encode("QA", add_special_tokens=False).ids == tokenizer.encode("qa", add_special_tokens=False).ids
-        self._space = "" if not tokenizer.encode(" ", add_special_tokens=False).ids else " "
+        self._prefixes = {p: self._letters[ord(p)] if p and tokenizer.encode(p, add_special_tokens=False).ids else "" for p in ("", " ")}
         probes = ("word", "Anblewh", "ererinning", "Éléâtre", "ciónñz", "größeß", "ÅÄÖ", "i", "xqzkj")
-        self.usable = all(self.ids(x) == tokenizer.encode(" " + x, add_special_tokens=False).ids for x in probes)
+        self.usable = all(array(code, tokenizer.encode(p + x, add_special_tokens=False).ids).tobytes() == self.ids(p, x) for x in probes for p in ("", " "))
 
-    def ids(self, word: str) -> list[int]:
-        text = self._space + (word.lower() if self._lower else word)
-        return [t.id for t in self._model.tokenize(text.encode().decode("latin-1").translate(self._letters))]
+    def ids(self, prefix: str, word: str) -> bytes:
+        if self._lower:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self._letters)
+        return array(self._code, [t.id for t in self._merge(self._prefixes[prefix] + word)]).tobytes()
 
 
 class PieceEncoder:
-    """ids of a text as little-endian unsigned 32-bit integers, without special tokens."""
+    """ids of a text as little-endian integers of type ``item`` (16 bits where the vocabulary allows), without special tokens."""
 
-    def __init__(self, path: str, entries: int = 700_000, longest: int = 40):
+    def __init__(self, path: str, entries: int = 450_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        words = _Words(self._tokenizer)
-        self._known = _Pieces(self._plain, words.ids if words.usable else None, entries, longest)
+        self.vocabulary = self._tokenizer.get_vocab_size()
+        self._code, self.item = ("H", "<u2") if self.vocabulary <= 1 << 16 else ("I", "<u4")
+        words = _Words(self._tokenizer, self._code)
+        word = words.ids if words.usable else None
+        self._first = _Known(self._plain, word, "", entries // 4, longest)
+        self._known = _Known(self._plain, word, " ", entries, longest, self._first)
         added = [str(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
-        self.vocabulary = self._tokenizer.get_vocab_size()
 
     def _plain(self, text: str) -> bytes:
-        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self._code, self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -129,11 +138,15 @@ class PieceEncoder:
             return self._plain(text)
         known, cut = self._known, text.split(" ")
         try:
-            return self._plain(cut[0]) + b"".join([known[x] for x in cut[1:]])
+            return self._first[cut[0]] + b"".join([known[x] for x in cut[1:]])
         except _Joined:
             pass
         cut = _CUT.split(text)
-        return self._plain(cut[0]) + b"".join([known[x] for x in cut[1:]])
+        return self._first[cut[0]] + b"".join([known[x] for x in cut[1:]])
+
+    def encode_u32(self, text: str) -> bytes:
+        """The same as unsigned 32-bit integers."""
+        return np.frombuffer(self.encode(text), self.item).astype("<u4").tobytes()
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -46,7 +46,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
         for batch in pieces(batches, 512):
             rows = [[] for _ in _PIECES]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder(vocabulary).encode(text) + END_ID.to_bytes(4, "little")
+                ids = encoder(vocabulary).encode_u32(text) + END_ID.to_bytes(4, "little")
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     length = len(part) // 4

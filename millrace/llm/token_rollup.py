@@ -46,7 +46,7 @@ def counted_by_vocabulary(docs: DataFrame, vocabulary: str, version: str) -> Dat
 
     def run(batches):
         for batch in batches:
-            counts = [len(encoder(vocabulary).encode(t or "")) // 4 for t in batch.column("text").to_pylist()]
+            counts = [len(encoder(vocabulary).encode_u32(t or "")) // 4 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], schema=schema)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), "text").mapInArrow(run, "doc_id long, source string, lang string, version string, tokens long")

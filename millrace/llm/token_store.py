@@ -14,8 +14,9 @@ The dictionary is trained on whole id arrays of a bounded sample (``sample_rows`
 of the id); everything else covers all rows.
 
 Defined results: null text is empty (its ids are the end id alone); null ids come first and can be
-told apart only by their place; rows that repeat an id are stored row by row, ordered by text; an
-empty table gives a store with no blocks; other columns are ignored.
+told apart only by their place; rows that repeat an id are stored row by row, in the order they are
+read; no id, however often it repeats, is bound to one task; an empty table gives a store with no
+blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,30 +28,29 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch, shuffle_partitions, texts_of
+from .common import pieces, record, scratch, shuffle_partitions, stored, texts_of
 from .encoding import encoder
 
 END_ID = 0
 _BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("dict_hash", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
+_FRAMES = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("frame", pa.binary())])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 BLOCKS_DDL = "part int, block int, part_start long, dict_hash string, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 DOCS_DDL = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _serialised(path: str, text: str, item: str) -> tuple[bytes, int]:
-    ids = np.frombuffer(encoder(path).encode(text), dtype="<u4")
-    out = np.empty(len(ids) + 1, dtype=item)
-    out[:-1] = ids
-    out[-1] = END_ID
-    return out.tobytes(), len(out)
+def _serialised(path: str, text: str) -> tuple[bytes, int]:
+    raw = encoder(path).encode(text) + END_ID.to_bytes(int(encoder(path).item[-1]), "little")
+    return raw, len(raw) // int(encoder(path).item[-1])
 
 
-def train_dictionary(docs: DataFrame, vocabulary: str, item: str, sample_rows: int = 1500, size: int = 1 << 16) -> bytes:
+def train_dictionary(docs: DataFrame, vocabulary: str, sample_rows: int = 1500, size: int = 1 << 16) -> bytes:
     """A zstandard dictionary from the id arrays of about ``sample_rows`` documents (empty if they are too few)."""
     rows = docs.count()
     share = min(1.0, sample_rows / max(rows, 1))
@@ -58,7 +58,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, item: str, sample_rows: i
 
     def encode(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"ids": [_serialised(vocabulary, t, item)[0] for t in batch.column("text").to_pylist()]}, schema=pa.schema([("ids", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"ids": [_serialised(vocabulary, t)[0] for t in batch.column("text").to_pylist()]}, schema=pa.schema([("ids", pa.binary())]))
 
     samples = sorted(bytes(r.ids) for r in drawn.mapInArrow(encode, "ids binary").toLocalIterator())
     try:
@@ -67,39 +67,51 @@ def train_dictionary(docs: DataFrame, vocabulary: str, item: str, sample_rows: i
         return b""
 
 
+def _compressed(docs: DataFrame, vocabulary: str, trained: bytes, level: int) -> DataFrame:
+    """(doc_id, place, n_tokens, frame): every document encoded and compressed where it is read, so only frames travel.
+    ``place`` (task and row) tells rows that repeat an id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 40
+        press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained)) if trained else zstandard.ZstdCompressor(level=level)
+        for batch in pieces(batches, 512):
+            counts, frames = [], []
+            for text in batch.column("text").to_pylist():
+                raw, n = _serialised(vocabulary, text)
+                counts.append(n)
+                frames.append(press.compress(raw))
+            yield record({"doc_id": batch.column("doc_id"), "place": np.arange(place, place + len(counts)), "n_tokens": counts, "frame": frames}, _FRAMES)
+            place += len(counts)
+
+    return docs.mapInArrow(run, "doc_id long, place long, n_tokens long, frame binary")
+
+
 def write_store(docs: DataFrame, path: str, vocabulary: str, sample_rows: int = 1500, block_rows: int = 512, block_bytes: int = 1 << 20, level: int = 3) -> None:
     """Encode every text of (doc_id, text) and write the store to ``path``."""
     spark = docs.sparkSession
     docs = texts_of(docs)
-    item = "<u2" if encoder(vocabulary).vocabulary <= 1 << 16 else "<u4"
-    trained = train_dictionary(docs, vocabulary, item, sample_rows)
+    trained = train_dictionary(docs, vocabulary, sample_rows)
     dict_hash = hashlib.sha256(trained).hexdigest()
-    spark.createDataFrame([(bytearray(trained), dict_hash, item)], "dictionary binary, dict_hash string, item string").coalesce(1).write.parquet(f"{path}/dictionary")
+    spark.createDataFrame([(bytearray(trained), dict_hash, encoder(vocabulary).item)], "dictionary binary, dict_hash string, item string").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained)) if trained else zstandard.ZstdCompressor(level=level)
-        number, begin, ids, counts, frames, offsets = 0, 0, [], [], [], [0]
-
-        def block() -> pa.RecordBatch:
-            known = [x for x in ids if x is not None]
-            row = [part, number, begin, dict_hash, min(known, default=None), max(known, default=None), ids, counts, offsets, b"".join(frames)]
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
-
-        for batch in pieces(batches, 256):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw, n = _serialised(vocabulary, text, item)
-                frames.append(press.compress(raw))
-                ids.append(doc_id)
-                counts.append(n)
-                offsets.append(offsets[-1] + len(frames[-1]))
-                if len(ids) >= block_rows or offsets[-1] >= block_bytes:
-                    yield block()
-                    number, begin, ids, counts, frames, offsets = number + 1, begin + sum(counts), [], [], [], [0]
-        if ids:
-            yield block()
-
-    ordered = docs.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+        part, number, begin = TaskContext.get().partitionId(), 0, 0
+        for batch in pieces(batches, block_rows):
+            ends = np.cumsum(pc.binary_length(batch.column("frame")).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                n = max(1, int(np.searchsorted(ends, before + block_bytes, side="right")) - at)
+                rows = batch.slice(at, n)
+                ids, counts = rows.column("doc_id"), rows.column("n_tokens").to_pylist()
+                known = ids.drop_null().to_pylist()
+                row = [part, number, begin, dict_hash, min(known, default=None), max(known, default=None), ids.to_pylist(), counts, [0, *(ends[at : at + n] - before).tolist()], b"".join(rows.column("frame").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
+                at, number, begin = at + n, number + 1, begin + sum(counts)
+
+    # Written first: range partitioning looks at its input twice.
+    frames = stored(_compressed(docs, vocabulary, trained, level), "token-frames")
+    ordered = frames.repartitionByRange(shuffle_partitions(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place")
     ordered.mapInArrow(blocks, BLOCKS_DDL).write.parquet(f"{path}/blocks")
     tokens = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per write task

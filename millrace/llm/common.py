@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,8 +26,15 @@ def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder name that driver and executors share: under spark.checkpoint.dir where it is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/millrace-shared"
+    """A fresh folder name that driver and executors share, under spark.checkpoint.dir.
+
+    Where that is unset a local session takes a folder of its own for it; on a cluster it must be set.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"{tempfile.gettempdir()}/millrace-{spark.sparkContext.applicationId}"
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
@@ -37,6 +45,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove ``stored`` tables that no later step reads, and the shuffles they came from."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        freed(df.sparkSession)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -169,21 +169,35 @@ def test_op7_html_text(spark, sf, duck):
         assert got[page_id] == "\n\n".join(filter(None, blocks))
 
 
-@pytest.mark.parametrize("crowd", [20_000, 1])
-def test_op8_repeated_strings(spark, sf, texts, crowd):
-    length, counts = 200, Counter()
-    raw = {d: t.encode() for d, t in texts.items()}
-    for t in raw.values():
-        counts.update(hash(t[i : i + length]) for i in range(len(t) - length + 1))
-    got = {r.doc_id: r for r in repeated_strings.remove_repeats(table(spark, sf, "documents"), crowd=crowd).collect()}
-    for d, t in raw.items():
+def repeats(raw, length=200):
+    """Of each text: bytes removed, runs and what is left, by counting every string."""
+    counts = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+    for t in raw:
         covered = np.zeros(len(t), dtype=bool)
         for i in range(len(t) - length + 1):
-            if counts[hash(t[i : i + length])] > 1:
+            if counts[t[i : i + length]] > 1:
                 covered[i : i + length] = True
         spans = int((np.diff(np.r_[0, covered.astype(int)]) == 1).sum())
-        assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans) == (len(t), int(covered.sum()), spans)
-        assert got[d].kept_sha256 == hashlib.sha256(np.frombuffer(t, np.uint8)[~covered].tobytes()).hexdigest()
+        yield len(t), int(covered.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~covered].tobytes()).hexdigest()
+
+
+def test_op8_repeated_strings(spark, sf, texts):
+    got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op8_repeated_strings"](spark, sf).collect()}
+    assert got == dict(zip(texts, repeats([t.encode() for t in texts.values()]), strict=True))
+
+
+def test_op8_with_one_passage_in_all_documents_and_without_ids(spark):
+    """A passage of 190 bytes that never repeats for itself, with 9 to 12 bytes beside it that do now and then."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage, sides = noise(190), [noise(12) for _ in range(40)]
+    rows = []
+    for n in range(1200):
+        left, right = (sides[k] for k in rng.integers(0, len(sides), 2))
+        rows.append((None if n % 2 else 7, noise(int(rng.integers(0, 90))) + left[-int(rng.integers(1, 12)) :] + passage + right[: int(rng.integers(1, 12))] + noise(int(rng.integers(0, 250)))))
+    got = repeated_strings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r)[1:] for r in got) == Counter(repeats([t.encode() for _, t in rows]))
+    assert 100 < sum(r.n_removed > 0 for r in got) < 1200 and sum(r.doc_id is None for r in got) == 600
 
 
 def test_op9_minhash_near_dedup(spark, sf, texts):

@@ -3,17 +3,16 @@
 1. ``features``: the set of word shingles of a document as 64-bit hashes, a signature of
    ``bands * rows`` minima and two hashes of the whole set, one pass over the texts.
 2. Documents with equal sets collapse to the one with the smallest id; only these go on.
-3. Documents that share a band go to the smallest document of that band (counted and joined, so no
-   bucket is gathered).  Connected documents make a family; every linked pair lies in one.
-4. A family is dealt by hash into blocks of about ``block`` documents, and each pair of blocks is a
-   unit of work holding signatures and sets.  There signature batches are compared one after
-   another; a pair goes when the posterior probability (uniform prior) that its similarity reaches
-   the threshold falls under ``miss``.  Survivors that are not yet connected are verified on their
-   full sets, and each confirmed link that connects something new is given out.
+3. ``candidate_links``: documents that share a band meet, a few heads of a bucket with the others at a
+   time, until every bucket lies in one component or all its pairs of different components have met.
+4. ``_verified``: signature batches of a pair are compared one after another; the pair goes when the
+   posterior probability (uniform prior) that its similarity reaches the threshold falls under
+   ``miss``.  Survivors are verified on their full sets.
 5. Connected components of the confirmed links give the groups.
 
-A pair at the threshold shares no band with probability (1 - s**rows)**bands: under 1e-8 for 0.85
-with the defaults.  ``miss`` bounds what the pruning loses for each batch.
+A pair at the threshold shares no band with probability (1 - s**rows)**bands: with the defaults 6e-13
+for 0.85 and 5e-9 for 0.8; it shares fewer than two bands, which matters in crowded buckets that are
+split, with 2e-11 and 1e-7.  ``miss`` bounds what the pruning loses for each batch.
 
 Defined results: null text is empty; a document without words has no shingles and is linked with
 nothing; a null id is never linked and is its own component (null); rows that repeat an id are
@@ -27,11 +26,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import freed, stored, texts_of
 from .components import components
+from .sieve import Sieve, parted
 from .textkernel import batch_blocks, find_words, hash_spans, mix64, shingle_hashes
 
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
@@ -110,115 +110,177 @@ def least_matches(hashes: int, batch: int, percent: int, miss: float) -> list[tu
     return out
 
 
-def confirmed_links(nodes: list[int], left: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], percent: int, steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links between documents of two blocks (``left`` marks the first; all pairs if it marks all), as a spanning forest."""
-    n = len(nodes)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    first = np.flatnonzero(left)
-    second = np.arange(n) if left.all() else np.flatnonzero(~left)
-    for i in first:
-        other = second[second > i] if left.all() else second
-        other = other[(100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i]))]
-        matches, done = np.zeros(len(other), dtype=np.int64), 0
-        for compared, needed in steps:
-            if not len(other):
-                break
-            matches += (signatures[other, done:compared] == signatures[i, done:compared]).sum(axis=1)
-            done = compared
-            keep = matches >= needed
-            other, matches = other[keep], matches[keep]
-        for j in other[np.argsort(-matches, kind="stable")]:
-            a, b = root(int(i)), root(int(j))
-            if a == b:
-                continue
-            both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                parent[max(a, b)] = min(a, b)
-                links.append((nodes[i], nodes[j]))
-    return links
+def _loaded(docs: DataFrame, nodes: Sieve, size: int, hashes: int) -> DataFrame:
+    """(node, signature, shingles) of the documents that ``nodes`` lets pass."""
+    schema = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
+
+    def attach(batches):
+        multipliers = _multipliers(hashes)
+        for batch in batches:
+            batch = batch.filter(pa.array(nodes.rows(batch.column("doc_id"))))
+            sets = list(shingle_sets(batch.column("text"), size))
+            made = [pa.array([_signature(s, multipliers) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], schema=schema).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
+
+    return docs.mapInArrow(attach, "node long, signature binary, shingles binary")
+
+
+def alike(signatures: np.ndarray, head: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of ``signatures`` that the posterior bound leaves after each batch of minima compared with ``head``."""
+    left, done = np.arange(len(signatures)), 0
+    matches = np.zeros(len(left), dtype=np.int64)
+    for compared, needed in steps:
+        matches += (signatures[left, done:compared] == head[done:compared]).sum(axis=1)
+        keep, done = matches >= needed, compared
+        left, matches = left[keep], matches[keep]
+        if not len(left):
+            break
+    return left
 
 
-def _family_links(work: DataFrame, percent: int, miss: float, hashes: int) -> DataFrame:
-    """Confirmed links of all units of work; ``work``: unit, side, node, signature, shingles, sorted by unit."""
+def _verified(pairs: DataFrame, loaded: DataFrame, percent: int, miss: float, hashes: int, batch_of: int = 256) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough.
+
+    About ``batch_of`` partners of one u meet in a unit, behind a copy of u; so no u is bound to one task, and
+    a task holds one set of u and a batch of partners at a time.
+    """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def verify(batches):
         steps = least_matches(hashes, 32, percent, miss)
-        unit, rows = None, []
+        unit = None
+        heads: list[tuple[int, np.ndarray, np.ndarray]] = []  # one, but for rows that repeat an id with other texts
+        for batch in batches:
+            keys, sides, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "side", "node"))
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column("shingles")]
+            signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, hashes)
+            sizes = np.array([len(x) for x in sets])
+            links = []
+            for run in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1) if len(keys) else ():
+                if keys[run[0]] != unit:
+                    unit, heads = keys[run[0]], []
+                heads += [(int(nodes[i]), signatures[i].copy(), sets[i].copy()) for i in run[sides[run] == 0]]
+                mine = run[sides[run] == 1]
+                for head, signature, shingles in heads:
+                    near = mine[100 * np.minimum(sizes[mine], len(shingles)) >= percent * np.maximum(sizes[mine], len(shingles))]
+                    for i in near[alike(signatures[near], signature, steps)]:
+                        both = np.intersect1d(shingles, sets[i], assume_unique=True).size
+                        if 100 * both >= percent * (len(shingles) + sizes[i] - both):
+                            links.append((head, int(nodes[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], schema=schema)
+
+    parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / batch_of).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
+    heads = parts.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "u").select(F.xxhash64("u", F.col("part").cast("long")).alias("unit"), F.lit(0).alias("side"), F.col("u").alias("node"))
+    members = dealt.select(F.xxhash64("u", F.col("part").cast("long")).alias("unit"), F.lit(1).alias("side"), F.col("v").alias("node"))
+    units = stored(members.unionByName(heads), "minhash-units")
+    near = Sieve(units, "node")
+
+    def needed(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(near.rows(batch.column("node"))))
 
-        def solved():
-            nodes = [r[1] for r in rows]
-            sides = np.array([r[0] for r in rows])
-            signatures = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint32).reshape(len(rows), hashes)
-            links = confirmed_links(nodes, sides == sides.min(), signatures, [np.frombuffer(r[3], dtype=np.uint64) for r in rows], percent, steps) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], schema=schema)
+    work = units.join(loaded.mapInArrow(needed, loaded.schema), "node").select("unit", "side", "node", "signature", "shingles")
+    return work.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(verify, "u long, v long")
+
+
+def _repeated(live: DataFrame, by: str = "node") -> DataFrame:
+    """The rows of buckets with two values or more of column ``by``."""
+    several = live.groupBy("bucket").agg(F.min(by).alias("a"), F.max(by).alias("b")).where("a <> b").select("bucket")
+    return live.join(several, "bucket", "left_semi")
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("side", "node", "signature", "shingles")]
-            for key, *row in zip(batch.column("unit").to_pylist(), *columns, strict=True):
-                if key != unit and rows:
-                    yield solved()
-                    rows = []
-                unit = key
-                rows.append(row)
-        if rows:
-            yield solved()
 
-    return work.mapInArrow(verify, "u long, v long")
+def _labelled(live: DataFrame, groups: DataFrame) -> DataFrame:
+    """(bucket, node, score, component) of the buckets that hold several components."""
+    return _repeated(live.join(groups, "node", "left").select("bucket", "node", "score", F.coalesce("component", "node").alias("component")), "component")
 
 
-def near_groups(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = 32, rows: int = 5, miss: float = 1e-7, block: int = 256) -> DataFrame:
+def _component_sizes(labelled: DataFrame) -> DataFrame:
+    return labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _split(labelled: DataFrame, bands: DataFrame, crowd: int) -> DataFrame:
+    """(bucket, node, score): buckets with more than ``crowd`` nodes outside their largest component are cut by every other
+    band of their nodes, all others stay as they are."""
+    crowded = _component_sizes(labelled).groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("most")).where(F.col("all") - F.col("most") > crowd).select("bucket")
+    live, others = labelled.select("bucket", "node", "score"), bands.select(F.col("bucket").alias("_other"), F.col("node").alias("_node"))
+    finer = live.join(crowded, "bucket", "left_semi").join(others, F.col("node") == F.col("_node")).where("bucket <> _other").select(F.xxhash64("bucket", "_other").alias("bucket"), "node", "score")
+    return live.join(crowded, "bucket", "left_anti").unionByName(finer)
+
+
+def _central(bands: DataFrame) -> DataFrame:
+    """(bucket, node, score) with the number of nodes in all buckets of the node: documents in the middle of a family
+    share most bands with the others."""
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    scores = bands.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("score"))
+    return bands.join(scores, "node").select("bucket", "node", "score")
+
+
+def candidate_links(bands: DataFrame, loaded: DataFrame, percent: int, miss: float, hashes: int, crowd: int = 64, report: list[int] | None = None) -> DataFrame:
+    """(node, component) over all confirmed links between nodes that share a bucket of ``bands`` (bucket, node).
+
+    First every node meets the most central node of its buckets.  Then, as long as a bucket holds nodes of several
+    components, a few of its nodes (heads: twice the most central ones, then those of its smaller components) meet
+    all its nodes of other components and leave it.  So a family of copies costs its size and, for each document at
+    its rim that no head is linked with, its size once more.  A bucket in which more than ``crowd`` nodes still lie
+    outside the largest component after two such rounds is split by every other band of its nodes: linked documents
+    share many bands, others that meet by chance do not.  ``report`` gets the number of pairs of each round.
+    """
+    live = stored(_central(bands), "minhash-live")
+    heads = live.groupBy("bucket").agg(F.max(F.struct("score", F.negative("node").alias("less"))).alias("head"))
+    best = live.join(heads, "bucket").groupBy("node").agg(F.max("head").alias("head")).select((-F.col("head.less")).alias("u"), F.col("node").alias("v"))
+    pairs, seen, links, rounds = best.where("u <> v"), None, None, 0
+    while True:
+        pairs = stored(pairs, "minhash-pairs")
+        if report is not None:
+            report.append(pairs.count())
+        found = _verified(pairs, loaded, percent, miss, hashes)
+        links = stored(found if links is None else links.unionByName(found), "minhash-links")
+        both = pairs.select(F.least("u", "v").alias("_a"), F.greatest("u", "v").alias("_b"))
+        seen = stored(both if seen is None else seen.unionByName(both), "minhash-seen")
+        groups = components(links)
+        freed(bands.sparkSession)
+        labelled = stored(_labelled(live, groups), "minhash-live")
+        if rounds == 2:
+            labelled = stored(_labelled(_split(labelled, bands, crowd), groups), "minhash-live")
+        if labelled.isEmpty():
+            return groups
+        rounds += 1
+        order = Window.partitionBy("bucket").orderBy(*([F.desc("score")] if rounds <= 2 else ["n"]), "node")
+        heads = labelled.join(_component_sizes(labelled), ["bucket", "component"]).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 4 ** min(rounds, 5))
+        heads = stored(heads.select("bucket", F.col("node").alias("u"), F.col("component").alias("_component")), "minhash-heads")
+        met = labelled.join(heads, "bucket").where("component <> _component").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+        pairs = met.join(seen, (F.col("u") == F.col("_a")) & (F.col("v") == F.col("_b")), "left_anti")
+        live = stored(labelled.join(heads.select("bucket", F.col("u").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "score"), "minhash-live")
+
+
+def near_groups(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = 48, rows: int = 5, miss: float = 1e-7, **options) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their shingle sets.
     """
-    spark, docs, hashes = docs.sparkSession, texts_of(docs), bands * rows
+    docs, hashes = texts_of(docs), bands * rows
     found = stored(features(docs, size, hashes), "minhash-features")
     sets = stored(found.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node")), "minhash-sets")
     signed = found.join(sets.select(F.col("node").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"])
-    buckets = _buckets(signed, bands, rows)
-    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    candidates = buckets.join(heads, "bucket").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    families = components(candidates)
-    families = families.union(families.select(F.col("component").alias("node"), "component").distinct())
-    parts = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    dealt = families.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-
-    def attach(batches):
-        schema = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("parts", pa.int32()), ("part", pa.int32()), ("signature", pa.binary()), ("shingles", pa.binary())])
-        multipliers = _multipliers(hashes)
-        for batch in batches:
-            sets_here = list(shingle_sets(batch.column("text"), size))
-            made = [pa.array([_signature(s, multipliers) if len(s) else b"" for s in sets_here], pa.binary()), pa.array([s.tobytes() for s in sets_here], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "component", "parts", "part")), *made], schema=schema)
-
-    members = dealt.withColumnRenamed("node", "doc_id").hint("shuffle_hash")
-    texts = docs.join(members, "doc_id").select(F.col("doc_id").alias("node"), "component", "parts", "part", "text")
-    loaded = texts.mapInArrow(attach, "node long, component long, parts int, part int, signature binary, shingles binary").where("length(shingles) > 0")
-    units = loaded.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), F.col("part").alias("side"), "node", "signature", "shingles"
-    )
-    links = _family_links(units.repartition("unit").sortWithinPartitions("unit"), percent, miss, hashes)
-    groups = components(links)
+    shared = stored(_repeated(_buckets(signed, bands, rows)), "minhash-bands")
+    loaded = stored(_loaded(docs, Sieve(shared, "node"), size, hashes), "minhash-loaded")
+    groups = candidate_links(shared, loaded, percent, miss, hashes, **options)
     labels = sets.join(groups, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
-    return found.join(labels, ["set_a", "set_b", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept")
-    )
+    full, empty = found.where("n_shingles > 0"), found.where("n_shingles = 0")  # all empty documents have one set
+    joined = full.join(labels, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return joined.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    stay = near_groups(docs, **options).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_stay"]), "left_semi")
+    """The rows of ``docs`` that stay, one document of each group, with all their columns.
+
+    Most rows stay where they are read: only those that the sieve over the dropped ids lets pass are joined.
+    """
+    gone = stored(near_groups(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "minhash-gone")
+    part = parted(docs, "doc_id", Sieve(gone, "_gone"))
+    suspects = part(True)
+    return part(False).union(suspects.join(gone, suspects["doc_id"].cast("long") == gone["_gone"], "left_anti"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import packing, registry, repeated_strings, toxicity
+from millrace.llm import near_dedup, packing, registry, repeated_strings, toxicity
 from millrace.llm.common import table
 from millrace.llm.encoding import PieceEncoder
 from millrace.llm.near_dedup import least_matches
@@ -52,6 +52,24 @@ def components(sets, percent):
     return {i: root(i) for i in sets}
 
 
+def dense_components(sets, percent):
+    """The same with one matrix product, for large families."""
+    ids, held = sorted(sets), Counter(s for x in sets.values() for s in x)
+    number = {s: n for n, s in enumerate(s for s, n in held.items() if n > 1)}
+    has = np.zeros((len(ids), len(number)), dtype=np.float32)
+    for n, i in enumerate(ids):
+        has[n, [number[s] for s in sets[i] if s in number]] = 1
+    sizes, label = np.array([len(sets[i]) for i in ids]), np.arange(len(ids))
+    both = has @ has.T
+    linked = 100 * both >= percent * (sizes[:, None] + sizes - both)
+    np.fill_diagonal(linked, True)
+    while True:
+        least = np.array([label[row].min() for row in linked])
+        if (least == label).all():
+            return {i: ids[label[n]] for n, i in enumerate(ids)}
+        label = least
+
+
 def best_match(found, item):
     s, want = shingles(found), Counter(shingles(item))
     n, m = sum(want.values()), min(sum(want.values()), len(s))
@@ -207,6 +225,38 @@ def test_op9_minhash_near_dedup(spark, sf, texts):
     assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in got.items()} == {d: (len(sets[d]), want[d], want[d] == d) for d in texts}
 
 
+def test_op9_on_a_large_family_compares_in_proportion(spark):
+    """3,000 copies of one text with other words at other places, some too far from it, and two chains of links."""
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(400)]
+    rows = {}
+    for n in range(3000):
+        found = list(base)
+        for at in rng.integers(0, 400, 8 if n % 300 == 7 else int(rng.integers(0, 6))):
+            found[at] = f"x{n}-{at}"
+        rows[n * 3 + 1] = found
+    for chain in (1, 2):
+        for n in range(12):
+            rows[20_000 * chain + n] = [f"c{chain}-{k}" for k in range(8 * n, 8 * n + 200)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], "doc_id long, text string")
+    report = []
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(frame, percent=85, report=report).collect()}
+    assert got == dense_components({i: frozenset(shingles(t)) for i, t in rows.items()}, 85)
+    assert sum(report) < 12 * len(rows) and len(set(got.values())) > 10
+
+
+def test_op9_splits_crowded_buckets(spark):
+    """Documents that share half of their text, and so many bands, without being linked; some are."""
+    rows = {}
+    for n in range(400):
+        rows[n] = [f"common{k}" for k in range(60)] + [f"own{n // 2 if n < 40 else n}-{k}" for k in range(40)] + [f"end{n}"]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], "doc_id long, text string")
+    report = []
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(frame, percent=85, report=report).collect()}
+    assert got == components({i: frozenset(shingles(t)) for i, t in rows.items()}, 85) and len(set(got.values())) == 380
+    assert sum(report) < 400 * 399 / 4
+
+
 def test_pruning_bounds_rise_with_compared_hashes():
     steps = least_matches(160, 32, 85, 1e-7)
     assert [n for n, _ in steps] == [32, 64, 96, 128, 160] and all(0 < m / n < 0.85 for n, m in steps) and steps[-1][1] / 160 > steps[0][1] / 32

@@ -3,16 +3,15 @@
 1. ``features``: the set of word shingles of a document as 64-bit hashes, a signature of
    ``bands * rows`` minima and two hashes of the whole set, one pass over the texts.
 2. Documents with equal sets collapse to the one with the smallest id; only these go on.
-3. ``candidate_links``: documents that share a band meet, a few heads of a bucket with the others at a
-   time, until every bucket lies in one component or all its pairs of different components have met.
+3. ``candidate_groups``: documents that share a band meet: each with central documents of its bands
+   first, then those that this left outside with all others of their family.
 4. ``_verified``: signature batches of a pair are compared one after another; the pair goes when the
    posterior probability (uniform prior) that its similarity reaches the threshold falls under
    ``miss``.  Survivors are verified on their full sets.
 5. Connected components of the confirmed links give the groups.
 
-A pair at the threshold shares no band with probability (1 - s**rows)**bands: with the defaults 6e-13
-for 0.85 and 5e-9 for 0.8; it shares fewer than two bands, which matters in crowded buckets that are
-split, with 2e-11 and 1e-7.  ``miss`` bounds what the pruning loses for each batch.
+A pair at the threshold shares no band with probability (1 - s**rows)**bands; there are as many bands
+as it takes for 1e-8: 32 for 0.85, 47 for 0.8.  ``miss`` bounds what the pruning loses for each batch.
 
 Defined results: null text is empty; a document without words has no shingles and is linked with
 nothing; a null id is never linked and is its own component (null); rows that repeat an id are
@@ -22,7 +21,7 @@ columns are ignored by :func:`near_groups`, carried by :func:`drop_near_copies`.
 
 from __future__ import annotations
 
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -138,20 +137,17 @@ def alike(signatures: np.ndarray, head: np.ndarray, steps: list[tuple[int, int]]
     return left
 
 
-def _verified(pairs: DataFrame, loaded: DataFrame, percent: int, miss: float, hashes: int, batch_of: int = 256) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough.
-
-    About ``batch_of`` partners of one u meet in a unit, behind a copy of u; so no u is bound to one task, and
-    a task holds one set of u and a batch of partners at a time.
-    """
+def _verified(units: DataFrame, loaded: DataFrame, percent: int, miss: float, hashes: int) -> DataFrame:
+    """Links (u, v) whose sets are similar enough, between the heads (side 0) and the members (side 1) that ``units``
+    (unit, side, node, component; a stored table) puts together, but for those of one component.  A task holds the heads of one unit
+    and a batch of members at a time."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def verify(batches):
-        steps = least_matches(hashes, 32, percent, miss)
-        unit = None
-        heads: list[tuple[int, np.ndarray, np.ndarray]] = []  # one, but for rows that repeat an id with other texts
+        steps, unit = least_matches(hashes, 32, percent, miss), None
+        heads: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            keys, sides, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "side", "node"))
+            keys, sides, nodes, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "side", "node", "component"))
             sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column("shingles")]
             signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, hashes)
             sizes = np.array([len(x) for x in sets])
@@ -159,53 +155,67 @@ def _verified(pairs: DataFrame, loaded: DataFrame, percent: int, miss: float, ha
             for run in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1) if len(keys) else ():
                 if keys[run[0]] != unit:
                     unit, heads = keys[run[0]], []
-                heads += [(int(nodes[i]), signatures[i].copy(), sets[i].copy()) for i in run[sides[run] == 0]]
+                heads += [(int(nodes[i]), int(groups[i]), signatures[i].copy(), sets[i].copy()) for i in run[sides[run] == 0]]
                 mine = run[sides[run] == 1]
-                for head, signature, shingles in heads:
-                    near = mine[100 * np.minimum(sizes[mine], len(shingles)) >= percent * np.maximum(sizes[mine], len(shingles))]
+                for head, group, signature, shingles in heads:
+                    near = mine[(groups[mine] != group) & (100 * np.minimum(sizes[mine], len(shingles)) >= percent * np.maximum(sizes[mine], len(shingles)))]
                     for i in near[alike(signatures[near], signature, steps)]:
                         both = np.intersect1d(shingles, sets[i], assume_unique=True).size
                         if 100 * both >= percent * (len(shingles) + sizes[i] - both):
                             links.append((head, int(nodes[i])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], schema=schema)
 
-    parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / batch_of).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
-    heads = parts.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "u").select(F.xxhash64("u", F.col("part").cast("long")).alias("unit"), F.lit(0).alias("side"), F.col("u").alias("node"))
-    members = dealt.select(F.xxhash64("u", F.col("part").cast("long")).alias("unit"), F.lit(1).alias("side"), F.col("v").alias("node"))
-    units = stored(members.unionByName(heads), "minhash-units")
     near = Sieve(units, "node")
 
     def needed(batches):
         for batch in batches:
             yield batch.filter(pa.array(near.rows(batch.column("node"))))
 
-    work = units.join(loaded.mapInArrow(needed, loaded.schema), "node").select("unit", "side", "node", "signature", "shingles")
+    work = units.join(loaded.mapInArrow(needed, loaded.schema), "node").select("unit", "side", "node", "component", "signature", "shingles")
     return work.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(verify, "u long, v long")
 
 
-def _repeated(live: DataFrame, by: str = "node") -> DataFrame:
+def _pair_units(pairs: DataFrame, block: int) -> DataFrame:
+    """Units for pairs (u, v) of different components: about ``block`` partners of one u behind a copy of it."""
+    parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    unit = F.xxhash64("u", "part").alias("unit")
+    members = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).select(unit, F.lit(1).alias("side"), F.col("v").alias("node"), F.lit(-1).cast("long").alias("component"))
+    heads = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(unit, F.lit(0).alias("side"), F.col("u").alias("node"), F.lit(-2).cast("long").alias("component"))
+    return members.unionByName(heads)
+
+
+def _rest_units(mixed: DataFrame, block: int) -> DataFrame:
+    """Units in which the documents outside the largest component of a family meet all of the family.
+
+    A family is what the buckets of ``mixed`` (bucket, node, component) connect.  With o such documents among n, it
+    makes 2 * o * n / block rows.
+    """
+    least = mixed.groupBy("bucket").agg(F.min("node").alias("v"))
+    families = components(mixed.join(least, "bucket").select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "family")
+    families = families.union(families.select(F.col("family").alias("node"), "family").distinct())
+    known = stored(families.join(mixed.select("node", "component").distinct(), "node"), "minhash-families")
+    sizes = known.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).select(
+        "family", F.col("most.component").alias("_largest"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("outer"), F.ceil(F.col("n") / block).cast("int").alias("inner")
+    )
+    dealt = known.join(largest, "family")
+    part = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    unit = lambda i, j: F.xxhash64("family", i, j).alias("unit")
+    heads = dealt.where("component <> _largest").select("*", part("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("j")).select(unit("i", "j"), F.lit(0).alias("side"), "node", "component")
+    members = dealt.select("*", part("inner").alias("j"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i")).select(unit("i", "j"), F.lit(1).alias("side"), "node", "component")
+    return heads.unionByName(members)
+
+
+def _repeated(live: DataFrame, by: str) -> DataFrame:
     """The rows of buckets with two values or more of column ``by``."""
+    live = live.repartition("bucket")
     several = live.groupBy("bucket").agg(F.min(by).alias("a"), F.max(by).alias("b")).where("a <> b").select("bucket")
     return live.join(several, "bucket", "left_semi")
 
 
-def _labelled(live: DataFrame, groups: DataFrame) -> DataFrame:
+def _mixed(live: DataFrame, groups: DataFrame) -> DataFrame:
     """(bucket, node, score, component) of the buckets that hold several components."""
-    return _repeated(live.join(groups, "node", "left").select("bucket", "node", "score", F.coalesce("component", "node").alias("component")), "component")
-
-
-def _component_sizes(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _split(labelled: DataFrame, bands: DataFrame, crowd: int) -> DataFrame:
-    """(bucket, node, score): buckets with more than ``crowd`` nodes outside their largest component are cut by every other
-    band of their nodes, all others stay as they are."""
-    crowded = _component_sizes(labelled).groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("most")).where(F.col("all") - F.col("most") > crowd).select("bucket")
-    live, others = labelled.select("bucket", "node", "score"), bands.select(F.col("bucket").alias("_other"), F.col("node").alias("_node"))
-    finer = live.join(crowded, "bucket", "left_semi").join(others, F.col("node") == F.col("_node")).where("bucket <> _other").select(F.xxhash64("bucket", "_other").alias("bucket"), "node", "score")
-    return live.join(crowded, "bucket", "left_anti").unionByName(finer)
+    return stored(_repeated(live.join(groups, "node", "left").select("bucket", "node", "score", F.coalesce("component", "node").alias("component")), "component"), "minhash-live")
 
 
 def _central(bands: DataFrame) -> DataFrame:
@@ -213,59 +223,63 @@ def _central(bands: DataFrame) -> DataFrame:
     share most bands with the others."""
     sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     scores = bands.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("score"))
-    return bands.join(scores, "node").select("bucket", "node", "score")
+    return stored(bands.join(scores, "node").select("bucket", "node", "score"), "minhash-live")
+
+
+def _central_pairs(mixed: DataFrame, met: DataFrame | None) -> DataFrame:
+    """(u, v): every node with the most central node of another component in its buckets, those in ``met`` (u) left out."""
+    fresh = mixed if met is None else mixed.join(met.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
+    best = fresh.groupBy("bucket", "component").agg(F.max(F.struct("score", F.negative("node").alias("less"))).alias("best"))
+    two = best.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("best")))).where("nth <= 2")
+    two = two.groupBy("bucket").agg(F.max(F.when(F.col("nth") == 1, F.struct("component", "best"))).alias("one"), F.max(F.when(F.col("nth") == 2, F.col("best"))).alias("other"))
+    chosen = mixed.join(two, "bucket").groupBy("node").agg(F.max(F.when(F.col("one.component") != F.col("component"), F.col("one.best")).otherwise(F.col("other"))).alias("best"))
+    return chosen.where("best is not null").select((-F.col("best.less")).alias("u"), F.col("node").alias("v"))
 
 
-def candidate_links(bands: DataFrame, loaded: DataFrame, percent: int, miss: float, hashes: int, crowd: int = 64, report: list[int] | None = None) -> DataFrame:
+def candidate_groups(bands: DataFrame, loaded: DataFrame, percent: int, miss: float, hashes: int, block: int = 512, report: list[int] | None = None) -> DataFrame:
     """(node, component) over all confirmed links between nodes that share a bucket of ``bands`` (bucket, node).
 
-    First every node meets the most central node of its buckets.  Then, as long as a bucket holds nodes of several
-    components, a few of its nodes (heads: twice the most central ones, then those of its smaller components) meet
-    all its nodes of other components and leave it.  So a family of copies costs its size and, for each document at
-    its rim that no head is linked with, its size once more.  A bucket in which more than ``crowd`` nodes still lie
-    outside the largest component after two such rounds is split by every other band of its nodes: linked documents
-    share many bands, others that meet by chance do not.  ``report`` gets the number of pairs of each round.
+    Twice every node meets the most central node of another component in its buckets, which unites most of a family
+    of copies at the cost of its size.  Buckets that still hold several components then make families, in which the
+    documents outside the largest component meet all others.  ``report`` gets the rows of each of the three steps.
     """
-    live = stored(_central(bands), "minhash-live")
-    heads = live.groupBy("bucket").agg(F.max(F.struct("score", F.negative("node").alias("less"))).alias("head"))
-    best = live.join(heads, "bucket").groupBy("node").agg(F.max("head").alias("head")).select((-F.col("head.less")).alias("u"), F.col("node").alias("v"))
-    pairs, seen, links, rounds = best.where("u <> v"), None, None, 0
-    while True:
-        pairs = stored(pairs, "minhash-pairs")
+    links, pairs = None, None
+    mixed = _central(bands).withColumn("component", F.col("node"))
+    for step in range(3):
+        if step < 2:
+            pairs = stored(_central_pairs(mixed, pairs), "minhash-pairs")
+        units = stored(_pair_units(pairs, block) if step < 2 else _rest_units(mixed, block), "minhash-units")
         if report is not None:
-            report.append(pairs.count())
-        found = _verified(pairs, loaded, percent, miss, hashes)
+            report.append(units.count())
+        found = _verified(units, loaded, percent, miss, hashes)
         links = stored(found if links is None else links.unionByName(found), "minhash-links")
-        both = pairs.select(F.least("u", "v").alias("_a"), F.greatest("u", "v").alias("_b"))
-        seen = stored(both if seen is None else seen.unionByName(both), "minhash-seen")
         groups = components(links)
         freed(bands.sparkSession)
-        labelled = stored(_labelled(live, groups), "minhash-live")
-        if rounds == 2:
-            labelled = stored(_labelled(_split(labelled, bands, crowd), groups), "minhash-live")
-        if labelled.isEmpty():
+        if step == 2:
             return groups
-        rounds += 1
-        order = Window.partitionBy("bucket").orderBy(*([F.desc("score")] if rounds <= 2 else ["n"]), "node")
-        heads = labelled.join(_component_sizes(labelled), ["bucket", "component"]).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 4 ** min(rounds, 5))
-        heads = stored(heads.select("bucket", F.col("node").alias("u"), F.col("component").alias("_component")), "minhash-heads")
-        met = labelled.join(heads, "bucket").where("component <> _component").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-        pairs = met.join(seen, (F.col("u") == F.col("_a")) & (F.col("v") == F.col("_b")), "left_anti")
-        live = stored(labelled.join(heads.select("bucket", F.col("u").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "score"), "minhash-live")
+        mixed = _mixed(mixed.drop("component"), groups)
+        if mixed.isEmpty():
+            return groups
+
+
+def bands_for(percent: int, rows: int, miss: float = 1e-8) -> int:
+    """The fewest bands that a pair at the threshold misses all of with a probability of ``miss`` at most."""
+    return ceil(log(miss) / log1p(-((percent / 100) ** rows)))
 
 
-def near_groups(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = 48, rows: int = 5, miss: float = 1e-7, **options) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, size: int = 5, rows: int = 5, miss: float = 1e-7, **options) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their shingle sets.
     """
+    bands = bands_for(percent, rows)
     docs, hashes = texts_of(docs), bands * rows
     found = stored(features(docs, size, hashes), "minhash-features")
     sets = stored(found.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node")), "minhash-sets")
     signed = found.join(sets.select(F.col("node").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"])
-    shared = stored(_repeated(_buckets(signed, bands, rows)), "minhash-bands")
+    shared = stored(_repeated(_buckets(signed, bands, rows), "node"), "minhash-bands")
     loaded = stored(_loaded(docs, Sieve(shared, "node"), size, hashes), "minhash-loaded")
-    groups = candidate_links(shared, loaded, percent, miss, hashes, **options)
+    groups = candidate_groups(shared, loaded, percent, miss, hashes, **options)
     labels = sets.join(groups, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
     full, empty = found.where("n_shingles > 0"), found.where("n_shingles = 0")  # all empty documents have one set
     joined = full.join(labels, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -10,8 +10,8 @@ Learning (on at most about ``sample_rows`` labelled rows, drawn by hash; ``label
   so a group of near copies does not make its words look telling);
 * terms that are telling enough (log odds ratio and log likelihood ratio) enter the lexicon; the
   weight is the log odds ratio, less the weight of shorter entries that match with it;
-* words that a lexicon entry begins but that clean texts hold as readily are exception phrases:
-  they match the automaton too and cancel the entry;
+* words that a lexicon entry begins, alone or with the word before or after them, are exception phrases
+  where clean texts hold them as readily: they match the automaton too and cancel the entry;
 * a logistic curve over two length-normalised measures, log of the weight sum and log of the weight
   sum per hundred words, is fitted by Newton steps, giving a score between 0 and 1.
 
@@ -24,15 +24,17 @@ columns are ignored by :func:`scores`, carried by :func:`drop_toxic`.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, texts_of
+from .common import dropped, held_out, pieces, stored, texts_of
 
 THRESHOLD = 0.7
 
@@ -100,7 +102,12 @@ def measures(automaton, text: str | None) -> tuple[float, float]:
     found, spared = [], []
     for end, (length, weight) in automaton.iter(folded):
         (found if weight else spared).append((end - length + 1, end, weight))
-    total = sum(w for a, b, w in found if not any(x <= a and b <= y for x, y, _ in spared)) if spared else sum(w for _, _, w in found)
+    if spared:
+        spared.sort()
+        starts = [a for a, _, _ in spared]
+        reach = list(accumulate((b for _, b, _ in spared), max))  # how far exceptions that begin here or before reach
+        found = [x for x in found if not (k := bisect_right(starts, x[0])) or reach[k - 1] < x[1]]
+    total = sum(w for _, _, w in found)
     if not total:
         return 0.0, 0.0
     return math.log1p(total), math.log1p(100 * total / max(1, folded.count(" ") - 1))
@@ -183,21 +190,24 @@ def _lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, odds: f
 
 
 def _exceptions(sample: DataFrame, entries: dict[str, float], toxic: int, clean: int, least: int) -> list[str]:
-    """Whole words under an entry that clean texts hold at least as readily as toxic ones."""
+    """Whole words under an entry, and pairs of such a word and a neighbour, that clean texts hold at least as readily as toxic ones."""
     schema = pa.schema([("word", pa.string()), ("family", pa.int64()), ("toxic", pa.bool_())])
 
     def spread(batches):
         for batch in pieces(batches, 256):
             rows = {}
             for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = {w for w in (f" {w} " for w in set(fold(text).split())) if any(w[:k] in entries for k in range(4, len(w)))}
-                if words:
+                words = fold(text).split()
+                under = {w for w in set(words) if any(f" {w}"[:k] in entries for k in range(4, len(w) + 2)) or f" {w} " in entries}
+                if under:
                     family = _family(text)
-                    rows.update(dict.fromkeys((w, family, mark) for w in words))
+                    phrases = {f" {w} " for w in under} | {f" {a} {b} " for a, b in zip(words, words[1:]) if a in under or b in under}
+                    rows.update(dict.fromkeys((w, family, mark) for w in phrases))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     used = sample.mapInArrow(spread, "word string, family long, toxic boolean").groupBy("word").agg(F.countDistinct(F.when(F.col("toxic"), F.col("family"))).alias("t"), F.countDistinct(F.when(~F.col("toxic"), F.col("family"))).alias("c"))
-    return sorted(r.word for r in used.where((F.col("c") >= least) & (F.col("t") * clean <= F.col("c") * toxic)).collect())  # bounded by the sample
+    phrases = {r.word for r in used.where((F.col("c") >= least) & (F.col("t") * clean <= F.col("c") * toxic)).collect()}  # bounded by the sample
+    return sorted(p for p in phrases if " " not in p.strip() or not {f" {w} " for w in p.split()} & phrases)
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> tuple[float, float, float]:
@@ -214,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, longest
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"] == 1).alias("toxic")).where("doc_id is not null and toxic is not null").distinct()
     part = min(1.0, sample_rows / max(1, marks.count()))
     drawn = marks.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 31)) < int(part * (1 << 31))).limit(2 * sample_rows)
-    sample = texts_of(docs).join(F.broadcast(drawn), "doc_id").select("text", "toxic").persist()  # at most 2 * sample_rows ids are broadcast
+    sample = stored(texts_of(docs).join(F.broadcast(drawn), "doc_id").select("text", "toxic"), "toxicity-sample")  # at most 2 * sample_rows ids are broadcast
     try:
         kinds = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         if len(kinds) < 2:
@@ -233,7 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, longest
         model.curve = _fit(np.array([(r.a, r.b) for r in rows]), np.array([float(r.toxic) for r in rows]))
         return model
     finally:
-        sample.unpersist()
+        dropped(sample)
 
 
 def _scored(model: Model):

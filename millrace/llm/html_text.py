@@ -2,7 +2,8 @@
 
 Mark-up is stripped to lines, one for each block element, in page order.  What lies in scripts,
 styles, forms, menus, headers, footers, sidebars, notices, adverts and comments, and lists of links,
-becomes lines without text.  Over windows of ``window`` lines the text lengths are summed; the sum
+becomes lines without text (names of elements tell it; inside an article only names that say so as a
+whole).  Over windows of ``window`` lines the text lengths are summed; the sum
 surges where main text begins and dives to nothing where it ends.  The text between the surge and
 the dive with the most text is kept, with every other such stretch of at least ``share`` of it and
 every shorter one near a kept one.  Where article or main elements hold most of the page's text, their
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+# No part scans past the next "<" but for quoted values and what a comment or a CDATA section opens, so a page is read in linear time.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^<>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ARTICLE = re.compile(r"<article[\s/>]", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 # Element names of HTML by what they mean for text.
-_RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "select", "button", "canvas", "audio", "video", "map"}
+_RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "textarea", "select", "canvas", "audio", "video", "map"}
 _BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "head"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS = {
@@ -48,15 +51,26 @@ _NAMED = {
     "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup",
     "promo", "promotion", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+# Those of them that name no part of an article when they are the whole class or id of an element in it.
+_NAMED_INSIDE = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "contentinfo", "cookie", "cookies", "disqus",
+    "footer", "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "pagination", "popup", "promo", "promotion", "replies", "share", "sharing", "sidebar", "signup", "social",
+    "sponsor", "sponsored", "subscribe", "toolbar",
+}
 _CLOSED_BY = {"p": _BLOCKS, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 
 def _boilerplate(tag: str, rest: str, inside_article: bool, only_article: bool) -> bool:
-    if tag in _BOILERPLATE or tag == "header" and not inside_article:
+    """Whether an element holds no main text.  Inside an article a name must be the whole of a class or id: an
+    "article-header" or "related-work" there is text."""
+    if tag in _BOILERPLATE or tag in ("header", "button") and not inside_article:
         return True
-    if tag in ("html", "body", "main") or tag == "article" and only_article:
+    if tag in ("html", "body", "main") or tag == "article" and only_article or not rest:
         return False
-    return any(word.lower() in _NAMED for found in _NAMES.finditer(rest) for word in _WORDS.findall(next(filter(None, found.groups()), ""))) if rest else False
+    names = (next(filter(None, found.groups()), "") for found in _NAMES.finditer(rest))
+    if inside_article and tag != "article":
+        return any(name.lower() in _NAMED_INSIDE for found in names for name in found.split())
+    return any(word.lower() in _NAMED for found in names for word in _WORDS.findall(found))
 
 
 def lines(page: str) -> list[tuple[str, bool]]:
@@ -65,6 +79,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, dropped, in an article
+    depth: Counter[str] = Counter()  # open elements by tag
     at, end, raw = 0, len(page), None
     only_article = len(_ARTICLE.findall(page)) < 2
 
@@ -78,6 +93,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
         linked = 0
 
     def pop(to: int) -> None:
+        depth.subtract(tag for tag, _, _ in stack[to:])
         del stack[to:]
 
     while at < end:
@@ -87,7 +103,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
             continue
         found = _TOKEN.search(page, at)
         chunk = page[at : found.start() if found else end]
-        if chunk:
+        if chunk and not (stack and stack[-1][0] == "button" and stack[-1][1]):
             text.append(chunk)
             if any(tag == "a" for tag, _, _ in stack[-4:]):
                 linked += len(chunk.strip())
@@ -105,10 +121,8 @@ def lines(page: str) -> list[tuple[str, bool]]:
         if tag in _BLOCKS:
             flush()
         if found["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if depth[tag] > 0:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in _RAW:
             if not rest.endswith("/"):
@@ -125,6 +139,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
         dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         article = article or tag in ("article", "main")
         stack.append((tag, dropped or _boilerplate(tag, rest, article, only_article), article))
+        depth[tag] += 1
     flush()
     return out
 

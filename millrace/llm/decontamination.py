@@ -7,8 +7,11 @@ within 3 bits of an item's block leads to the item.  A fingerprint within Hammin
 with the item's to 3 bits in at least one of 8 blocks, so the index finds all of them.  Each found
 pair is then decided exactly: sum of least over sum of greatest shingle counts, in percent.
 
-Windows that share too few shingles with an item to reach the threshold (a bound from the counts
-alone, which loses nothing) are not fingerprinted.  A document shorter than the item is one window.
+Two exact bounds stand around the fingerprints.  Windows that share too few shingles with an item to
+reach the threshold are not fingerprinted, which loses nothing.  And a window beyond the radius that
+shares enough to be alike, or more alike than the best one found, is decided too: about one window in
+700 at a similarity of exactly 0.8 lies there.  So results are those of comparing every window.
+A document shorter than the item is one window.
 
 Items are taken in blocks of at most ``items_per_pass``; tasks hold one block's index, whose size
 that bounds.  With more than one block, documents without any benchmark shingle (a fixed-size bit
@@ -117,22 +120,37 @@ class ItemIndex:
                 hits.setdefault(k, []).append(p)
         best: dict[int, tuple[int, int, int]] = {}
         windows: dict[int, set[int]] = {}
+        bounds: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}  # length, window starts and the most they can share
+
+        def verify(k: int, first: int, length: int) -> None:
+            least, most = self.similarity(shingles[first : first + length], k)
+            if 100 * least >= self.percent * most and (k not in best or (least * best[k][1], -first) > (best[k][0] * most, -best[k][2])):
+                best[k] = (least, most, first)
+
         for k, where in hits.items():
             length = min(int(self.sizes[k]), len(shingles))
             needed = -(-self.percent * (length + int(self.sizes[k])) // (100 + self.percent))
             where = np.array(where)
             starts = np.arange(max(0, where[0] - length + 1), min(where[-1], len(shingles) - length) + 1)
-            starts = starts[np.searchsorted(where, starts + length) - np.searchsorted(where, starts) >= needed]
+            shared = np.searchsorted(where, starts + length) - np.searchsorted(where, starts)
+            starts, shared = starts[shared >= needed], shared[shared >= needed]
             if len(starts):
                 windows.setdefault(length, set()).update(starts.tolist())
+                bounds[k] = (length, starts, shared)
+        seen: set[tuple[int, int]] = set()
         for length, chosen in windows.items():
             starts = np.array(sorted(chosen))
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * length) + 1):
                 for w, k in self.within_radius(simhashes(shingles, run, length)):
-                    first = int(run[w])
-                    least, most = self.similarity(shingles[first : first + length], k)
-                    if 100 * least >= self.percent * most and (k not in best or (least * best[k][1], -first) > (best[k][0] * most, -best[k][2])):
-                        best[k] = (least, most, first)
+                    verify(k, int(run[w]), length)
+                    seen.add((k, int(run[w])))
+        for k, (length, starts, shared) in bounds.items():  # beyond the radius: what could still be alike, or more alike
+            for i in np.argsort(-shared, kind="stable").tolist():
+                c, most = int(shared[i]), length + int(self.sizes[k])
+                if k in best and c * (best[k][1] + best[k][0]) < best[k][0] * most:
+                    break
+                if (k, int(starts[i])) not in seen:
+                    verify(k, int(starts[i]), length)
         return best
 
 
@@ -155,12 +173,12 @@ def _item_passes(benchmark: DataFrame, size: int, items_per_pass: int, percent:
     return (ItemIndex(load(part), percent) for part in range(passes)), passes, np.packbits(table, bitorder="little")
 
 
-def _touched(table: np.ndarray, size: int):
-    """Keep rows that hold at least one benchmark shingle."""
+def _touched(table: np.ndarray, size: int, at: int = 1, touched: bool = True):
+    """Keep rows whose text (column number ``at``) holds at least one benchmark shingle, or the others."""
 
     def keep(batches):
         for batch in batches:
-            ok = [bool(((table[(s & np.uint64(_BIT_TABLE - 1)) >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).any()) for _, s in _shingled(batch.column("text"), size)]
+            ok = [bool(((table[(s & np.uint64(_BIT_TABLE - 1)) >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).any()) == touched for _, s in _shingled(batch.column(at), size)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return keep
@@ -190,18 +208,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size: int
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size: int = 5, items_per_pass: int = 1000) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that no benchmark item is found in; rows are judged in place, without a join."""
-    indexes, _, _ = _item_passes(benchmark, size, items_per_pass, percent)
+    """The rows of ``docs``, with all their columns, that no benchmark item is found in; rows are judged in place, without
+    a join.  With several passes only rows that hold some benchmark shingle go through them, written every few passes."""
+    indexes, passes, table = _item_passes(benchmark, size, items_per_pass, percent)
     schema, at = docs.schema, docs.columns.index("text")
-    for index in indexes:
+    clean = None
+    if passes > 1:
+        clean = docs.mapInArrow(_touched(table, size, at, False), schema)
+        docs = stored(docs.mapInArrow(_touched(table, size, at), schema), "touched")
+    for number, index in enumerate(indexes):
 
         def keep(batches, index=index):
             for batch in batches:
-                clean = [not index.search(words, shingles) for words, shingles in _shingled(batch.column(at), size)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                ok = [not index.search(words, shingles) for words, shingles in _shingled(batch.column(at), size)]
+                yield batch.filter(pa.array(ok, pa.bool_()))
 
         docs = docs.mapInArrow(keep, schema)
-    return docs
+        if number % 8 == 7:
+            docs = stored(docs, "touched")
+    return docs if clean is None else clean.union(docs)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import near_dedup, packing, registry, repeated_strings, toxicity
-from millrace.llm.common import table
+from millrace.llm import class_lm, near_dedup, packing, registry, repeated_strings, toxicity
+from millrace.llm.common import held_out, stored, table, texts_of
 from millrace.llm.encoding import PieceEncoder
 from millrace.llm.near_dedup import least_matches
 
@@ -129,6 +131,43 @@ def test_op3_class_lm(spark, sf, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_op3_scores_are_those_of_its_model(spark, sf, texts):
+    """Scores worked out token by token from the classes that train() gives, and the likelihood that exchange raises."""
+    docs = texts_of(table(spark, sf, "documents"))
+    training = docs.where(~held_out(F.col("doc_id"), 10, 0))
+    counts = stored(class_lm.token_counts(training), "counts")
+    model = class_lm.train(training, counts, seed=500, frequent=3000)
+    number = {w: int(t) for w in {w for t in texts.values() for w in words(t)} for _, _, t, _ in class_lm.token_blocks(pa.array([w])) for t in t[:1]}
+    n, class_of = {r.token: r.n for r in counts.collect()}, {r.token: r["class"] for r in model.words.collect()}
+    k = len(model.of_class)
+    assert len(class_of) == sum(c >= 5 for t, c in n.items() if t != class_lm.END) and min(class_of.values()) >= 0 and max(class_of.values()) < k - 2
+    assert all(b >= a for a, b in zip(model.steps, model.steps[1:])) and model.steps[-1] > model.steps[0] and len(model.steps) > 3
+    in_class = Counter()
+    for t, c in class_of.items():
+        in_class[c] += n[t]
+    once, twice, rare = sum(c == 1 for c in n.values()), sum(c == 2 for c in n.values()), sum(c for t, c in n.items() if t not in class_of and t != class_lm.END)
+    discount, rare_kinds = once / (once + 2 * twice), sum(t not in class_of and t != class_lm.END for t in n)
+    for r in class_lm.scored(docs, counts, model, 10, 0).collect():
+        before, want = k - 1, 0.0
+        for w in [*words(texts[r.doc_id]), None]:
+            t = class_lm.END if w is None else number[w]
+            now = k - 1 if w is None else class_of.get(t, k - 2)
+            emitted = 1 if w is None else n[t] / in_class[now] if now < k - 2 else ((n[t] - discount) if t in n else discount * rare_kinds) / rare
+            want += model.transitions[before, now] + np.log10(emitted)
+            before = now
+        assert r.score == pytest.approx(want, rel=1e-9)
+
+
+def test_op3_class_table_keeps_its_sums(spark, sf):
+    """Rows and columns of the table with all words in classes add up to the classes' tokens."""
+    docs = texts_of(table(spark, sf, "documents"))
+    counts = stored(class_lm.token_counts(docs), "counts")
+    model = class_lm.train(docs, counts, seed=300)
+    prior = (model.of_class + 1) / (model.of_class + 1).sum()
+    assert (10**model.transitions).sum(axis=1) == pytest.approx(np.ones(len(prior)))
+    assert model.of_class.sum() == pytest.approx(model.total)
+
+
 def test_op4_best_fit_packing(spark, sf, texts):
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = {(r.doc_id, r.piece): r for r in QUERIES["op4_best_fit_packing"](spark, sf).collect()}
@@ -163,18 +202,28 @@ def test_plan_uses_exactly_what_there_is():
     assert sum(t for _, t in packing.plan({5: 10, 3: 10, 2: 10}, 10)) == 10
 
 
-def test_op6_toxicity(spark, sf, duck):
-    """Folds and scores of the small table, where too few labels teach rare words: no clean document is accused."""
-    rows = QUERIES["op6_toxicity"](spark, sf).collect()
-    toxic = dict(duck.sql("SELECT doc_id, toxic FROM labels").fetchall())
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in rows)
-    known = [r for r in rows if r.doc_id in toxic]
-    assert sum(r.predicted for r in known if not toxic[r.doc_id]) <= 0.05 * len(known)
-    sf01 = "/root/testdata/sf0.01"
-    marks = {r.doc_id: r.toxic for r in table(spark, sf01, "labels").collect()}
-    held = [r for r in QUERIES["op6_toxicity"](spark, sf01).collect() if r.held_out and r.doc_id in marks]
-    hits = sum(r.predicted for r in held if marks[r.doc_id])
-    assert hits >= 0.6 * sum(marks[r.doc_id] for r in held) and sum(r.predicted for r in held if not marks[r.doc_id]) <= 0.05 * len(held)
+def naive_measures(model, text):
+    """The same sums by looking for every pattern at every place."""
+    folded = toxicity.fold(text)
+    places = lambda pattern: [i for i in range(len(folded)) if folded.startswith(pattern, i)]
+    spared = [(i, i + len(x)) for x in model.exceptions for i in places(x)]
+    total = sum(w for x, w in model.weights.items() for i in places(x) if not any(a <= i and i + len(x) <= b for a, b in spared))
+    return (np.log1p(total), np.log1p(100 * total / max(1, len(folded.split())))) if total else (0.0, 0.0)
+
+
+def test_op6_toxicity(spark, duck):
+    """Every score of the held-out labelled documents worked out again from the lexicon; recall as the README says."""
+    sf, docs = "/root/testdata/sf0.1", table(spark, "/root/testdata/sf0.1", "documents")
+    model = toxicity.trained(docs, table(spark, sf, "labels"))
+    marks = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+    rows = {r.doc_id: r for r in QUERIES["op6_toxicity"](spark, sf).collect()}
+    assert len(rows) == docs.count() and all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for d, r in rows.items())
+    texts = {r.doc_id: r.text for r in docs.where(F.col("doc_id").isin(list(marks))).collect()}
+    c, a, b = model.curve
+    for d in sorted(marks)[::5]:
+        x, y = naive_measures(model, texts[d])
+        assert rows[d].score == pytest.approx(1 / (1 + np.exp(-np.clip(c + a * x + b * y, -30, 30))), rel=1e-6)
+    assert sum(rows[d].predicted for d, t in marks.items() if t) >= 130 and sum(rows[d].predicted for d, t in marks.items() if not t) <= 2
 
 
 def test_op7_html_text(spark, sf, duck):
@@ -242,19 +291,19 @@ def test_op9_on_a_large_family_compares_in_proportion(spark):
     report = []
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(frame, percent=85, report=report).collect()}
     assert got == dense_components({i: frozenset(shingles(t)) for i, t in rows.items()}, 85)
-    assert sum(report) < 12 * len(rows) and len(set(got.values())) > 10
+    assert sum(report) < 12 * len(rows) and len(set(got.values())) > 4
 
 
-def test_op9_splits_crowded_buckets(spark):
+def test_op9_on_alike_documents_without_links(spark):
     """Documents that share half of their text, and so many bands, without being linked; some are."""
     rows = {}
     for n in range(400):
         rows[n] = [f"common{k}" for k in range(60)] + [f"own{n // 2 if n < 40 else n}-{k}" for k in range(40)] + [f"end{n}"]
     frame = spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], "doc_id long, text string")
     report = []
-    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(frame, percent=85, report=report).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(frame, percent=85, block=32, report=report).collect()}
     assert got == components({i: frozenset(shingles(t)) for i, t in rows.items()}, 85) and len(set(got.values())) == 380
-    assert sum(report) < 400 * 399 / 4
+    assert sum(report) <= 2 * 800 + 2 * 400 * (400 / 32 + 1)
 
 
 def test_pruning_bounds_rise_with_compared_hashes():

@@ -3,6 +3,13 @@
 Each stage takes what its predecessor kept, decides on it and gives the columns of ``documents``
 (the last one: one row per packed piece).  ``run`` writes every stage's rows as Parquet in the
 shared folder and reads them again as the next one's documents.
+
+Defined results of every stage: null text is empty and stays, but for a copy of an earlier empty text;
+a row without an id is judged by its text in toxicity, exact_dedup and decontamination, and never has a
+near copy; rows that repeat an id and its text stay or go together; of equal or linked documents the
+smallest id stays, so there are no ties; texts are judged whole, however long; columns that are not those
+of documents are dropped, whatever their names; empty documents, labels or benchmark give the rows that
+the stage has no reason to drop.
 """
 
 from __future__ import annotations

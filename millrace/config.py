@@ -30,6 +30,7 @@ MANUAL_ENTRY = "Manual entry"
 NO_CONTEXT = "No relevant context found."
 REFUSAL = "I don't have enough information from the provided documents."
 GREETING = "Hello! How can I help you today? You can ask me anything, and I'll do my best to help."
+GREETING_PREVIEW = "Greeting handled without document retrieval."
 SYSTEM_PROMPT = (
     "You are a retrieval-augmented AI assistant.\nYou MUST answer ONLY using the provided context.\n\nRULES:\n- Do NOT use outside knowledge\n"
     '- If answer is missing, say exactly:\n"I don\'t have enough information from the provided documents."\n- Be concise and factual\n'

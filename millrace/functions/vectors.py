@@ -6,8 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import SETTINGS
 from .text import features_of, tokens
@@ -35,33 +37,56 @@ def normalised(a: Column) -> Column:
 
 
 def postings(df: DataFrame, key: str, text: str, dimension: int = SETTINGS.dimension) -> DataFrame:
-    """Sparse hashed vectors: (key, bucket, weight).  A feature's 64-bit digest picks the bucket, its parity the sign."""
-    digest = F.conv(F.substring(F.md5(F.col("feature")), 1, 16), 16, 10).cast("decimal(20,0)")
-    exploded = df.select(key, tokens(F.col(text)).alias("words")).select(key, F.explode(features_of(F.col("words"))).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("times"))
-    hashed = exploded.select(key, "times", digest.alias("h")).select(key, (F.col("h") % dimension).cast("int").alias("bucket"), F.when(F.col("h") % 2 == 1, F.col("times")).otherwise(-F.col("times")).alias("signed"))
-    return hashed.groupBy(key, "bucket").agg(F.sum("signed").alias("weight")).where("weight <> 0")
+    """Sparse hashed vectors: (key, bucket, weight).  A feature's 64-bit digest picks the bucket, its parity the sign.
+
+    The digest's halves are reduced apart, which gives its remainder without decimals; features become
+    (bucket, sign) in the row, and only these are summed.
+    """
+    half = lambda f, at: F.conv(F.substring(F.md5(f), at, 8), 16, 10).cast("long")
+    bucket = lambda f: ((half(f, 1) % dimension) * ((1 << 32) % dimension) + half(f, 9) % dimension) % dimension
+    listed = df.select(key, tokens(F.col(text)).alias("words")).select(key, F.explode(features_of(F.col("words"))).alias("feature"))
+    signed = listed.select(key, bucket(F.col("feature")).cast("int").alias("bucket"), F.when(F.substring(F.md5("feature"), 16, 1).isin(*"13579bdf"), 1).otherwise(-1).alias("sign"))
+    return signed.groupBy(key, "bucket").agg(F.sum("sign").alias("weight")).where("weight <> 0")
 
 
 def squared_norms(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
 
 
-def hashed_dense(df: DataFrame, key: str, text: str, dimension: int = SETTINGS.dimension) -> DataFrame:
-    """(key, embedding array<float>) by 8-byte BLAKE2b digests, features hashed once per batch; no feature gives the zero vector."""
-    listed = df.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")).select(key, features_of(F.col("words")).alias("features"))
-    key_type = dict(listed.dtypes)[key]
+#: Digests of a feature, of which the first 8 bytes count, big-endian.
+DIGESTS = {"md5": lambda b: hashlib.md5(b).digest()[:8], "blake2b": lambda b: hashlib.blake2b(b, digest_size=8).digest()}
+
+
+def term_counts(features: pa.ListArray, dimension: int, digest: str) -> np.ndarray:
+    """Signed counts by bucket, a row for each list of features; each distinct feature is hashed once."""
+    found = features.flatten().dictionary_encode()
+    hashes = np.frombuffer(b"".join(DIGESTS[digest](f.encode()) for f in found.dictionary.to_pylist()), dtype=">u8").astype(np.uint64)[found.indices.to_numpy(zero_copy_only=False)]
+    row = np.repeat(np.arange(len(features)), pc.fill_null(pc.list_value_length(features), 0).to_numpy(zero_copy_only=False))
+    at = row * dimension + (hashes % np.uint64(dimension)).astype(np.int64)
+    return np.bincount(at, weights=np.where(hashes & np.uint64(1), 1.0, -1.0), minlength=len(features) * dimension).astype(float).reshape(len(features), dimension)
+
+
+def with_features(df: DataFrame, text: str, name: str) -> DataFrame:
+    return df.withColumn("_words", tokens(F.coalesce(F.col(text), F.lit("")))).withColumn(name, features_of(F.col("_words"))).drop("_words")
+
+
+def with_vectors(df: DataFrame, text: str = "content", dimension: int = SETTINGS.dimension, digest: str = "blake2b", rows: int = 256) -> DataFrame:
+    """``df`` with embedding array<float>, the unit vector of hashed terms; no term gives the zero vector."""
+    schema, columns = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]), df.columns
 
     def embed(batches):
         for batch in batches:
-            lists = batch.column("features").to_pylist()
-            known = {f: int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big") for f in {f for one in lists for f in one}}
-            out = np.zeros((len(lists), dimension))
-            for row, one in zip(out, lists, strict=True):
-                h = np.array([known[f] for f in one], dtype=np.uint64)
-                np.add.at(row, (h % np.uint64(dimension)).astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0))
-            lengths = np.sqrt((out * out).sum(axis=1, keepdims=True))
-            np.divide(out, lengths, out=out, where=lengths > 0)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimension), pa.int32()), pa.array(out.ravel().astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([batch.column(key), values], names=[key, "embedding"])
-
-    return listed.mapInArrow(embed, f"{key} {key_type}, embedding array<float>")
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = term_counts(part.column("_features"), dimension, digest)
+                lengths = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                np.divide(out, lengths, out=out, where=lengths > 0)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimension), pa.int32()), pa.array(out.ravel().astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), values], names=[*columns, "embedding"])
+
+    return with_features(df, text, "_features").mapInArrow(embed, schema)
+
+
+def hashed_dense(df: DataFrame, key: str, text: str, dimension: int = SETTINGS.dimension) -> DataFrame:
+    """(key, embedding array<float>) by 8-byte BLAKE2b digests."""
+    return with_vectors(df.select(key, text), text, dimension).select(key, "embedding")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FALLBACK_PROMPT, NEW_CHAT, SETTINGS, SYSTEM_PROMPT
-from ..functions.text import clipped, is_blank, normal_username, role_of, spoken, strip, tail, user_prompt
+from ..functions.text import clipped, is_blank, normal_username, role_of, spoken, strip, tail, title_or_default, user_prompt
 
 TURN = "array<struct<role:string,content:string>>"
 
@@ -21,10 +21,11 @@ def last_messages(messages: DataFrame, n: int = SETTINGS.prompt_history) -> Data
 def with_history(messages: DataFrame, n: int, filter_first: bool = False) -> DataFrame:
     """User turns with what was said before: the last n turns then filtered, or filtered then the last n."""
     turn = F.struct("role", "content")
-    if filter_first:
-        good = F.col("role").isin("user", "assistant") & ~is_blank(F.col("content"))
-        said = F.collect_list(F.when(good, turn)).over(Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-        history = tail(spoken(said), n)
+    if filter_first:  # turns that count are numbered, so that a frame holds the last n of them
+        good = (F.col("role").isin("user", "assistant") & ~is_blank(F.col("content"))).cast("int")
+        numbered = messages.withColumn("_nth", F.coalesce(F.sum(good).over(Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        frame = Window.partitionBy("session_id").orderBy("_nth").rangeBetween(-n, -1)
+        messages, history = numbered, spoken(F.collect_list(F.when(good == 1, turn)).over(frame))
     else:
         history = spoken(F.collect_list(turn).over(Window.partitionBy("session_id").orderBy("id").rowsBetween(-n, -1)))
     return messages.withColumn("history", history).where("role = 'user'").select("id", "session_id", F.col("content").alias("query"), "history")
@@ -50,6 +51,22 @@ def sessions_of(sessions: DataFrame, users: DataFrame) -> tuple[DataFrame, DataF
     return sessions.join(known, "user_id", "left_semi"), sessions.join(known, "user_id", "left_anti")
 
 
+def create_sessions(sessions: DataFrame, users: DataFrame, wanted: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(sessions with the new ones, refused rows) of (arrival, user_id, title): known users only, ids go on by arrival,
+    which numbers the rows from 1 without gaps; a blank title is the default one."""
+    known = users.select(F.col("id").alias("user_id")).distinct()
+    top = sessions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    good = wanted.join(known, "user_id", "left_semi").crossJoin(F.broadcast(top))  # one row
+    new = good.select((F.col("_top") + F.col("arrival")).alias("id"), "user_id", title_or_default(F.col("title")).alias("title"), now.alias("created_at"), now.alias("updated_at"))
+    return sessions.unionByName(new, allowMissingColumns=True), wanted.join(known, "user_id", "left_anti")
+
+
+def delete_sessions(sessions: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sessions, messages) left after those of ``gone`` (user_id, session_id) that the user owns go."""
+    owned = sessions.join(gone.select(F.col("session_id").alias("id"), "user_id").distinct(), ["id", "user_id"], "left_semi").select("id")
+    return sessions.join(owned, "id", "left_anti"), messages.join(owned.withColumnRenamed("id", "session_id"), "session_id", "left_anti")
+
+
 def titled(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """Sessions still called by the default name take their first user message, clipped."""
     first = messages.where("role = 'user'").groupBy(F.col("session_id").alias("_session")).agg(F.min_by("content", "id").alias("_first"))
@@ -104,11 +121,16 @@ def register(users: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def parse_frames(frames: DataFrame) -> DataFrame:
-    """(frame_id, message, session_id, history, accepted) from JSON text: missing message is empty, a history that is no list is empty."""
+    """(frame_id, message, session_id, history, accepted) from JSON text: missing message is empty, a history that is no
+    list is empty; of its last items those that are no objects are passed over, content counts as text."""
     parsed = frames.withColumn("j", F.from_json("frame", "message string, session_id string, history string"))
-    turns = F.from_json(F.col("j.history"), "array<struct<role:string,content:string>>")
+    items = F.when(strip(F.col("j.history")).startswith("["), F.from_json(F.col("j.history"), "array<string>"))
+    objects = F.filter(tail(items, SETTINGS.prompt_history), lambda x: x.startswith("{"))
+    fields = F.transform(objects, lambda x: F.from_json(x, "map<string,string>"))
+    content = lambda m: F.when(F.map_contains_key(m, F.lit("content")), F.coalesce(m["content"], F.lit("None"))).otherwise("")
+    turns = F.transform(fields, lambda m: F.struct(m["role"].alias("role"), content(m).alias("content")))
     message = strip(F.coalesce(F.col("j.message"), F.lit("")))
-    return parsed.select("frame_id", message.alias("message"), F.expr("try_cast(j.session_id as bigint)").alias("session_id"), spoken(tail(F.coalesce(turns, F.array().cast(TURN)), SETTINGS.prompt_history)).alias("history"), (message != "").alias("accepted"))
+    return parsed.select("frame_id", message.alias("message"), F.expr("try_cast(j.session_id as bigint)").alias("session_id"), spoken(F.coalesce(turns, F.array().cast(TURN))).alias("history"), (message != "").alias("accepted"))
 
 
 def emit_frames(rows: DataFrame) -> DataFrame:

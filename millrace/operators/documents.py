@@ -71,3 +71,15 @@ def name_violations(users: DataFrame, least: int = 3, most: int = 80) -> DataFra
     wrong = users.where(~length.between(least, most) | length.isNull()).select(F.lit("username length").alias("rule"), F.coalesce("username", F.lit("")).alias("key"))
     twice = users.groupBy(F.lower(strip(F.col("username"))).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("username unique").alias("rule"), "key")
     return wrong.unionByName(twice)
+
+
+def content_violations(documents: DataFrame) -> DataFrame:
+    """(rule, key): documents whose content is missing or empty."""
+    return documents.where(F.coalesce(F.length("content"), F.lit(0)) < 1).select(F.lit("content length").alias("rule"), F.col("doc_id").cast("string").alias("key"))
+
+
+def vector_violations(chunked: DataFrame, dimension: int) -> DataFrame:
+    """(rule, key): chunks that are stored without a vector, or with one of another length."""
+    size = F.size("embedding")
+    wrong = F.when(F.col("embedding").isNull(), "vector missing").when(size != dimension, "vector length")
+    return chunked.select(wrong.alias("rule"), F.col("id").alias("key")).where("rule is not null")

@@ -6,20 +6,25 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import REFUSAL, SETTINGS
+from ..functions.text import strip
 
 
-def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], dimension: int = SETTINGS.dimension, batch: int = SETTINGS.embed_batch, safe: bool = False) -> DataFrame:
-    """(key, embedding, embed_error): ``embedder`` gets lists of at most ``batch`` texts, order kept, dimensions checked.
+def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], dimension: int = SETTINGS.dimension, batch: int = SETTINGS.embed_batch, safe: bool = False) -> DataFrame:
+    """``df`` with embedding and embed_error: ``embedder`` gets lists of at most ``batch`` stripped texts, order kept,
+    dimensions checked.  Rows with a blank text go.
 
     With ``safe`` a failing batch gives null vectors and the error's text, else it fails the job.
     """
-    key_type = dict(df.dtypes)[key]
+    schema = df.schema
+    df = df.withColumn("_stripped", strip(F.coalesce(F.col(text), F.lit("")))).where("_stripped <> ''")
 
     def run(batches):
         for rows in batches:
-            texts, vectors, errors = rows.column(text).to_pylist(), [], []
+            texts, vectors, errors = rows.column("_stripped").to_pylist(), [], []
             for at in range(0, len(texts), batch):
                 part = texts[at : at + batch]
                 try:
@@ -33,9 +38,10 @@ def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], li
                         raise
                     vectors += [None] * len(part)
                     errors += [str(e)] * len(part)
-            yield pa.RecordBatch.from_arrays([rows.column(key), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=[key, "embedding", "embed_error"])
+            kept = [rows.column(c) for c in schema.names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=[*schema.names, "embedding", "embed_error"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {key_type}, embedding array<float>, embed_error string")
+    return df.mapInArrow(run, T.StructType([*schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())]))
 
 
 def generate(prompts: DataFrame, generator: Callable[[str, str], str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import numpy as np
@@ -11,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import NO_CONTEXT, SETTINGS
-from ..functions.text import features_of, strip, tokens
-from ..functions.vectors import postings, squared_norms
+from ..functions.text import strip
+from ..functions.vectors import postings, squared_norms, term_counts, with_features
+from ..scratch import stored
 
 #: Rows of query postings that are broadcast at once, and query vectors held by a task at once.
 BROADCAST_ROWS, BLOCK_VECTORS = 200_000, 2048
@@ -24,36 +24,47 @@ def blocks(df: DataFrame, key: str, rows: int, most: int) -> list[DataFrame]:
     return [df] if n == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
+def hashed_vectors(chunked: DataFrame, dimension: int = SETTINGS.dimension, rows: int = 512) -> DataFrame:
+    """(id, source, chunk_index, counts): hashed term vectors (MD5) as 32-bit counts, made once for any number of searches."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                counts = term_counts(part.column("features"), dimension, "md5").astype("<i4")
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "source", "chunk_index")), pa.array([x.tobytes() for x in counts], pa.binary())], names=["id", "source", "chunk_index", "counts"])
+
+    listed = with_features(chunked.select("id", "source", "chunk_index", "content"), "content", "features").drop("content")
+    return listed.mapInArrow(run, "id string, source string, chunk_index int, counts binary")
+
+
 def hashed_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k, dimension: int = SETTINGS.dimension) -> DataFrame:
     """(query_id, rank, distance, id, source, chunk_index): cosine distance of hashed term vectors, ties by source, index and id.
 
-    Queries are (query_id, query), chunks (id, source, chunk_index, content).  Chunks are read once
-    and never shuffled: blocks of at most ``BLOCK_VECTORS`` query vectors travel with the tasks, a
-    chunk's buckets are summed in place, and each batch passes on its best k per query.  A chunk
-    without terms has distance NaN, which sorts last.
+    Queries are (query_id, query), chunks (id, source, chunk_index, content) or the rows of
+    ``hashed_vectors``.  Vectors of chunks never shuffle: blocks of at most ``BLOCK_VECTORS`` query
+    vectors travel with the tasks and each slice of a batch passes on its best k per query.  Texts are
+    read once; with several blocks their vectors are written and read again.  A chunk without terms has
+    distance NaN, which sorts last.
     """
     schema = pa.schema([("query_id", pa.int64()), ("distance", pa.float64()), ("id", pa.string()), ("source", pa.string()), ("chunk_index", pa.int32())])
-    parts = []
-    for part in blocks(queries, "query_id", queries.count(), BLOCK_VECTORS):
-        asked = part.select("query_id", tokens(F.coalesce("query", F.lit(""))).alias("words")).select("query_id", features_of(F.col("words")).alias("terms")).collect()  # one block of queries
-        if not asked:
+    vectors = chunked if "counts" in chunked.columns else hashed_vectors(chunked, dimension)
+    split, parts = blocks(queries, "query_id", queries.count(), BLOCK_VECTORS), []
+    if len(split) > 1 and vectors is not chunked:
+        vectors = stored(vectors, "hashed-vectors")
+    for part in split:
+        asked = part.select("query_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("chunk_index"), F.col("query").alias("content"))
+        rows = hashed_vectors(asked.withColumn("id", F.col("query_id").cast("string")), dimension).collect()  # one block of queries
+        if not rows:
             continue
-        names, table = [r.query_id for r in asked], np.zeros((len(asked), dimension), dtype=np.int64)
-        for row, r in zip(table, asked, strict=True):
-            _add_terms(row, r.terms, {}, dimension)
+        names, table = [int(r.id) for r in rows], np.stack([np.frombuffer(r.counts, "<i4") for r in rows]).astype(float)
         lengths = np.sqrt((table * table).sum(axis=1))
 
         def search(batches, names=names, table=table, lengths=lengths):
-            known: dict[str, int] = {}
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                rows = np.zeros((batch.num_rows, dimension), dtype=np.int32)
-                for row, terms in zip(rows, batch.column("terms").to_pylist(), strict=True):
-                    _add_terms(row, terms, known, dimension)
-                wide = rows.astype(float)  # whole numbers, exact in doubles
+            for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+                wide = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i4").reshape(batch.num_rows, dimension).astype(float)  # whole numbers, exact in doubles
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    distance = 1 - (table.astype(float) @ wide.T) / (lengths[:, None] * np.sqrt((wide * wide).sum(axis=1))[None, :])
+                    distance = 1 - (table @ wide.T) / (lengths[:, None] * np.sqrt((wide * wide).sum(axis=1))[None, :])
                 ids, sources, places = (batch.column(c).to_pylist() for c in ("id", "source", "chunk_index"))
                 order = np.where(np.isnan(distance), np.inf, distance)
                 cut = np.partition(order, min(k, batch.num_rows) - 1, axis=1)[:, min(k, batch.num_rows) - 1]
@@ -63,36 +74,18 @@ def hashed_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k,
                     out += [(name, float(distance[q, x[-1]]), x[-2], sources[x[-1]], places[x[-1]]) for x in sorted(near)[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], f.type) for n, f in enumerate(schema)], schema=schema)
 
-        words = chunked.select("id", "source", "chunk_index", tokens(F.coalesce("content", F.lit(""))).alias("words"))
-        terms = words.select("id", "source", "chunk_index", features_of(F.col("words")).alias("terms"))
-        parts.append(terms.mapInArrow(search, "query_id long, distance double, id string, source string, chunk_index int"))
+        parts.append(vectors.mapInArrow(search, "query_id long, distance double, id string, source string, chunk_index int"))
     if not parts:
         return chunked.sparkSession.createDataFrame([], "query_id long, rank int, distance double, id string, source string, chunk_index int")
     return _ranked(reduce(DataFrame.unionByName, parts), k)
 
 
-def _add_terms(row: np.ndarray, terms: list[str], known: dict[str, int], dimension: int) -> None:
-    """Add each term's sign to its bucket: the first 8 bytes of its MD5 digest, big-endian, give bucket and parity."""
-    if not terms:
-        return
-    if len(known) > 500_000:
-        known.clear()
-    values = []
-    for t in terms:
-        h = known.get(t)
-        if h is None:
-            h = known[t] = int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big")
-        values.append(h)
-    h = np.array(values, dtype=np.uint64)
-    np.add.at(row, (h % np.uint64(dimension)).astype(np.int64), np.where(h & np.uint64(1), 1, -1).astype(row.dtype))
-
-
 def postings_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k, dimension: int = SETTINGS.dimension) -> DataFrame:
     """The same by joining postings on their bucket, all in SQL expressions; chunks that share no bucket with a query have no row.
 
     The query side's postings are broadcast, in blocks of a checked size.
     """
-    q = postings(queries, "query_id", "query", dimension).persist()
+    q = stored(postings(queries, "query_id", "query", dimension), "query-postings")
     c = postings(chunked, "id", "content", dimension)
     lengths = squared_norms(c, "id")
     parts = []

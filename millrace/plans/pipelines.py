@@ -7,17 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import GREETING, NO_CONTEXT, SETTINGS
-from ..functions.text import clipped, is_empty_context, is_greeting, is_refusal, retrieval_query
+from ..config import GREETING, GREETING_PREVIEW, NO_CONTEXT, SETTINGS
+from ..functions.text import basename, clipped, is_empty_context, is_greeting, is_refusal, retrieval_query, strip
+from ..functions.vectors import with_vectors
 from ..operators.chat import TURN, prompt_messages
+from ..operators.documents import vector_violations
 from ..operators.plugins import generate
 from ..operators.retrieval import context, hashed_topk
-from ..sources.ingest import to_chunks
+from ..scratch import stored
+from ..sources.ingest import append, ingest_report, route_by_type, to_chunks, with_source
 
 
-def ingest(raw: DataFrame, **chunking) -> DataFrame:
-    """(doc_id, source, content) to chunk rows."""
-    return to_chunks(raw, **chunking)
+Embedder = Callable[[DataFrame], DataFrame]  # adds embedding to rows with content
+
+
+def chunks_with_vectors(raw: DataFrame, embedder: Embedder = with_vectors, **chunking) -> DataFrame:
+    """(doc_id, source, content) to chunk rows with their vectors, all in one row, so that none can be mixed up."""
+    return embedder(to_chunks(raw, **chunking))
+
+
+def ingest(files: DataFrame, extractors: dict[str, Callable], path: str, embedder: Embedder = with_vectors, dimension: int = SETTINGS.dimension, **chunking) -> tuple[DataFrame, DataFrame]:
+    """Files (path, content) through the extractor of their type, cut, embedded, checked and appended to ``path``.
+
+    Gives (report of what was stored: n_documents, n_chunks; rejected files).  Chunks without a vector, or with one of
+    a wrong length, stop the job before anything is stored.
+    """
+    texts, rejected = route_by_type(files, extractors)
+    raw = texts.select(F.xxhash64("path").alias("doc_id"), basename(F.col("path")).alias("source"), "content")
+    made = stored(chunks_with_vectors(raw, embedder, **chunking), "ingest")
+    wrong = vector_violations(made, dimension)
+    if not wrong.isEmpty():
+        raise ValueError(f"{wrong.count()} chunks have no vector of length {dimension}")
+    append(made, path)
+    return ingest_report(made), rejected
+
+
+def create_documents(raw: DataFrame, embedder: Embedder = with_vectors, **chunking) -> DataFrame:
+    """Chunk rows with vectors of new documents (doc_id, source, content); a missing source is named after its row."""
+    return chunks_with_vectors(with_source(raw), embedder, **chunking)
+
+
+def rebuild(chunked: DataFrame, updates: DataFrame, embedder: Embedder = with_vectors, **chunking) -> DataFrame:
+    """Stored chunks after the documents of ``updates`` took the place of those with their source; only new chunks are embedded."""
+    kept = chunked.join(updates.select("source").distinct(), "source", "left_anti").select(chunked.columns)
+    fresh = chunks_with_vectors(updates.where(strip(F.col("content")) != ""), embedder, **chunking)
+    return kept.unionByName(fresh)
 
 
 def with_retrieval_query(queries: DataFrame) -> DataFrame:
@@ -52,18 +86,34 @@ def finalise(answered: DataFrame) -> DataFrame:
 
 def answer(queries: DataFrame, chunked: DataFrame, grounded: Callable[[str, str], str], fallback: Callable[[str, str], str], k: int = SETTINGS.top_k) -> DataFrame:
     """Questions to answers with pluggable generators; the fallback never sees the context."""
-    plan = routed(queries, chunked, k)
+    plan = stored(routed(queries, chunked, k), "routed")  # searched once
     first = generate(plan.where("route = 'grounded'"), grounded).select("query_id", "answer")
-    other = generate(plan.where("route <> 'greeting'").withColumn("context", F.lit("")), fallback).select("query_id", F.col("answer").alias("fallback"))
-    return finalise(plan.join(first, "query_id", "left").join(other, "query_id", "left"))
-
-
-def debug(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k) -> DataFrame:
-    """(query_id, num_docs, context_preview, documents with clipped contents and scores) of every query."""
-    hits = hashed_topk(queries.select("query_id", "query"), chunked, k)
-    texts = hits.join(chunked.select("id", "content"), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "distance", "id", clipped(F.col("content"), SETTINGS.document_preview).alias("preview")))).alias("documents"))
-    found = context(queries.select("query_id", "query"), hits, chunked)
-    return found.join(texts, "query_id", "left").select("query_id", F.coalesce(F.size("documents"), F.lit(0)).alias("num_docs"), clipped(F.coalesce("context", F.lit(NO_CONTEXT)), SETTINGS.context_preview).alias("context_preview"), "documents")
+    asked = stored(plan.join(first, "query_id", "left"), "answered")
+    needs = asked.where((F.col("route") == "empty") | (F.col("route") == "grounded") & is_refusal(F.coalesce("answer", F.lit(""))))
+    other = generate(needs.withColumn("context", F.lit("")), fallback).select("query_id", F.col("answer").alias("fallback"))
+    return finalise(asked.join(other, "query_id", "left"))
+
+
+def debug(queries: DataFrame, chunked: DataFrame, grounded: Callable[[str, str], str], fallback: Callable[[str, str], str], k: int = SETTINGS.top_k) -> DataFrame:
+    """(query_id, query, answer, fallback_used, num_docs, context_preview, documents with clipped contents and scores).
+
+    ``queries``: (query_id, query[, history]).  A greeting gets its answer without a search and a preview that says so.
+    """
+    asked = with_retrieval_query(queries)
+    queries = asked.select("query_id", "query")
+    search = asked.where(~is_greeting(F.col("query"))).select("query_id", F.col("search").alias("query"))
+    hits = stored(hashed_topk(search, chunked, k), "debug-hits")
+    texts = hits.join(chunked.select("id", "content"), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "distance", "id", clipped(F.col("content"), SETTINGS.document_preview).alias("preview")))).alias("documents"))  # at most k
+    found = stored(context(search, hits, chunked), "debug-context")
+    route = F.when(is_greeting(F.col("query")), "greeting").when(is_empty_context(F.col("context")), "empty").otherwise("grounded")
+    plan = queries.join(found.select("query_id", "context", "sources"), "query_id", "left").withColumn("route", route)
+    first = stored(plan.join(generate(plan.where("route = 'grounded'"), grounded).select("query_id", "answer"), "query_id", "left"), "debug-answers")
+    needs = first.where((F.col("route") == "empty") | (F.col("route") == "grounded") & is_refusal(F.coalesce("answer", F.lit(""))))
+    other = generate(needs.withColumn("context", F.lit("")), fallback).select("query_id", F.col("answer").alias("fallback"))
+    final = finalise(first.join(other, "query_id", "left")).select("query_id", "query", "answer", "route")
+    shown = final.join(found.select("query_id", "context"), "query_id", "left").join(texts, "query_id", "left")
+    preview = F.when(F.col("route") == "greeting", GREETING_PREVIEW).otherwise(clipped(F.coalesce("context", F.lit(NO_CONTEXT)), SETTINGS.context_preview))
+    return shown.select("query_id", "query", "answer", F.col("route").isin("empty", "refused").alias("fallback_used"), F.coalesce(F.size("documents"), F.lit(0)).alias("num_docs"), preview.alias("context_preview"), "documents")
 
 
 def prompts(plan: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from ..config import FALLBACK_PROMPT, GREETING, NO_CONTEXT, REFUSAL, SYSTEM_PROM
 from ..functions.text import daypart, is_greeting, normal_username, retrieval_query, role_of
 from ..operators import chat as C
 from ..operators.plugins import extractive, generate
-from ..operators.retrieval import context, hashed_topk, postings_topk
+from ..operators.retrieval import context, hashed_topk, hashed_vectors, postings_topk
 from ..plans import pipelines as P
+from ..scratch import folder, stored
+from ..sources import ingest as S
 from ..streaming import chat_stream as R
 from .fixtures import MESSAGES_SQL, RAW_SQL, SESSIONS_SQL, USERS_SQL, chunk_table, chunks_sql, messages, postings_sql, questions, sessions, strip_sql, table, token_stream, users
 
@@ -63,10 +65,18 @@ def retrieve_hashed_context(spark, sf_dir):
     return context(questions(spark, sf_dir), _hits(spark, sf_dir), chunk_table(spark, sf_dir)).drop("sources")
 
 
-@query(f"{_CONTEXT_SQL} SELECT query_id, num_docs, substr(context, 1, 500) AS context_preview, (SELECT string_agg(substr(h.content, 1, 200), '|' ORDER BY h.rank) FROM hits h WHERE h.query_id = contexts.query_id) AS previews FROM contexts")
+@query(f"""{_CONTEXT_SQL}, shown AS (SELECT query_id, query, num_docs, substr(context, 1, 500) AS context_preview, (SELECT string_agg(substr(h.content, 1, 200), '|' ORDER BY h.rank) FROM hits h WHERE h.query_id = contexts.query_id) AS previews, length(query) % 3 = 0 AS refused FROM contexts)
+SELECT query_id, num_docs, context_preview, previews, CASE WHEN refused THEN 'I cannot say: ' || query ELSE 'found: ' || query END AS answer, refused AS fallback_used FROM shown""")
 def debug_answer(spark, sf_dir):
-    d = P.debug(questions(spark, sf_dir), chunk_table(spark, sf_dir))
-    return d.select("query_id", F.col("num_docs").cast("long").alias("num_docs"), "context_preview", F.array_join(F.transform("documents", lambda x: x["preview"]), "|").alias("previews"))
+    """A stand-in generator refuses every question whose length is a multiple of three."""
+    d = P.debug(questions(spark, sf_dir), chunk_table(spark, sf_dir), lambda q, _: REFUSAL if len(q) % 3 == 0 else f"found: {q}", lambda q, _: f"I cannot say: {q}")
+    return d.select("query_id", F.col("num_docs").cast("long").alias("num_docs"), "context_preview", F.array_join(F.transform("documents", lambda x: x["preview"]), "|").alias("previews"), "answer", "fallback_used")
+
+
+@query(f"{_TOPK_SQL} SELECT query_id, rank, distance, id, source, chunk_index FROM hits")
+def retrieve_stored_topk(spark, sf_dir):
+    """The search over vectors that were made and stored once."""
+    return hashed_topk(questions(spark, sf_dir), stored(hashed_vectors(chunk_table(spark, sf_dir)), "stored-vectors"))
 
 
 def _asked(spark, sf_dir):
@@ -213,6 +223,28 @@ def delete_cascade(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(f"""WITH {SESSIONS_SQL}, {USERS_SQL}, wanted AS (SELECT c_custkey + 1 AS arrival, CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS user_id, CASE c_custkey % 3 WHEN 0 THEN '  ' WHEN 1 THEN c_name || ' asks' END AS title FROM customer)
+SELECT (SELECT max(id) FROM sessions) + arrival AS id, user_id, coalesce(title, 'New chat') AS title, true AS created FROM (SELECT arrival, user_id, nullif(trim(title), '') AS title FROM wanted) WHERE user_id IN (SELECT id FROM users)
+UNION ALL SELECT id, user_id, title, false FROM sessions UNION ALL SELECT NULL, user_id, title, false FROM wanted WHERE user_id NOT IN (SELECT id FROM users)""")
+def create_sessions(spark, sf_dir):
+    """New sessions of customers, some unknown, some without a title."""
+    customers = table(spark, sf_dir, "customer")
+    wanted = customers.select((F.col("c_custkey") + 1).alias("arrival"), F.when(F.col("c_custkey") % 5 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("user_id"), F.when(F.col("c_custkey") % 3 == 0, F.lit("  ")).when(F.col("c_custkey") % 3 == 1, F.concat("c_name", F.lit(" asks"))).alias("title"))
+    old = sessions(spark, sf_dir)
+    made, refused = C.create_sessions(old, users(spark, sf_dir), wanted, F.timestamp_seconds(F.lit(1735689600)))
+    made = made.select("id", "user_id", "title", (F.col("created_at") == F.timestamp_seconds(F.lit(1735689600))).alias("created"))
+    return made.unionByName(refused.select(F.lit(None).cast("long").alias("id"), "user_id", "title", F.lit(False).alias("created")))
+
+
+@query(f"WITH {SESSIONS_SQL}, {MESSAGES_SQL}, gone AS (SELECT id FROM sessions WHERE id % 3 = 0) SELECT 'sessions' AS kind, id FROM sessions WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'messages', id FROM messages WHERE session_id NOT IN (SELECT id FROM gone)")
+def delete_sessions(spark, sf_dir):
+    """Every third session goes with its messages; for others a user asks who does not own them."""
+    s = sessions(spark, sf_dir)
+    gone = s.where("id % 3 < 2").select(F.col("id").alias("session_id"), (F.col("user_id") + F.col("id") % 3).alias("user_id"))
+    left, kept = C.delete_sessions(s, messages(spark, sf_dir), gone)
+    return left.select(F.lit("sessions").alias("kind"), "id").unionByName(kept.select(F.lit("messages").alias("kind"), "id"))
+
+
 @query(f"WITH {SESSIONS_SQL}, {USERS_SQL} SELECT id, user_id, user_id IN (SELECT id FROM users) AS known FROM (SELECT id, CASE WHEN id % 7 = 0 THEN -1 ELSE user_id END AS user_id FROM sessions)")
 def session_owners(spark, sf_dir):
     s = sessions(spark, sf_dir).withColumn("user_id", F.when(F.col("id") % 7 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id")))
@@ -267,18 +299,23 @@ def session_dates(spark, sf_dir):
     return sessions(spark, sf_dir).select("id", F.date_format("updated_at", "yyyy-MM-dd").alias("day"))
 
 
-@query(f"""SELECT conv_id * 100 + turn AS frame_id, CASE WHEN turn % 5 = 4 THEN '' ELSE {strip_sql('text')} END AS message, CASE WHEN turn % 3 = 1 THEN NULL ELSE conv_id END AS session_id, turn % 5 <> 4 AND {strip_sql('text')} <> '' AS accepted,
-CASE WHEN turn % 2 = 0 OR role NOT IN ('user', 'assistant') THEN 0 ELSE 1 END AS n_history FROM conversations""")
+@query(f"""WITH c AS (SELECT *, {strip_sql('text')} AS t FROM conversations), n AS (SELECT *, role IN ('user', 'assistant') AND t <> '' AS said FROM c)
+SELECT conv_id * 100 + turn AS frame_id, CASE WHEN turn % 5 = 4 THEN '' ELSE t END AS message, CASE WHEN turn % 3 = 1 THEN NULL ELSE conv_id END AS session_id, turn % 5 <> 4 AND t <> '' AS accepted,
+CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN said THEN role || '=' || t ELSE '' END WHEN 2 THEN '' ELSE CASE WHEN said THEN role || '=' || t || '|' ELSE '' END || 'assistant=5|user=None' END AS said
+FROM n""")
 def parse_frames(spark, sf_dir):
-    """JSON frames made from turns: messages that are missing, session ids that are no numbers, histories that are no lists."""
+    """JSON frames made from turns: messages that are missing, session ids that are no numbers, histories that are no lists
+    or hold numbers, texts, nulls and lists among their objects."""
     c = table(spark, sf_dir, "conversations")
-    message = F.when(F.col("turn") % 5 != 4, F.col("text"))
-    session = F.when(F.col("turn") % 3 == 1, F.lit("x1")).otherwise(F.col("conv_id").cast("string"))
-    turns = F.to_json(F.array(F.struct("role", F.col("text").alias("content")), F.struct(F.lit("system").alias("role"), F.lit("s").alias("content"))))
-    history = F.when(F.col("turn") % 2 == 0, F.lit('"none"')).otherwise(turns)
-    parts = F.concat_ws(",", F.concat(F.lit('"message":'), F.get(F.split(F.to_json(F.struct(message.alias("m"))), '"m":', 2), F.lit(1)).substr(F.lit(1), F.length(F.to_json(F.struct(message.alias("m")))) - 6)), F.concat(F.lit('"session_id":"'), session, F.lit('"')), F.concat(F.lit('"history":'), history))
-    frames = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("frame_id"), F.concat(F.lit("{"), parts, F.lit("}")).alias("frame"))
-    return C.parse_frames(frames).select("frame_id", "message", "session_id", "accepted", F.size("history").alias("n_history"))
+    quoted = lambda text: F.regexp_extract(F.to_json(F.struct(text.alias("m"))), r'(?s)^\{"m":(.*)\}$', 1)
+    turn = F.concat(F.lit('{"role":'), quoted(F.col("role")), F.lit(',"content":'), quoted(F.col("text")), F.lit("}"))
+    mixed = F.concat(F.lit('[7,"x",'), turn, F.lit(',null,{"role":"system","content":"s"},[1,2],{"role":"assistant","content":5},{"role":"user"},{"role":"user","content":null},true]'))
+    history = F.when(F.col("turn") % 4 == 0, F.lit('"none"')).when(F.col("turn") % 4 == 1, F.concat(F.lit("["), turn, F.lit("]"))).when(F.col("turn") % 4 == 2, turn).otherwise(mixed)
+    message = F.when(F.col("turn") % 5 != 4, F.concat(F.lit('"message":'), quoted(F.col("text")), F.lit(","))).otherwise("")
+    session = F.when(F.col("turn") % 3 == 1, F.lit('"x1"')).otherwise(F.col("conv_id").cast("string"))
+    frames = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("frame_id"), F.concat(F.lit("{"), message, F.lit('"session_id":'), session, F.lit(',"history":'), history, F.lit("}")).alias("frame"))
+    said = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|")
+    return C.parse_frames(frames).select("frame_id", "message", "session_id", "accepted", said.alias("said"))
 
 
 @query("SELECT conv_id * 100 + turn AS id, CASE role WHEN 'assistant' THEN 'stream' WHEN 'user' THEN 'done' ELSE 'error' END AS type, CASE role WHEN 'assistant' THEN text END AS token, CASE WHEN role = 'system' THEN text END AS message FROM conversations")
@@ -296,8 +333,6 @@ _FOLD_SQL = f"SELECT conv_id * 100 + turn AS session_id, text AS message, CAST(l
 @query(_FOLD_SQL)
 def token_stream_fold(spark, sf_dir):
     """Token frames through the stateful stream."""
-    from .scratch import folder
-
     path = folder(spark, "token-fold")
     token_stream(spark, sf_dir).write.parquet(f"{path}/in")
     stream = spark.readStream.schema("session_id bigint, seq bigint, type string, token string").parquet(f"{path}/in")
@@ -305,6 +340,25 @@ def token_stream_fold(spark, sf_dir):
     return spark.read.schema(R.FOLDED).parquet(f"{path}/rows")
 
 
+@query(f"""WITH {MESSAGES_SQL}, {SESSIONS_SQL}, asked AS (SELECT conv_id * 100 + turn AS frame_id, conv_id, turn, {strip_sql('text')} AS t FROM conversations WHERE role = 'user')
+SELECT frame_id, CASE WHEN turn % 4 = 2 THEN 'error' ELSE 'stream' END AS type, CASE WHEN turn % 4 <> 2 THEN CASE WHEN length(t) % 2 = 0 THEN 'found: ' ELSE 'I cannot say: ' END || t END AS token, CASE WHEN turn % 4 = 2 THEN 'Message cannot be empty' END AS message,
+turn % 4 <> 2 AND conv_id % 2 = 0 AS saved FROM asked""")
+def chat_stream(spark, sf_dir):
+    """User turns as frames of one stream: searched, answered, replaced where refused, saved for those who own the session."""
+    path = folder(spark, "chat-stream")
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    body = F.to_json(F.struct(F.when(F.col("turn") % 4 == 2, " ").otherwise(F.col("text")).alias("message"), F.col("conv_id").cast("string").alias("session_id")))
+    sent = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("frame_id"), (F.col("conv_id") % 50 + F.col("conv_id") % 2).alias("user_id"), F.col("turn").cast("long").alias("seq"), body.alias("frame"))
+    sent.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(sent.schema).parquet(f"{path}/in")
+    chunks = S.to_chunks(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("b").alias("source"), F.col("text").alias("content")))
+    R.chat_stream(stream, sessions(spark, sf_dir), messages(spark, sf_dir), chunks, lambda q, _: REFUSAL if len(q) % 2 else f"found: {q}", lambda q, _: f"I cannot say: {q}", path)
+    replies = spark.read.schema("frame_id bigint, frame string").parquet(f"{path}/replies/batch=*")
+    saved = spark.read.schema(R.EXCHANGES).parquet(f"{path}/exchanges/batch=*").select((F.col("session_id") * 100 + F.col("seq")).alias("frame_id"), F.lit(True).alias("saved"))
+    read = replies.select("frame_id", F.from_json("frame", "type string, token string, message string").alias("f")).select("frame_id", "f.*")
+    return read.join(saved, "frame_id", "left").withColumn("saved", F.coalesce("saved", F.lit(False)))
+
+
 @query(_FOLD_SQL)
 def token_fold_batch(spark, sf_dir):
     return R.fold_tokens_batch(token_stream(spark, sf_dir))
@@ -313,8 +367,6 @@ def token_fold_batch(spark, sf_dir):
 @query(f"WITH {_ASKED_SQL} SELECT query_id, CASE WHEN {_GREETING_SQL} THEN {_quoted(GREETING)} ELSE 'You said: ' || query END AS answer FROM asked")
 def stream_chat(spark, sf_dir):
     """Arriving messages answered batch by batch: greetings at once, the rest by a stand-in generator."""
-    from .scratch import folder
-
     path = folder(spark, "stream-chat")
     _asked(spark, sf_dir).write.parquet(f"{path}/in")
     stream = spark.readStream.schema("query_id bigint, query string").parquet(f"{path}/in")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_RE2, basename, features, normalise_space, tokens
-from ..functions.vectors import hashed_dense, normalised, norm, postings, squared_norms
+from ..functions.vectors import hashed_dense, norm, normalised, postings, squared_norms, with_vectors
 from ..operators import documents as D
 from ..operators.plugins import embed
 from ..operators.retrieval import knn
+from ..plans import pipelines as P
+from ..scratch import folder
 from ..sources import ingest as S
-from .fixtures import RAW_SQL, chunk_table, chunks_sql, postings_sql, raw_documents, table
+from .fixtures import RAW_SQL, chunk_table, chunks_sql, postings_sql, raw_documents, strip_sql, table, uuid_sql
 
 QUERIES, SQL = {}, {}
 
@@ -64,11 +67,23 @@ def admit_files(spark, sf_dir):
     return S.admit(_files(spark, sf_dir))
 
 
-@query(rf"""WITH {_FILES_SQL}, n AS (SELECT arrival, lower(regexp_extract(path, '[^/]*$', 0)) AS name FROM files),
-a AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY arrival) AS nth FROM n WHERE regexp_extract(name, '\.([^./]*)$', 1) IN ('pdf', 'docx', 'txt'))
-SELECT arrival, name, CASE nth WHEN 1 THEN name ELSE regexp_replace(name, '\.[^.]*$', '') || '_copy' || CASE nth WHEN 2 THEN '' ELSE CAST(nth - 1 AS VARCHAR) END || '.' || regexp_extract(name, '\.([^./]*)$', 1) END AS stored_name FROM a""")
+_NAMES_SQL = """names AS (SELECT page_id AS arrival, 'doc' || page_id % 13 || (['', '', '_copy', '', '_copy2', '', '_copy_copy'])[page_id % 7 + 1] || (['.txt', '.txt', '.pdf'])[page_id % 3 + 1] AS name FROM pages),
+old AS (SELECT DISTINCT 'doc' || page_id % 13 || '_copy' || page_id % 4 + 2 || '.txt' AS name FROM pages WHERE page_id % 50 = 0)"""
+
+
+@query(f"""WITH RECURSIVE {_NAMES_SQL}, n AS (SELECT row_number() OVER (ORDER BY arrival) AS i, *, regexp_extract(name, '^(.*)\\.[^.]*$', 1) AS stem, regexp_extract(name, '[^.]*$') AS ext FROM names),
+stored(i, arrival, name, stored_name, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), (SELECT list(name) FROM old)
+UNION ALL SELECT t.i, t.arrival, t.name, t.pick, list_append(t.used, t.pick) FROM (
+SELECT n.i, n.arrival, n.name, s.used, list_filter(list_transform(range(0, s.i + 60), lambda k: CASE k WHEN 0 THEN n.name WHEN 1 THEN n.stem || '_copy.' || n.ext ELSE n.stem || '_copy' || k || '.' || n.ext END), lambda c: NOT list_contains(s.used, c))[1] AS pick FROM stored s JOIN n ON n.i = s.i + 1) t)
+SELECT arrival, name, stored_name FROM stored WHERE i > 0""")
 def rename_collisions(spark, sf_dir):
-    return S.rename_collisions(S.admit(_files(spark, sf_dir)).where("admitted").select("arrival", "name"))
+    """Files named so that derived names meet names that arrive as they are, and names that are stored already."""
+    pages = table(spark, sf_dir, "pages")
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % n + 1).cast("int"))
+    stem = F.concat(F.lit("doc"), (F.col("page_id") % 13).cast("string"))
+    names = pages.select(F.col("page_id").alias("arrival"), F.concat(stem, pick(7, "", "", "_copy", "", "_copy2", "", "_copy_copy"), pick(3, ".txt", ".txt", ".pdf")).alias("name"))
+    old = pages.where("page_id % 50 = 0").select(F.concat(stem, F.lit("_copy"), (F.col("page_id") % 4 + 2).cast("string"), F.lit(".txt")).alias("name"))
+    return S.rename_collisions(names, old)
 
 
 @query("WITH p AS (SELECT source || '/' || doc_id || '.txt' AS file, string_split(text, chr(10)) AS l FROM documents) SELECT file, array_to_string(list_transform(l, lambda x: CASE WHEN length(x) < 3 THEN '' ELSE x END), chr(10)) AS content FROM p")
@@ -109,12 +124,12 @@ def resolve_document_keys(spark, sf_dir):
     return found.unionByName(missing, allowMissingColumns=True)
 
 
-@query(f"{_ROLLUP_SQL} SELECT id, source, chunk_index, row_number() OVER (PARTITION BY source ORDER BY chunk_index NULLS LAST, id) AS position FROM chunks WHERE source IS NOT NULL")
+@query(f"{_ROLLUP_SQL} SELECT id, source, chunk_index, row_number() OVER (PARTITION BY source ORDER BY chunk_index NULLS LAST, id) AS position FROM chunks")
 def document_chunks_sorted(spark, sf_dir):
     from pyspark.sql import Window
 
     order = Window.partitionBy("source").orderBy(F.col("chunk_index").asc_nulls_last(), "id")
-    return chunk_table(spark, sf_dir).where("source is not null").select("id", "source", "chunk_index", F.row_number().over(order).cast("long").alias("position"))
+    return chunk_table(spark, sf_dir).select("id", "source", "chunk_index", F.row_number().over(order).cast("long").alias("position"))
 
 
 _UPDATES_SQL = "updates AS (SELECT r.doc_id, r.source, upper(r.content) AS content FROM raw r JOIN documents d USING (doc_id) WHERE d.lang = 'es' AND r.source IS NOT NULL)"
@@ -197,7 +212,7 @@ def embed_blake2b(spark, sf_dir):
 @query()
 def embed_plugin(spark, sf_dir):
     """Chunks through a pluggable embedder (letter shares) in batches, dimension checked."""
-    return embed(chunk_table(spark, sf_dir), "id", "content", lambda texts: [[t.count(c) / max(len(t), 1) for c in "etaoinsr"] for t in texts], dimension=8)
+    return embed(chunk_table(spark, sf_dir), "content", lambda texts: [[t.count(c) / max(len(t), 1) for c in "etaoinsr"] for t in texts], dimension=8).select("id", "embedding", "embed_error")
 
 
 @query(r"SELECT page_id, lower(regexp_extract(regexp_replace(url, '\?.*$', ''), '[^/]*$', 0)) AS name, printf('%.2f MB', greatest(length(html) / 1048576.0, 0.01)) AS size_label FROM pages")
@@ -213,8 +228,76 @@ def feature_bigrams(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(f).cast("long").alias("n_features"), F.when(F.size(t) > 1, F.get(f, F.size(t))).alias("first_pair"))
 
 
-@query(f"WITH {RAW_SQL} SELECT md5(coalesce(content, '')) AS content_md5, count(*) AS n, min(doc_id) AS first_doc FROM raw GROUP BY 1")
+@query(f"WITH {RAW_SQL} SELECT {uuid_sql("doc_id || '|' || coalesce(content, '')")} AS id, md5(coalesce(content, '')) AS content_md5, CASE WHEN source IS NULL THEN 0 ELSE 1 END AS n_metadata, source FROM raw")
 def build_store(spark, sf_dir):
-    """Rows of the generic store, counted by content."""
-    store = S.build_index(raw_documents(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit(""))), "content").join(raw_documents(spark, sf_dir).select(F.coalesce("content", F.lit("")).alias("c"), "doc_id").groupBy("c").agg(F.min("doc_id").alias("first_doc")), F.col("content") == F.col("c"))
-    return store.groupBy(F.md5("content").alias("content_md5")).agg(F.count(F.lit(1)).alias("n"), F.min("first_doc").alias("first_doc"))
+    """Rows of the generic store: an id for each row, the metadata given or none."""
+    raw = raw_documents(spark, sf_dir).withColumns({"content": F.coalesce("content", F.lit("")), "metadata": F.when(F.col("source").isNotNull(), F.create_map(F.lit("source"), F.col("source")))})
+    return S.build_index(raw, "doc_id", "content", "metadata").select("id", F.md5("content").alias("content_md5"), F.size("metadata").alias("n_metadata"), F.col("metadata")["source"].alias("source"))
+
+
+def _vector_marks(df):
+    """What a vector holds, in whole numbers: buckets in use, and the places of positive and of negative ones summed up."""
+    places = lambda keep: F.aggregate(F.transform("embedding", lambda x, i: F.when(keep(x), i).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.withColumns({"n_buckets": F.size(F.filter("embedding", lambda x: x != 0)).cast("long"), "positive": places(lambda x: x > 0), "negative": places(lambda x: x < 0)}).drop("embedding")
+
+
+def _marks_sql(chunks: str, out: str) -> str:
+    return f"""{postings_sql(out + '_p', 'id', 'content', chunks)}, {out} AS (SELECT c.id, c.source, c.chunk_index, c.content, count(p.bucket) AS n_buckets, CAST(coalesce(sum(CASE WHEN p.weight > 0 THEN p.bucket END), 0) AS BIGINT) AS positive, CAST(coalesce(sum(CASE WHEN p.weight < 0 THEN p.bucket END), 0) AS BIGINT) AS negative
+FROM {chunks} c LEFT JOIN {out}_p p USING (id) GROUP BY ALL)"""
+
+
+_MARKED = ["id", "source", "chunk_index", "content", "embedding"]
+
+
+@query(f"WITH {RAW_SQL}, {chunks_sql()}, {_marks_sql('chunks', 'm')} SELECT * FROM m")
+def ingest_vectors(spark, sf_dir):
+    """Documents cut, embedded and stored; what the table holds."""
+    path = folder(spark, "ingest-vectors")
+    S.append(P.chunks_with_vectors(raw_documents(spark, sf_dir), _md5_vectors), path)
+    return _vector_marks(spark.read.parquet(path).select(_MARKED))
+
+
+@query(f"WITH {RAW_SQL}, {chunks_sql()}, {_UPDATES_SQL}, {chunks_sql(raw='updates', out='fresh')}, everything AS (SELECT * FROM chunks WHERE source IS NULL OR source NOT IN (SELECT source FROM updates) UNION ALL SELECT * FROM fresh), {_marks_sql('everything', 'm')} SELECT * FROM m")
+def rebuild_vectors(spark, sf_dir):
+    """Documents replaced in the stored table: new chunks come with their vectors."""
+    path = folder(spark, "rebuild-vectors")
+    S.append(P.chunks_with_vectors(raw_documents(spark, sf_dir), _md5_vectors), path)
+    spanish = table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id")
+    updates = raw_documents(spark, sf_dir).where("source is not null").join(spanish, "doc_id", "left_semi").select("doc_id", "source", F.upper("content").alias("content"))
+    return _vector_marks(P.rebuild(spark.read.parquet(path), updates, _md5_vectors).select(_MARKED))
+
+
+def _md5_vectors(df):
+    return with_vectors(df, digest="md5")
+
+
+_CREATED_SQL = f"created AS (SELECT doc_id, coalesce(source, 'manual-' || {uuid_sql("doc_id || '|' || content")}) AS source, content FROM (SELECT doc_id, source, {strip_sql('content')} AS content FROM raw) WHERE content <> '')"
+
+
+@query(f"WITH {RAW_SQL}, {_CREATED_SQL}, {chunks_sql(raw='created', out='c')} SELECT id, source, chunk_index, content FROM c")
+def create_documents(spark, sf_dir):
+    """New documents; those without a source get one of their own."""
+    return P.create_documents(raw_documents(spark, sf_dir), _md5_vectors).select("id", "source", "chunk_index", "content")
+
+
+@query(f"WITH {RAW_SQL}, {chunks_sql()} SELECT 'content length' AS rule, CAST(doc_id AS VARCHAR) AS key FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN NULL ELSE text END AS content FROM documents) WHERE coalesce(length(content), 0) < 1 UNION ALL SELECT CASE chunk_index WHEN 1 THEN 'vector missing' ELSE 'vector length' END, id FROM chunks WHERE chunk_index IN (1, 2)")
+def stored_violations(spark, sf_dir):
+    """Documents without content; chunks whose vector is missing or too short."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 13 != 0, F.col("text")).alias("content"))
+    c = _md5_vectors(chunk_table(spark, sf_dir)).withColumn("embedding", F.when(F.col("chunk_index") == 2, F.slice("embedding", 1, 9)).when(F.col("chunk_index") != 1, F.col("embedding")))
+    return D.content_violations(d).unionByName(D.vector_violations(c, 1024))
+
+
+@query("SELECT page_id, page_id % 5 IN (0, 1) AS accepted, CASE page_id % 5 WHEN 0 THEN replace(html, '<p>', '<P>') WHEN 1 THEN html END AS content FROM pages")
+def route_files(spark, sf_dir):
+    """Files of five endings through the extractors of two; all others are rejected."""
+    ending = F.element_at(F.array(F.lit(".txt"), F.lit(".pdf"), F.lit(".docx"), F.lit(".exe"), F.lit("")), (F.col("page_id") % 5 + 1).cast("int"))
+    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("in/"), F.col("page_id").cast("string"), ending).alias("path"), F.col("html").alias("content"))
+
+    def marked(batches):
+        for batch in batches:
+            yield batch.set_column(batch.schema.get_field_index("content"), "content", pc.replace_substring(batch.column("content"), "<p>", "<P>"))
+
+    good, bad = S.route_by_type(files, {"txt": marked, "pdf": lambda batches: batches})
+    both = good.withColumn("accepted", F.lit(True)).unionByName(bad.select("path", F.lit(None).cast("string").alias("content"), F.lit(False).alias("accepted")))
+    return both.select(F.regexp_extract("path", r"in/(\d+)", 1).cast("long").alias("page_id"), "accepted", "content")

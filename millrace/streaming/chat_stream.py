@@ -11,13 +11,21 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import REFUSAL
 from ..functions.text import chunks
+from ..operators.chat import emit_frames, last_messages, parse_frames, save_exchanges
+from ..plans.pipelines import answer
+from ..scratch import stored
 
 STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+EXCHANGES = "session_id bigint, user_id bigint, seq bigint, question string, answer string"
 FOLDED = "session_id bigint, message string, n_tokens bigint, refused boolean"
 
 
 class TokenFold(StatefulProcessor):
-    """Tokens of a session gather until its done frame; only then the message goes out, so a refusal is never shown in part."""
+    """Tokens of a session gather until its done frame; only then the message goes out, so a refusal is never shown in
+    part, and not at all where there is a ``fallback`` text for it."""
+
+    def __init__(self, fallback: str | None = None):
+        self._fallback = fallback
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._parts = handle.getListState("parts", "seq bigint, token string")
@@ -30,15 +38,17 @@ class TokenFold(StatefulProcessor):
             tokens = dict(self._parts.get()) if self._parts.exists() else {}  # a replayed seq counts once
             message = "".join(tokens[s] for s in sorted(tokens))
             self._parts.clear()
-            yield pd.DataFrame({"session_id": [key[0]], "message": [message], "n_tokens": [len(tokens)], "refused": [message.strip() == REFUSAL]})
+            refused = message.strip() == REFUSAL
+            shown = self._fallback if refused and self._fallback is not None else message
+            yield pd.DataFrame({"session_id": [key[0]], "message": [shown], "n_tokens": [len(tokens)], "refused": [refused]})
 
     def close(self) -> None:
         pass
 
 
-def fold_tokens(frames: DataFrame) -> DataFrame:
+def fold_tokens(frames: DataFrame, fallback: str | None = None) -> DataFrame:
     """A stream of (session_id, seq, type, token) to one row per finished message."""
-    return frames.groupBy("session_id").transformWithStateInPandas(TokenFold(), outputStructType=FOLDED, outputMode="Append", timeMode="None")
+    return frames.groupBy("session_id").transformWithStateInPandas(TokenFold(fallback), outputStructType=FOLDED, outputMode="Append", timeMode="None")
 
 
 def fold_tokens_batch(frames: DataFrame) -> DataFrame:
@@ -71,6 +81,47 @@ def answer_stream(messages: DataFrame, answer: Callable[[DataFrame], DataFrame],
     messages.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """Exchanges that batches before ``number`` saved."""
+    empty = spark.createDataFrame([], EXCHANGES)
+    if number == 0:
+        return empty
+    found = spark.read.schema(EXCHANGES + ", batch int").option("basePath", f"{path}/exchanges").parquet(f"{path}/exchanges/batch=*")
+    return found.where(F.col("batch") < number).drop("batch")
+
+
+def chat_stream(frames: DataFrame, sessions: DataFrame, messages: DataFrame, chunked: DataFrame, grounded: Callable[[str, str], str], fallback: Callable[[str, str], str], path: str) -> None:
+    """Arriving messages (frame_id, user_id, seq, frame) to answers and saved exchanges, batch by batch.
+
+    A frame's history is that of its session, earlier batches included, where the user owns one of that number, and
+    the one it carries where it names none.  Every question is searched and answered as a whole, so a refusal is
+    replaced before anything is shown.  ``path``/replies gets (frame_id, frame) as JSON, ``path``/exchanges what
+    ``save_exchanges`` takes; a batch overwrites its own folders, so a replay adds nothing.  Messages of one session
+    that come in one batch do not see each other.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        asked = parse_frames(df.select("frame_id", "frame")).join(df.select("frame_id", "user_id", "seq"), "frame_id")
+        owned = sessions.select(F.col("id").alias("session_id"), "user_id")
+        known = save_exchanges(sessions, messages, _earlier(spark, path, number), F.current_timestamp())[1]
+        wanted = known.join(asked.select("session_id").distinct(), "session_id", "left_semi")
+        turns = last_messages(wanted).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", "role", "content"))).alias("turns"))  # at most 12
+        with_turns = asked.join(owned.withColumn("owned", F.lit(True)), ["session_id", "user_id"], "left").join(turns, "session_id", "left")
+        stored_turns = F.transform(F.coalesce("turns", F.array().cast("array<struct<id:bigint,role:string,content:string>>")), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+        history = F.when(F.col("session_id").isNull(), F.col("history")).when(F.coalesce("owned", F.lit(False)), stored_turns).otherwise(F.slice("history", 1, 0))
+        ready = stored(with_turns.select("frame_id", "user_id", "session_id", "seq", "message", "accepted", F.coalesce("owned", F.lit(False)).alias("owned"), history.alias("history")), "chat-batch")
+        good = ready.where("accepted")
+        answers = stored(answer(good.select(F.col("frame_id").alias("query_id"), F.col("message").alias("query"), "history"), chunked, grounded, fallback).select(F.col("query_id").alias("frame_id"), "answer"), "chat-answers")
+        told = good.join(answers, "frame_id")
+        replies = told.select("frame_id", F.lit("stream").alias("type"), F.col("answer").alias("token"), F.lit(None).cast("string").alias("message"))
+        refused = ready.where("not accepted").select("frame_id", F.lit("error").alias("type"), F.lit(None).cast("string").alias("token"), F.lit("Message cannot be empty").alias("message"))
+        emit_frames(replies.unionByName(refused)).select("frame_id", "frame").write.mode("overwrite").parquet(f"{path}/replies/batch={number}")
+        told.where("owned").select("session_id", "user_id", "seq", F.col("message").alias("question"), "answer").write.mode("overwrite").parquet(f"{path}/exchanges/batch={number}")
+
+    frames.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 def ingest_stream(spark: SparkSession, folder: str, path: str, size: int, overlap: int) -> None:
     """Whole text files that arrive in ``folder`` to chunk rows under ``path``/rows."""
     files = spark.readStream.option("wholetext", "true").text(folder).select(F.input_file_name().alias("source"), "value")

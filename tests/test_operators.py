@@ -123,9 +123,9 @@ def test_answers_and_history(spark):
 
 
 def test_embedder_plugin(spark):
-    df = spark.createDataFrame([("a", "x"), ("b", "yy")], "id string, content string")
-    assert {r.id: r.embedding for r in plugins.embed(df, "id", "content", lambda ts: [[float(len(t))] for t in ts], 1).collect()} == {"a": [1.0], "b": [2.0]}
-    bad = plugins.embed(df, "id", "content", lambda ts: [[1.0, 2.0] for _ in ts], 1, safe=True).collect()
+    df = spark.createDataFrame([("a", "x"), ("b", " yy "), ("c", " "), ("d", None)], "id string, content string")
+    assert {r.id: r.embedding for r in plugins.embed(df, "content", lambda ts: [[float(len(t))] for t in ts], 1).collect()} == {"a": [1.0], "b": [2.0]}
+    bad = plugins.embed(df, "content", lambda ts: [[1.0, 2.0] for _ in ts], 1, safe=True).collect()
     assert all(r.embedding is None and r.embed_error for r in bad)
 
 
@@ -152,3 +152,83 @@ def test_constraints(spark):
     u = spark.createDataFrame([("ab",), ("abc",), ("x" * 80,), ("x" * 81,), ("Bob",), (" bob",), (None,)], "username string")
     rules = sorted((r.rule, r.key) for r in D.name_violations(u).collect())
     assert rules == [("username length", ""), ("username length", "ab"), ("username length", "x" * 81), ("username unique", "bob")]
+
+
+def test_renamed_names_never_meet(spark):
+    """Derived names meet names that arrive as they are and names that are stored; the first to arrive keeps a name."""
+    arrivals = ["a.txt", "a_copy.txt", "a.txt", "b_copy.txt", "b.txt", "b.txt", "c.txt", "c.txt", "c_copy.txt", "c_copy.txt", "a.pdf", "d.txt", "d.txt", "d.txt"]
+    names = spark.createDataFrame(list(enumerate(arrivals)), "arrival long, name string")
+    old = spark.createDataFrame([("d_copy.txt",), ("e.txt",)], "name string")
+    taken, want = {"d_copy.txt", "e.txt"}, []
+    for name in arrivals:
+        stem, ext = name.rsplit(".", 1)
+        tries = (name, f"{stem}_copy.{ext}", *(f"{stem}_copy{n}.{ext}" for n in range(2, 99)))
+        want.append(next(t for t in tries if t not in taken))
+        taken.add(want[-1])
+    assert [r.stored_name for r in S.rename_collisions(names, old).orderBy("arrival").collect()] == want
+    assert S.rename_collisions(names.limit(0)).count() == 0
+
+
+def test_frames_pass_over_what_is_no_turn(spark):
+    said = '[{"role":"user","content":"hi"},7,{"role":"assistant","content":5},null,"x",{"role":"system","content":"s"}]'
+    rows = [(1, f'{{"message":" m ","session_id":3,"history":{said}}}'), (2, '{"history":{"role":"user","content":"hi"}}'), (3, "no json")]
+    got = {r.frame_id: r for r in C.parse_frames(spark.createDataFrame(rows, "frame_id long, frame string")).collect()}
+    assert [(m.role, m.content) for m in got[1].history] == [("user", "hi"), ("assistant", "5")]
+    assert (got[1].message, got[1].session_id, got[1].accepted) == ("m", 3, True)
+    assert all((got[i].message, got[i].history, got[i].accepted) == ("", [], False) for i in (2, 3))
+
+
+def test_message_stream_sees_earlier_batches_and_replaces_refusals(spark, tmp_path):
+    s = spark.createDataFrame([(1, 5, NEW_CHAT)], "id long, user_id long, title string").withColumn("updated_at", F.timestamp_seconds(F.lit(0)))
+    m = spark.createDataFrame([(100, 1, "user", "old question")], "id long, session_id long, role string, content string")
+    chunks = spark.createDataFrame([("1", "s", 0, "the red fox sleeps")], "id string, source string, chunk_index int, content string")
+    schema = "frame_id long, user_id long, seq long, frame string"
+
+    def send(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        R.chat_stream(stream, s, m, chunks, lambda q, c: REFUSAL if "quantum" in q else "grounded", lambda q, c: "general", str(tmp_path))
+        replies = spark.read.schema("frame_id long, frame string").parquet(f"{tmp_path}/replies/batch=*")
+        return {r.frame_id: r.frame for r in replies.collect()}
+
+    send([(1, 5, 1, '{"message":"where is the fox","session_id":1}'), (2, 5, 1, '{"message":" ","session_id":1}')])
+    got = send([(3, 5, 2, '{"message":"quantum","session_id":1}'), (4, 9, 1, '{"message":"not mine","session_id":1}')])
+    assert got == {1: '{"type":"stream","token":"grounded"}', 2: '{"type":"error","message":"Message cannot be empty"}', 3: '{"type":"stream","token":"general"}', 4: '{"type":"stream","token":"grounded"}'}
+    saved = spark.read.schema(R.EXCHANGES).parquet(f"{tmp_path}/exchanges/batch=*").collect()
+    assert sorted((r.seq, r.question, r.answer) for r in saved) == [(1, "where is the fox", "grounded"), (2, "quantum", "general")]
+    assert sorted(r.id for r in C.save_exchanges(s, m, R._earlier(spark, str(tmp_path), 9), F.timestamp_seconds(F.lit(1)))[1].collect()) == [100, 101, 102, 103, 104]
+
+
+def test_folded_refusal_becomes_the_fallback(spark, tmp_path):
+    frames = spark.createDataFrame([(1, 0, "stream", REFUSAL), (1, 1, "done", None), (2, 0, "stream", "fine"), (2, 1, "done", None)], "session_id long, seq long, type string, token string")
+    frames.write.parquet(str(tmp_path / "in"))
+    R.run_available(R.fold_tokens(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in")), "Ask me otherwise."), str(tmp_path))
+    assert {r.session_id: (r.message, r.refused) for r in spark.read.parquet(str(tmp_path / "rows")).collect()} == {1: ("Ask me otherwise.", True), 2: ("fine", False)}
+
+
+def test_ingest_stores_chunks_with_vectors(spark, tmp_path):
+    files = spark.createDataFrame([("in/A.txt", "one two three"), ("in/b.exe", "x"), ("in/c.txt", "  ")], "path string, content string")
+    report, rejected = P.ingest(files, {"txt": lambda batches: batches}, str(tmp_path / "store"), size=8, overlap=2)
+    assert (report.first().n_documents, report.first().n_chunks) == (1, 2) and [r.path for r in rejected.collect()] == ["in/b.exe"]
+    store = spark.read.parquet(str(tmp_path / "store"))
+    assert {(r.source, r.chunk_index, len(r.embedding)) for r in store.collect()} == {("a.txt", 0, 1024), ("a.txt", 1, 1024)}
+    new = P.rebuild(store, spark.createDataFrame([(9, "a.txt", "four")], "doc_id long, source string, content string"), size=8, overlap=2)
+    assert [(r.content, sum(x != 0 for x in r.embedding)) for r in new.collect()] == [("four", 1)]
+    hollow = lambda df: df.withColumn("embedding", F.lit(None).cast("array<float>"))
+    with pytest.raises(ValueError, match="2 chunks"):
+        P.ingest(files, {"txt": lambda batches: batches}, str(tmp_path / "other"), hollow, size=8, overlap=2)
+
+
+def test_stores_give_equal_texts_ids_of_their_own(spark):
+    rows = spark.createDataFrame([(1, "same", {"a": "b"}), (2, "same", None)], "key long, text string, meta map<string,string>")
+    got = S.build_index(rows, "key", "text", "meta", lambda df, key, text: V.with_vectors(df, text, 8)).collect()
+    assert len({r.id for r in got}) == 2 and sorted(len(r.metadata) for r in got) == [0, 1] and all(len(r.embedding) == 8 for r in got)
+
+
+def test_debug_of_a_greeting_and_of_a_refusal(spark):
+    chunks = spark.createDataFrame([("1", "s", 0, "the red fox sleeps")], "id string, source string, chunk_index int, content string")
+    asked = spark.createDataFrame([(1, "hello there"), (2, "the fox"), (3, "quantum")], "query_id long, query string")
+    got = {r.query_id: r for r in P.debug(asked, chunks, plugins.extractive, lambda q, c: "general").collect()}
+    assert (got[1].answer, got[1].num_docs, got[1].fallback_used) == (GREETING, 0, False) and got[1].context_preview.startswith("Greeting handled")
+    assert (got[2].answer, got[2].num_docs, got[2].fallback_used) == ("the red fox sleeps", 1, False)
+    assert (got[3].answer, got[3].num_docs, got[3].fallback_used) == ("general", 1, True)

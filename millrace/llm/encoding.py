@@ -14,6 +14,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import regex
@@ -144,6 +146,11 @@ class PieceEncoder:
         cut = _CUT.split(text)
         return self._first[cut[0]] + b"".join([known[x] for x in cut[1:]])
 
+    def forget(self) -> None:
+        for table in (self._first, self._known):
+            table.clear()
+            table.older = {}
+
     def encode_u32(self, text: str) -> bytes:
         """The same as unsigned 32-bit integers."""
         return np.frombuffer(self.encode(text), self.item).astype("<u4").tobytes()
@@ -154,3 +161,13 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
+
+
+@contextmanager
+def encoding(path: str) -> Iterator[PieceEncoder]:
+    """The encoder for one task, whose table of pieces goes when the task ends: workers live on and serve other stages."""
+    one = encoder(path)
+    try:
+        yield one
+    finally:
+        one.forget()

@@ -5,7 +5,7 @@ counts pieces by length, the driver plans on that histogram (at most ``capacity`
 large the corpus), and Spark gives every piece its place from its rank among pieces of its length:
 
 1. ``plan``: for each length, longest first, the gap it leaves is looked up in the index of single
-   lengths, of pair sums and of triple sums; combinations that fill it exactly are consumed as often
+   lengths and of pair sums (triples through the pairs that are left of them); combinations that fill it exactly are consumed as often
    as availability counts allow.  What is left is packed best fit, longest first.
 2. ``place``: ranks come from a running count inside each write task plus the counts of the tasks
    before; no length class is ever gathered in one task.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, stored, texts_of
-from .encoding import encoder
+from .encoding import encoding
 
 END_ID = 0
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int64()), ("nth", pa.int64())])
@@ -43,17 +43,18 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
 
     def encode(batches):
         task, seen = TaskContext.get().partitionId(), Counter()
-        for batch in pieces(batches, 512):
-            rows = [[] for _ in _PIECES]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder(vocabulary).encode_u32(text) + END_ID.to_bytes(4, "little")
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    length = len(part) // 4
-                    for column, value in zip(rows, (doc_id, n, at // 4, length, zlib.crc32(part), task, seen[length]), strict=True):
-                        column.append(value)
-                    seen[length] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _PIECES, strict=True)], schema=_PIECES)
+        with encoding(vocabulary) as one:
+            for batch in pieces(batches, 512):
+                rows = [[] for _ in _PIECES]
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    ids = one.encode_u32(text) + END_ID.to_bytes(4, "little")
+                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        length = len(part) // 4
+                        for column, value in zip(rows, (doc_id, n, at // 4, length, zlib.crc32(part), task, seen[length]), strict=True):
+                            column.append(value)
+                        seen[length] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _PIECES, strict=True)], schema=_PIECES)
 
     return stored(texts_of(docs).mapInArrow(encode, PIECES_DDL), "pieces")
 

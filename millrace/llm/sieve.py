@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from .textkernel import mix64
 
-MOST_BITS = 28  # 32 MB at most
+MOST_BITS = 26  # 8 MB at most
 
 
 class Sieve:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, scratch, stored
-from .encoding import encoder
+from .encoding import encoding
 
 ENTRIES = "doc_id string, source string, lang string, version string, docs long, tokens long"
 TOTALS = "source string, lang string, version string, docs long, tokens long"
@@ -49,9 +49,10 @@ def counted_by_vocabulary(docs: DataFrame, vocabulary: str, version: str) -> Dat
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("version", pa.string()), ("tokens", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            counts = [len(encoder(vocabulary).encode_u32(t)) // 4 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], schema=schema)
+        with encoding(vocabulary) as one:
+            for batch in batches:
+                counts = [len(one.encode_u32(t)) // 4 for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], schema=schema)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, "doc_id long, source string, lang string, version string, tokens long")
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, record, scratch, shuffle_partitions, stored, texts_of
-from .encoding import encoder
+from .encoding import PieceEncoder, encoder, encoding
 
 END_ID = 0
 _BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("dict_hash", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -45,9 +45,10 @@ BLOCKS_DDL = "part int, block int, part_start long, dict_hash string, first_id l
 DOCS_DDL = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _serialised(path: str, text: str) -> tuple[bytes, int]:
-    raw = encoder(path).encode(text) + END_ID.to_bytes(int(encoder(path).item[-1]), "little")
-    return raw, len(raw) // int(encoder(path).item[-1])
+def _serialised(one: PieceEncoder, text: str) -> tuple[bytes, int]:
+    width = int(one.item[-1])
+    raw = one.encode(text) + END_ID.to_bytes(width, "little")
+    return raw, len(raw) // width
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, sample_rows: int = 1500, size: int = 1 << 16) -> bytes:
@@ -57,8 +58,9 @@ def train_dictionary(docs: DataFrame, vocabulary: str, sample_rows: int = 1500,
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31))).limit(2 * sample_rows)
 
     def encode(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"ids": [_serialised(vocabulary, t)[0] for t in batch.column("text").to_pylist()]}, schema=pa.schema([("ids", pa.binary())]))
+        with encoding(vocabulary) as one:
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"ids": [_serialised(one, t)[0] for t in batch.column("text").to_pylist()]}, schema=pa.schema([("ids", pa.binary())]))
 
     samples = sorted(bytes(r.ids) for r in drawn.mapInArrow(encode, "ids binary").toLocalIterator())
     try:
@@ -74,14 +76,15 @@ def _compressed(docs: DataFrame, vocabulary: str, trained: bytes, level: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 40
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained)) if trained else zstandard.ZstdCompressor(level=level)
-        for batch in pieces(batches, 512):
-            counts, frames = [], []
-            for text in batch.column("text").to_pylist():
-                raw, n = _serialised(vocabulary, text)
-                counts.append(n)
-                frames.append(press.compress(raw))
-            yield record({"doc_id": batch.column("doc_id"), "place": np.arange(place, place + len(counts)), "n_tokens": counts, "frame": frames}, _FRAMES)
-            place += len(counts)
+        with encoding(vocabulary) as one:
+            for batch in pieces(batches, 512):
+                counts, frames = [], []
+                for text in batch.column("text").to_pylist():
+                    raw, n = _serialised(one, text)
+                    counts.append(n)
+                    frames.append(press.compress(raw))
+                yield record({"doc_id": batch.column("doc_id"), "place": np.arange(place, place + len(counts)), "n_tokens": counts, "frame": frames}, _FRAMES)
+                place += len(counts)
 
     return docs.mapInArrow(run, "doc_id long, place long, n_tokens long, frame binary")
 

@@ -14,6 +14,8 @@ the stage has no reason to drop.
 
 from __future__ import annotations
 
+import functools
+
 from millrace.llm.common import stored, table
 from millrace.llm.decontamination import drop_contaminated
 from millrace.llm.exact_dedup import drop_exact_copies
@@ -24,26 +26,46 @@ from millrace.llm.toxicity import drop_toxic, trained
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Rows of an Arrow batch: five stages share the executors, so batches of whole texts are kept small.
+BATCH_ROWS = "2000"
+
+
+def _stage(function):
+    """The stage with Arrow batches of ``BATCH_ROWS`` rows, a setting of the session that stays for its lazy plan."""
+
+    @functools.wraps(function)
+    def run_stage(spark, docs, sf_dir):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def toxicity(spark, docs, sf_dir):
     """Documents scored 0.7 or more go; the model learns from the labelled rows that are not held out."""
     return drop_toxic(docs, trained(docs, table(spark, sf_dir, "labels"))).select(COLUMNS)
 
 
+@_stage
 def exact_dedup(spark, docs, sf_dir):
     """Of equal texts the document with the smallest id stays."""
     return drop_exact_copies(docs).select(COLUMNS)
 
 
+@_stage
 def near_dedup(spark, docs, sf_dir):
     """Of documents linked by a similarity of 0.8 or more on five-word shingles the one with the smallest id stays."""
     return drop_near_copies(docs, percent=80).select(COLUMNS)
 
 
+@_stage
 def decontamination(spark, docs, sf_dir):
     """Documents with a window like a benchmark item (0.8 or more on five-word shingles) go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
+@_stage
 def packing(spark, docs, sf_dir):
     """Pieces of at most 2048 tokens, each with its sequence and offset."""
     return pack_words(docs)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontamination, exact_dedup, html_text, near_dedup, packing, repeated_strings, token_rollup, token_store, toxicity
+from . import class_lm, decontamination, exact_dedup, filter_audit, html_text, near_dedup, packing, repeated_strings, token_rollup, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeated_strings": repeated_strings.op8_repeated_strings,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
         "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_token_rollup": token_rollup.SQL, "op5_exact_dedup": exact_dedup.SQL}
+    return {"op1_token_rollup": token_rollup.SQL, "op5_exact_dedup": exact_dedup.SQL, "op11_filter_audit": filter_audit.SQL}

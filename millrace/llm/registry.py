@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontamination, exact_dedup, filter_audit, html_text, near_dedup, packing, repeated_strings, secret_scan, token_rollup, token_store, toxicity
+from . import class_lm, decontamination, exact_dedup, filter_audit, html_text, near_dedup, packing, ranked_search, repeated_strings, secret_scan, token_rollup, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
         "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
         "op11_filter_audit": filter_audit.op11_filter_audit,
-        "op13_secret_scan": secret_scan.op13_secret_scan,
+        "op12_ranked_search": ranked_search.op12_ranked_search,
+        "op12_ranked_search": ranked_search.SQL, "op13_secret_scan": secret_scan.op13_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_token_rollup": token_rollup.SQL, "op5_exact_dedup": exact_dedup.SQL, "op11_filter_audit": filter_audit.SQL, "op13_secret_scan": secret_scan.SQL}
+    return {"op1_token_rollup": token_rollup.SQL, "op5_exact_dedup": exact_dedup.SQL, "op11_filter_audit": filter_audit.SQL, "op12_ranked_search": ranked_search.SQL, "op13_secret_scan": secret_scan.SQL}

@@ -75,13 +75,13 @@ def batch_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         row = end
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of all words and the row each lies in; no word crosses a row."""
+def find_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of all words and the row each lies in; no word crosses a row.  ``between``: the bytes of no word."""
     n = len(data)
     if n == 0:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
-    black = ~SPACE[data]
+    black = ~between[data]
     first = black.copy()
     first[1:] &= ~black[:-1]
     edges = offsets[(offsets > 0) & (offsets < n)]

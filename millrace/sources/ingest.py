@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EXTENSIONS, SETTINGS
 from ..functions.text import basename, extension, normalise_space, strip, uuid_of, windows
-from ..scratch import stored
+from .naming import rename_collisions
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -55,37 +55,6 @@ def route_by_type(files: DataFrame, extractors: dict[str, Callable]) -> tuple[Da
     return out, marked.where(~F.col("admitted") | ~F.col("ext").isin(*extractors))
 
 
-def rename_collisions(names: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Adds stored_name to (arrival, name): the first free of x.txt, x_copy.txt, x_copy2.txt and so on, in order of arrival.
-
-    ``existing`` (name) are stored already.  Derived names may meet names that arrive as they are: each pass gives
-    the n-th arrival of a name its n-th place that is not known to be taken, and places where an earlier arrival or
-    a stored name stands are taken for good, until no two stand in one place.
-    """
-    numbered = names.withColumn("_nth", F.row_number().over(Window.partitionBy("name").orderBy("arrival")) - 1)
-    taken, nothing = None, F.array().cast("array<int>")
-    while True:
-        if taken is None:
-            placed = numbered.withColumn("_place", F.col("_nth"))
-        else:
-            # places free before each taken one; a name's n-th arrival passes those with n or fewer
-            lists = taken.groupBy(F.col("name").alias("_name")).agg(F.array_sort(F.collect_set("_place")).alias("_taken"))
-            free_before = F.transform(F.coalesce("_taken", nothing), lambda p, i: p - i)
-            placed = numbered.join(lists, F.col("name") == F.col("_name"), "left").withColumn("_place", F.col("_nth") + F.size(F.filter(free_before, lambda n: n <= F.col("_nth")))).drop("_name", "_taken")
-        stem, ext = F.regexp_replace("name", r"\.[^.]*$", ""), extension(F.col("name"))
-        suffix = F.when(F.col("_place") == 1, "_copy").otherwise(F.concat(F.lit("_copy"), F.col("_place").cast("string")))
-        placed = stored(placed.withColumn("stored_name", F.when(F.col("_place") == 0, F.col("name")).otherwise(F.concat(stem, suffix, F.lit("."), ext))), "renamed")
-        first = placed.groupBy("stored_name").agg(F.min("arrival").alias("_first"))
-        if existing is not None:
-            first = first.join(existing.select(F.col("name").alias("stored_name"), F.lit(True).alias("_old")).distinct(), "stored_name", "left")
-        late = F.col("arrival") > F.col("_first") if existing is None else F.coalesce("_old", F.lit(False)) | (F.col("arrival") > F.col("_first"))
-        lost = placed.join(first, "stored_name").where(late).select("name", "_place")
-        lost = stored(lost.distinct(), "renamed-lost")
-        if lost.isEmpty():
-            return placed.drop("_nth", "_place")
-        taken = lost if taken is None else stored(taken.unionByName(lost), "renamed-taken")
-
-
 def to_chunks(raw: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
     """(id, source, chunk_index, content, doc_id) from (doc_id, source, content)."""
     clean = raw.select("doc_id", "source", normalise_space(F.coalesce("content", F.lit(""))).alias("clean"))

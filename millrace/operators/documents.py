@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import UUID_PATTERN, source_label, strip
+from ..config import SETTINGS
+from ..functions.text import UUID_PATTERN, normalise_space, source_label, strip, uuid_of
 from ..sources.ingest import to_chunks
+from .running import numbered, running_sums
 
 
 def rollup(chunked: DataFrame) -> DataFrame:
@@ -44,9 +46,21 @@ def resolve(keys: DataFrame, chunked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, keys.join(found.select("key"), "key", "left_anti")
 
 
+def replaced(chunked: DataFrame, updates: DataFrame, **chunking) -> tuple[DataFrame, DataFrame]:
+    """(chunks that stay, new chunks without vectors) when the documents of ``updates`` (doc_id, source, content) are cut again.
+
+    Without content a document's own chunks are joined and cut; blank content changes nothing.
+    """
+    given, again = updates.where(strip(F.col("content")) != ""), updates.where("content is null").select("source").distinct()
+    own = rechunk(chunked.join(again, "source", "left_semi"), **chunking).withColumn("doc_id", F.lit(0).cast("long"))
+    changed = given.select("source").unionByName(again).distinct()
+    return chunked.join(changed, "source", "left_anti").select(chunked.columns), to_chunks(given, **chunking).unionByName(own)
+
+
 def replace(chunked: DataFrame, updates: DataFrame, **chunking) -> DataFrame:
-    """Chunks after the documents of ``updates`` (doc_id, source, content) took the place of those with their source."""
-    return chunked.join(updates.select("source").distinct(), "source", "left_anti").select(chunked.columns).unionByName(to_chunks(updates.where(strip(F.col("content")) != ""), **chunking))
+    """Chunks after the documents of ``updates`` (doc_id, source, content or null) took the place of those with their source."""
+    kept, fresh = replaced(chunked, updates, **chunking)
+    return kept.unionByName(fresh)
 
 
 def delete(chunked: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,10 +69,30 @@ def delete(chunked: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame
     return chunked.join(gone, "source", "left_anti"), chunked.join(gone, "source", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("deleted"))
 
 
-def rechunk(chunked: DataFrame, **chunking) -> DataFrame:
-    """Documents cut again from their joined chunks, overlaps included, as an update without content does."""
-    whole = rollup(chunked.where("source is not null"))
-    return to_chunks(whole.select(F.lit(0).cast("long").alias("doc_id"), "source", "content"), **chunking)
+def rechunk(chunked: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap, key: str = "source", named_by: Column | None = None) -> DataFrame:
+    """Documents cut again from their joined chunks, overlaps included, as an update without content does.
+
+    (id, source, chunk_index, content, doc_id: the key) of all documents whose ``key`` is not null; ``named_by`` tells
+    equal texts apart in ids, where the source does not.  No document is ever
+    whole in a row: running sums of the chunks' lengths tell where each begins, so each chunk gives its piece to the two
+    or three windows that reach into it, and a window joins its pieces.
+    """
+    step = max(size - overlap, 1)
+    clean = chunked.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "source", F.coalesce("chunk_index", F.lit(0)).alias("_i"), "id", normalise_space(F.coalesce("content", F.lit(""))).alias("text")).where("text <> ''")
+    placed = running_sums(clean, ["doc_id"], ["_i", "id"], F.length("text") + 1, "start").withColumn("end", F.col("start") + F.length("text"))
+    length = placed.groupBy("doc_id").agg(F.max("end").alias("length"))
+    last = F.greatest(F.ceil((F.col("length") - size) / step), F.lit(0))  # the number of the last window
+    first = F.greatest(F.floor((F.col("start") - size) / step) + 1, F.lit(0))
+    reach = F.sequence(first.cast("long"), F.least(F.floor((F.col("end") - 1) / step), last).cast("long"))
+    met = placed.join(length, "doc_id").where(first <= last).select("doc_id", "source", "start", "end", "text", F.explode(reach).alias("w"))
+    begin = F.greatest(F.col("w") * step - F.col("start"), F.lit(0))
+    piece = F.substring("text", (begin + 1).cast("int"), (F.least(F.col("w") * step + size, F.col("end")) - F.col("start") - begin).cast("int"))
+    pieces = met.select("doc_id", "source", "w", "start", piece.alias("piece")).where("piece <> ''")
+    joined = pieces.groupBy("doc_id", "w").agg(F.max("source").alias("source"), F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("p"))  # at most size pieces
+    cut = joined.select("doc_id", "source", "w", F.trim(F.array_join(F.transform("p", lambda x: x["piece"]), " ")).alias("content")).where("content <> ''")
+    # only windows of one character can be blank, and leave a gap
+    numbers = cut.withColumn("nth", F.col("w")) if size > 1 else numbered(cut, ["doc_id"], ["w"])
+    return numbers.select(uuid_of(F.coalesce("source", F.lit("")), F.lit("0") if named_by is None else named_by, F.col("nth").cast("string"), F.col("content")).alias("id"), "source", F.col("nth").cast("int").alias("chunk_index"), "content", "doc_id")
 
 
 def dimension_violations(vectors: DataFrame, dimension: int) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GREETING, GREETING_PREVIEW, NO_CONTEXT, SETTINGS
-from ..functions.text import basename, clipped, is_empty_context, is_greeting, is_refusal, retrieval_query, strip
+from ..functions.text import basename, clipped, is_empty_context, is_greeting, is_refusal, retrieval_query
 from ..functions.vectors import with_vectors
 from ..operators.chat import TURN, prompt_messages
-from ..operators.documents import vector_violations
+from ..operators.documents import replaced, vector_violations
 from ..operators.plugins import generate
 from ..operators.retrieval import context, hashed_topk
 from ..scratch import stored
@@ -48,10 +48,12 @@ def create_documents(raw: DataFrame, embedder: Embedder = with_vectors, **chunki
 
 
 def rebuild(chunked: DataFrame, updates: DataFrame, embedder: Embedder = with_vectors, **chunking) -> DataFrame:
-    """Stored chunks after the documents of ``updates`` took the place of those with their source; only new chunks are embedded."""
-    kept = chunked.join(updates.select("source").distinct(), "source", "left_anti").select(chunked.columns)
-    fresh = chunks_with_vectors(updates.where(strip(F.col("content")) != ""), embedder, **chunking)
-    return kept.unionByName(fresh)
+    """Stored chunks after the documents of ``updates`` took the place of those with their source; only new chunks are embedded.
+
+    Without content a document's own chunks are joined and cut again; blank content changes nothing.
+    """
+    kept, fresh = replaced(chunked, updates, **chunking)
+    return kept.unionByName(embedder(fresh))
 
 
 def with_retrieval_query(queries: DataFrame) -> DataFrame:

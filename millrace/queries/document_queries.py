@@ -10,6 +10,7 @@ from ..functions.vectors import hashed_dense, norm, normalised, postings, square
 from ..operators import documents as D
 from ..operators.plugins import embed
 from ..operators.retrieval import knn
+from ..operators.store import DocumentStore
 from ..plans import pipelines as P
 from ..scratch import folder
 from ..sources import ingest as S
@@ -301,3 +302,53 @@ def route_files(spark, sf_dir):
     good, bad = S.route_by_type(files, {"txt": marked, "pdf": lambda batches: batches})
     both = good.withColumn("accepted", F.lit(True)).unionByName(bad.select("path", F.lit(None).cast("string").alias("content"), F.lit(False).alias("accepted")))
     return both.select(F.regexp_extract("path", r"in/(\d+)", 1).cast("long").alias("page_id"), "accepted", "content")
+
+
+# A bucketed store changed by key ---------------------------------------------------------------------------------------
+
+
+def _changed_store(spark, sf_dir):
+    """Documents appended, then changed by source or by the id of a chunk, then some deleted; both reports."""
+    raw, chunked = raw_documents(spark, sf_dir), chunk_table(spark, sf_dir)
+    store = DocumentStore(spark, folder(spark, "store"), buckets=16)
+    store.append(0, raw)
+    ids = chunked.where(F.when(F.col("source").isNull(), 0).otherwise(1) == F.col("chunk_index")).select("doc_id", "id")  # of a document with a source, its second chunk
+    keyed = raw.join(ids, "doc_id", "left").withColumn("by_id", F.col("source").isNull() | (F.col("doc_id") % 3 == 0) & F.col("id").isNotNull()).withColumn("key", F.when(F.col("by_id"), F.upper("id")).otherwise(F.col("source")))
+    kind = F.col("doc_id") % 7
+    content = F.when(kind == 2, " \n ").when(kind.isin(3, 5), F.translate("content", "eo", "EO"))
+    key = F.when(kind == 5, F.concat(F.lit("missing-"), F.col("doc_id").cast("string"))).otherwise(F.col("key"))
+    changes = keyed.where(kind.between(1, 5)).select(key.alias("key"), content.alias("content"), F.when(kind == 4, F.concat(F.lit("moved-"), F.col("doc_id").cast("string"))).alias("source")).where("key is not null")
+    updated = store.update(1, changes)
+    gone = keyed.where(kind == 6).select("key").where("key is not null").unionByName(spark.createDataFrame([("nothing",)], "key string"))
+    return store, updated.unionByName(store.delete(2, gone))
+
+
+_STORE_SQL = f"""WITH {RAW_SQL}, {chunks_sql()},
+ids AS (SELECT doc_id, id FROM chunks WHERE chunk_index = CASE WHEN source IS NULL THEN 0 ELSE 1 END),
+keyed AS (SELECT r.*, r.doc_id % 7 AS kind, CASE WHEN r.source IS NULL OR r.doc_id % 3 = 0 AND i.id IS NOT NULL THEN upper(i.id) ELSE r.source END AS key, coalesce(r.source, i.id) AS doc_key FROM raw r LEFT JOIN ids i USING (doc_id)),
+known AS (SELECT * FROM keyed WHERE doc_key IS NOT NULL AND key IS NOT NULL),
+mine AS (SELECT k.doc_id, k.kind, k.key, k.doc_key, k.source, c.id, c.chunk_index, c.content FROM known k JOIN chunks c ON c.doc_id = k.doc_id AND (k.source IS NOT NULL OR c.chunk_index = 0)),
+again AS (SELECT doc_key AS doc_id, CASE WHEN kind = 4 THEN 'moved-' || doc_id ELSE any_value(source) END AS source, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index, id) AS content FROM mine WHERE kind IN (1, 4) GROUP BY kind, mine.doc_id, doc_key),
+given AS (SELECT * FROM again UNION ALL SELECT doc_key, source, {strip_sql("translate(content, 'eo', 'EO')")} FROM known WHERE kind = 3),
+{chunks_sql(raw='given', out='fresh')},
+left_over AS (SELECT id, source, chunk_index, content FROM chunks WHERE id NOT IN (SELECT id FROM mine WHERE kind IN (1, 3, 4, 6)) UNION ALL SELECT id, source, chunk_index, content FROM fresh)"""
+
+
+@query(f"{_STORE_SQL} SELECT * FROM left_over")
+def store_changes(spark, sf_dir):
+    """What a store holds after updates with, without and with blank content, by source and by id, and deletions."""
+    return _changed_store(spark, sf_dir)[0].chunks()
+
+
+@query(f"""{_STORE_SQL}, n AS (SELECT doc_id AS doc_key, count(*) AS n FROM fresh GROUP BY 1), old AS (SELECT doc_key, count(*) AS n FROM mine GROUP BY 1)
+SELECT key, CASE kind WHEN 2 THEN 'blank' WHEN 6 THEN 'deleted' ELSE 'updated' END AS status, CASE kind WHEN 2 THEN 0 WHEN 6 THEN old.n ELSE n.n END AS chunks FROM known LEFT JOIN n USING (doc_key) LEFT JOIN old USING (doc_key) WHERE kind IN (1, 2, 3, 4, 6)
+UNION ALL SELECT 'missing-' || doc_id, 'missing', 0 FROM raw WHERE doc_id % 7 = 5 UNION ALL SELECT 'nothing', 'missing', 0""")
+def store_reports(spark, sf_dir):
+    return _changed_store(spark, sf_dir)[1]
+
+
+@query(f"{_STORE_SQL}, k AS (SELECT coalesce(source, id) AS doc_key, source FROM left_over), whole AS (SELECT count(DISTINCT doc_key) AS documents, count(*) AS chunks, count(DISTINCT source) AS sources FROM k) SELECT doc_key, coalesce(any_value(source), 'Manual entry') AS label, count(*) AS chunk_count, documents, chunks, sources FROM k, whole GROUP BY ALL")
+def store_listing(spark, sf_dir):
+    """The listing from counts that changes keep, beside the dashboard's totals; no contents are read."""
+    store = _changed_store(spark, sf_dir)[0]
+    return store.listing().drop("caption").crossJoin(F.broadcast(store.dashboard()))  # one row

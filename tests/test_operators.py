@@ -214,6 +214,10 @@ def test_ingest_stores_chunks_with_vectors(spark, tmp_path):
     assert {(r.source, r.chunk_index, len(r.embedding)) for r in store.collect()} == {("a.txt", 0, 1024), ("a.txt", 1, 1024)}
     new = P.rebuild(store, spark.createDataFrame([(9, "a.txt", "four")], "doc_id long, source string, content string"), size=8, overlap=2)
     assert [(r.content, sum(x != 0 for x in r.embedding)) for r in new.collect()] == [("four", 1)]
+    kept = P.rebuild(store, spark.createDataFrame([(9, "a.txt", " "), (9, "b.txt", None)], "doc_id long, source string, content string"), size=8, overlap=2)
+    assert sorted(map(str, kept.select("id", "content").collect())) == sorted(map(str, store.select("id", "content").collect()))
+    again = P.rebuild(store, spark.createDataFrame([(9, "a.txt", None)], "doc_id long, source string, content string"), size=30, overlap=2)
+    assert [(r.content, len(r.embedding)) for r in again.collect()] == [("one two wo three", 1024)]
     hollow = lambda df: df.withColumn("embedding", F.lit(None).cast("array<float>"))
     with pytest.raises(ValueError, match="2 chunks"):
         P.ingest(files, {"txt": lambda batches: batches}, str(tmp_path / "other"), hollow, size=8, overlap=2)

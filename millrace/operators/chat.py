@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import FALLBACK_PROMPT, NEW_CHAT, SETTINGS, SYSTEM_PROMPT
 from ..functions.text import clipped, is_blank, normal_username, role_of, spoken, strip, tail, title_or_default, user_prompt
+from .running import numbered, with_ids
 
 TURN = "array<struct<role:string,content:string>>"
 
@@ -103,25 +104,22 @@ def delete_users(users: DataFrame, sessions: DataFrame, messages: DataFrame, gon
 def register(users: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new users, refused rows) of (arrival, username): names are normalised, unique and the first to ask wins; ids go on.
 
-    Only newcomers are numbered; their number is a running count per hash bucket plus the buckets before.
+    Only newcomers are numbered, in levels.
     """
     names = wanted.withColumn("username", normal_username(F.col("username")))
     good = names.where(F.length("username").between(3, 80))
-    nth = F.row_number().over(Window.partitionBy("username").orderBy("arrival"))
-    first = good.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    first = good.groupBy("username").agg(F.min("arrival").alias("arrival"))
     taken = users.select(normal_username(F.col("username")).alias("username")).distinct()
-    fresh = first.join(taken, "username", "left_anti").withColumn("_bucket", F.floor(F.col("arrival") / 4096))
-    sizes = fresh.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("_bucket", F.coalesce(F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    fresh = numbered(first.join(taken, "username", "left_anti"), [], ["arrival"])
     top = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = fresh.join(before, "_bucket").crossJoin(F.broadcast(top))  # one row
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("arrival"))
-    accepted = numbered.select((F.col("_top") + F.col("_before") + place).alias("id"), "username", role_of(F.col("username")).alias("role"), "arrival")
+    placed = fresh.crossJoin(F.broadcast(top))  # one row
+    accepted = placed.select((F.col("_top") + F.col("nth") + 1).alias("id"), "username", role_of(F.col("username")).alias("role"), "arrival")
     return accepted, names.join(accepted.select("arrival"), "arrival", "left_anti")
 
 
 def parse_frames(frames: DataFrame) -> DataFrame:
-    """(frame_id, message, session_id, history, accepted) from JSON text: missing message is empty, a history that is no
+    """(frame_id, message, session_id, names_session, history, accepted) from JSON text: a session may be named that has no
+    number; missing message is empty, a history that is no
     list is empty; of its last items those that are no objects are passed over, content counts as text."""
     parsed = frames.withColumn("j", F.from_json("frame", "message string, session_id string, history string"))
     items = F.when(strip(F.col("j.history")).startswith("["), F.from_json(F.col("j.history"), "array<string>"))
@@ -130,16 +128,20 @@ def parse_frames(frames: DataFrame) -> DataFrame:
     content = lambda m: F.when(F.map_contains_key(m, F.lit("content")), F.coalesce(m["content"], F.lit("None"))).otherwise("")
     turns = F.transform(fields, lambda m: F.struct(m["role"].alias("role"), content(m).alias("content")))
     message = strip(F.coalesce(F.col("j.message"), F.lit("")))
-    return parsed.select("frame_id", message.alias("message"), F.expr("try_cast(j.session_id as bigint)").alias("session_id"), spoken(F.coalesce(turns, F.array().cast(TURN))).alias("history"), (message != "").alias("accepted"))
+    names = F.coalesce(~F.col("j.session_id").isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False))
+    return parsed.select("frame_id", message.alias("message"), F.expr("try_cast(j.session_id as bigint)").alias("session_id"), names.alias("names_session"), spoken(F.coalesce(turns, F.array().cast(TURN))).alias("history"), (message != "").alias("accepted"))
 
 
 def emit_frames(rows: DataFrame) -> DataFrame:
-    """JSON frames of (type, token, message); null fields are left out."""
-    return rows.withColumn("frame", F.to_json(F.struct("type", "token", "message")))
+    """JSON frames of (type, token, message[, user_id]); null fields are left out."""
+    return rows.withColumn("frame", F.to_json(F.struct("type", "token", "message", *(c for c in ("user_id",) if c in rows.columns))))
 
 
-def additive_columns(table: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Columns that are missing are added with their default; existing ones stay."""
+def additive_columns(table: DataFrame, columns: dict[str, Column], ids_by: list[str] | None = None) -> DataFrame:
+    """Columns that are missing are added with their default; existing ones stay.  With ``ids_by``, rows without an id
+    get the next ones, in that order."""
+    if ids_by:
+        table = with_ids(table, ids_by)
     return table.withColumns({name: default for name, default in columns.items() if name not in table.columns})
 
 

@@ -44,22 +44,24 @@ def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[fl
     return df.mapInArrow(run, T.StructType([*schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())]))
 
 
-def generate(prompts: DataFrame, generator: Callable[[str, str], str]) -> DataFrame:
-    """(query_id, answer, status): ``generator`` gets query and context; an error becomes an in-band text with status error."""
+def generate(prompts: DataFrame, generator: Callable[..., str]) -> DataFrame:
+    """(query_id, answer, status): ``generator`` gets query and context or, where ``prompts`` has ``messages``, the list of
+    messages (role, content), history included; an error becomes an in-band text with status error."""
+    told = ["messages"] if "messages" in prompts.columns else ["query", "context"]
 
     def run(batches):
         for rows in batches:
             answers, status = [], []
-            for query, text in zip(rows.column("query").to_pylist(), rows.column("context").to_pylist(), strict=True):
+            for asked in zip(*(rows.column(c).to_pylist() for c in told), strict=True):
                 try:
-                    answers.append(generator(query, text))
+                    answers.append(generator(*asked))
                     status.append("ok")
                 except Exception as e:
                     answers.append(f"[ERROR]: {e}")
                     status.append("error")
             yield pa.RecordBatch.from_arrays([rows.column("query_id"), pa.array(answers, pa.string()), pa.array(status, pa.string())], names=["query_id", "answer", "status"])
 
-    return prompts.select("query_id", "query", "context").mapInArrow(run, "query_id long, answer string, status string")
+    return prompts.select("query_id", *told).mapInArrow(run, "query_id long, answer string, status string")
 
 
 def extractive(query: str, context: str) -> str:

@@ -17,7 +17,6 @@ update or a deletion reads and rewrites the buckets of the documents it touches,
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,10 +25,10 @@ from ..config import SETTINGS
 from ..functions.text import UUID_PATTERN, source_label, strip
 from ..scratch import stored
 from ..sources.ingest import to_chunks
+from .buckets import Buckets, State
 from .documents import rechunk
 
 SCHEMAS = {"chunks": "id string, source string, chunk_index int, content string", "documents": "doc_key string, source string, chunk_count bigint", "ids": "id string, doc_key string"}
-MARKER = "name string, bucket int, batch bigint, value bigint"
 TOTALS = ("documents", "chunks", "sources")
 UPDATED, DELETED, MISSING, BLANK, SUPERSEDED = "updated", "deleted", "missing", "blank", "superseded"
 
@@ -38,54 +37,20 @@ def doc_key() -> Column:
     return F.coalesce(F.nullif("source", F.lit("")), F.col("id"))
 
 
-@dataclass
-class _State:
-    batch: int = -1
-    files: dict[tuple[str, int], list[int]] = field(default_factory=dict)
-    totals: dict[str, int] = field(default_factory=lambda: dict.fromkeys(TOTALS, 0))
-
-
-class DocumentStore:
+class DocumentStore(Buckets):
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, embedder: Callable[[DataFrame], DataFrame] | None = None, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap):
         """``embedder`` adds ``embedding`` to rows with ``content``; only new chunks are embedded."""
-        self.spark, self.path, self.buckets, self.embedder, self.cut = spark, path, buckets, embedder, {"size": size, "overlap": overlap}
-        self.schemas = SCHEMAS | ({"chunks": SCHEMAS["chunks"] + ", embedding array<float>"} if embedder else {})
+        super().__init__(spark, path, buckets, SCHEMAS | ({"chunks": SCHEMAS["chunks"] + ", embedding array<float>"} if embedder else {}))
+        self.embedder, self.cut = embedder, {"size": size, "overlap": overlap}
 
     # Reading
 
-    def committed(self) -> list[int]:
-        """Numbers of the batches whose markers are complete."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-
-    def _state(self) -> _State:
-        state, done = _State(), self.committed()
-        if done:
-            state.batch = done[-1]
-            for r in self.spark.read.schema(MARKER).parquet(f"{self.path}/commits/batch={done[-1]}").toLocalIterator():  # files of each bucket, and totals
-                if r.bucket < 0:
-                    state.totals[r.name] = r.value
-                else:
-                    state.files.setdefault((r.name, r.bucket), []).append(r.batch)
-        return state
-
-    def _table(self, state: _State, name: str, buckets: list[int] | None = None) -> DataFrame:
-        wanted = range(self.buckets) if buckets is None else buckets
-        paths = [f"{self.path}/{name}/batch={n}/bucket={b}" for b in wanted for n in state.files.get((name, b), [])]
-        if not paths:
-            return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(*paths)
-
     def chunks(self) -> DataFrame:
-        return self._table(self._state(), "chunks")
+        return self.table(self.state(), "chunks")
 
     def documents(self) -> DataFrame:
         """(doc_key, source, chunk_count) of all documents, without their contents."""
-        return self._table(self._state(), "documents").groupBy("doc_key", "source").agg(F.sum("chunk_count").alias("chunk_count"))
+        return self.table(self.state(), "documents").groupBy("doc_key", "source").agg(F.sum("chunk_count").alias("chunk_count"))
 
     def listing(self) -> DataFrame:
         """(doc_key, label, chunk_count, caption)."""
@@ -94,42 +59,15 @@ class DocumentStore:
 
     def dashboard(self) -> DataFrame:
         """One row (documents, chunks, sources), kept up to date by every change."""
-        totals = self._state().totals
-        return self.spark.createDataFrame([tuple(totals[t] for t in TOTALS)], ", ".join(f"{t} bigint" for t in TOTALS))
-
-    def _bucket(self, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-
-    def _buckets_of(self, *keys: DataFrame) -> list[int]:
-        """Buckets that hold the keys (doc_key): at most all of them."""
-        found: set[int] = set()
-        for df in keys:
-            found |= {r.b for r in df.select(self._bucket("doc_key").alias("b")).distinct().toLocalIterator()}
-        return sorted(found)
+        totals = self.state().totals
+        return self.spark.createDataFrame([tuple(totals.get(t, 0) for t in TOTALS)], ", ".join(f"{t} bigint" for t in TOTALS))
 
     # Writing
 
-    def _write(self, name: str, rows: DataFrame, key: str, batch: int, by: list[str]) -> tuple[DataFrame, list[int]]:
-        """New files of a table, split evenly whatever the documents' sizes; the rows as written, and their buckets."""
-        path = f"{self.path}/{name}/batch={batch}"
-        rows.withColumn("bucket", self._bucket(key)).repartitionByRange("bucket", *by).drop("_key").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        written = self.spark.read.schema(f"{self.schemas[name]}, bucket int").option("basePath", path).parquet(path)
-        return written.drop("bucket"), [r.bucket for r in written.select("bucket").distinct().toLocalIterator()]
-
-    def _finish(self, batch: int, state: _State, report: DataFrame | None) -> None:
+    def _finish(self, batch: int, state: State, report: DataFrame | None) -> None:
         if report is not None:
             report.write.mode("overwrite").parquet(f"{self.path}/reports/batch={batch}")
-        rows = [(name, b, n, None) for (name, b), files in sorted(state.files.items()) for n in files] + [(t, -1, batch, state.totals[t]) for t in TOTALS]
-        self.spark.createDataFrame(rows, MARKER).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
-
-    def _begun(self, batch: int) -> _State | None:
-        """The state that ``batch`` starts from, or None where it is committed already."""
-        done = self.committed()
-        if batch in done:
-            return None
-        if done and batch < done[-1]:
-            raise ValueError(f"batch {batch} comes after batch {done[-1]}")
-        return self._state()
+        self.commit(batch, state)
 
     def _embedded(self, chunks: DataFrame) -> DataFrame:
         plain = chunks.select("id", "source", "chunk_index", "content")
@@ -144,57 +82,53 @@ class DocumentStore:
         r = whole.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.count("source").alias("sources")).first()
         return {t: r[t] for t in TOTALS}
 
-    def append(self, batch: int, raw: DataFrame) -> None:
+    def append(self, batch: int, raw: DataFrame, check: Callable[[DataFrame], None] | None = None) -> None:
         """Add documents (doc_id, source, content); those of a known source join its chunks."""
-        state = self._begun(batch)
-        if state is not None:
-            self._append(batch, state, to_chunks(raw, **self.cut))
+        self.append_chunks(batch, to_chunks(raw, **self.cut), check)
 
-    def _append(self, batch: int, state: _State, chunks: DataFrame) -> None:
-        written, buckets = self._write("chunks", self._embedded(chunks).withColumn("_key", doc_key()), "_key", batch, ["id"])
-        self._finish(batch, self._grown(batch, state, written, buckets), None)
+    def append_chunks(self, batch: int, chunks: DataFrame, check: Callable[[DataFrame], None] | None = None) -> None:
+        """Add chunks (id, source, chunk_index, content); ``check`` may stop the batch after a look at what was written."""
+        state = self.begun(batch)
+        if state is not None:
+            written, buckets = self.write("chunks", self._embedded(chunks).withColumn("_key", doc_key()), "_key", batch, ["id"])
+            if check is not None:
+                check(written)
+            self._finish(batch, self._grown(batch, state, written, buckets), None)
 
-    def _grown(self, batch: int, state: _State, written: DataFrame, buckets: list[int], rewritten: list[int] | None = None) -> _State:
+    def _grown(self, batch: int, state: State, written: DataFrame, buckets: list[int], rewritten: list[int] | None = None) -> State:
         """``state`` after the chunks ``written`` came to ``buckets``; those of ``rewritten`` hold nothing else."""
-        before = self._summed(self._table(state, "documents", buckets if rewritten is None else rewritten))
-        fresh, filled = self._write("documents", self._counted(written), "doc_key", batch, ["doc_key"])
-        old = {b for b in rewritten or []}
-        for b in old:
-            state.files.pop(("chunks", b), None)
-            state.files.pop(("documents", b), None)
-        for b in buckets:
-            state.files.setdefault(("chunks", b), []).append(batch)
-        for b in filled:
-            state.files.setdefault(("documents", b), []).append(batch)
-        after = self._summed(self._table(state, "documents", buckets if rewritten is None else rewritten))
-        state.totals = {t: state.totals[t] + after[t] - before[t] for t in TOTALS}
+        before = self._summed(self.table(state, "documents", buckets if rewritten is None else rewritten))
+        fresh, filled = self.write("documents", self._counted(written), "doc_key", batch, ["doc_key"])
+        self.replace(state, "chunks", rewritten or [], batch, buckets)
+        self.replace(state, "documents", rewritten or [], batch, filled)
+        after = self._summed(self.table(state, "documents", buckets if rewritten is None else rewritten))
+        state.totals = {t: state.totals.get(t, 0) + after[t] - before[t] for t in TOTALS}
         known = written.select("id", doc_key().alias("doc_key"))
-        _, homes = self._write("ids", known, "id", batch, ["id"])
-        for b in homes:
-            state.files.setdefault(("ids", b), []).append(batch)
+        _, homes = self.write("ids", known, "id", batch, ["id"])
+        self.replace(state, "ids", [], batch, homes)
         return state
 
     # Changes by key
 
-    def _resolved(self, state: _State, keys: DataFrame) -> DataFrame:
+    def _resolved(self, state: State, keys: DataFrame) -> DataFrame:
         """(key, doc_key) of keys that are chunk ids or sources; an id finds its whole document, and goes before a source."""
         keys = keys.select("key").where("key is not null").distinct()
         uuids = keys.where(F.col("key").rlike(UUID_PATTERN)).select("key", F.lower("key").alias("id"))
-        homes = sorted({r.b for r in uuids.select(self._bucket("id").alias("b")).distinct().toLocalIterator()})
-        claimed = stored(uuids.join(self._table(state, "ids", homes), "id").distinct(), "claimed")
-        there = self._table(state, "chunks", self._buckets_of(claimed)).select("id", doc_key().alias("doc_key"))  # entries of ids may be of chunks that are gone
+        homes = sorted({r.b for r in uuids.select(self.bucket("id").alias("b")).distinct().toLocalIterator()})
+        claimed = stored(uuids.join(self.table(state, "ids", homes), "id").distinct(), "claimed")
+        there = self.table(state, "chunks", self.buckets_of("doc_key", claimed)).select("id", doc_key().alias("doc_key"))  # entries of ids may be of chunks that are gone
         by_id = claimed.join(there, ["id", "doc_key"], "left_semi").select("key", "doc_key")
         rest = keys.join(by_id.select("key"), "key", "left_anti")
-        named = self._table(state, "documents", self._buckets_of(rest.select(F.col("key").alias("doc_key")))).where("source is not null").select("doc_key").distinct()
+        named = self.table(state, "documents", self.buckets_of("doc_key", rest.select(F.col("key").alias("doc_key")))).where("source is not null").select("doc_key").distinct()
         return stored(by_id.unionByName(rest.join(named, rest["key"] == named["doc_key"])), "resolved")
 
     def delete(self, batch: int, keys: DataFrame) -> DataFrame:
         """Remove the documents of ``keys`` (key: a chunk id or a source).  The report: (key, status, chunks)."""
-        state = self._begun(batch)
+        state = self.begun(batch)
         if state is not None:
             found = self._resolved(state, keys)
-            touched = self._buckets_of(found)
-            counts = self._table(state, "documents", touched).groupBy("doc_key").agg(F.sum("chunk_count").alias("chunks"))
+            touched = self.buckets_of("doc_key", found)
+            counts = self.table(state, "documents", touched).groupBy("doc_key").agg(F.sum("chunk_count").alias("chunks"))
             told = keys.select("key").distinct().join(found, "key", "left").join(counts, "doc_key", "left")
             report = told.select("key", F.when(F.col("doc_key").isNull(), MISSING).otherwise(DELETED).alias("status"), F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
             self._rewrite(batch, state, found, None, report, touched)
@@ -206,7 +140,7 @@ class DocumentStore:
         Without content the document's own chunks are joined and cut again; blank content is refused and changes nothing.
         Without a source the document keeps its own.  Of several changes to one document the last by ``seq`` counts.
         """
-        state = self._begun(batch)
+        state = self.begun(batch)
         if state is not None:
             seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
             asked = changes.select("key", "content", F.nullif("source", F.lit("")).alias("new_source"), seq.cast("long").alias("seq"), strip(F.col("content")).alias("clean"))
@@ -216,7 +150,7 @@ class DocumentStore:
             status = F.when(F.col("doc_key").isNull(), MISSING).when(F.col("nth") > 1, SUPERSEDED).when(F.col("clean") == "", BLANK).otherwise(UPDATED)
             marked = stored(ranked.withColumn("status", status), "changes")
             good = marked.where(F.col("status") == UPDATED)
-            old = self._table(state, "chunks", self._buckets_of(good)).withColumn("doc_key", doc_key())
+            old = self.table(state, "chunks", self.buckets_of("doc_key", good)).withColumn("doc_key", doc_key())
             whole = good.where("content is not null").select("doc_key", "new_source", F.col("clean").alias("content"))
             sources = old.select("doc_key", F.nullif("source", F.lit("")).alias("source")).distinct()
             given = whole.join(sources, "doc_key").select(F.col("doc_key").alias("doc_id"), F.coalesce("new_source", "source").alias("source"), "content")
@@ -232,14 +166,14 @@ class DocumentStore:
             self._rewrite(batch, state, gone, fresh.drop("_from"), report, None)
         return self._report(batch)
 
-    def _rewrite(self, batch: int, state: _State, gone: DataFrame, fresh: DataFrame | None, report: DataFrame, touched: list[int] | None) -> None:
+    def _rewrite(self, batch: int, state: State, gone: DataFrame, fresh: DataFrame | None, report: DataFrame, touched: list[int] | None) -> None:
         if touched is None:
-            touched = self._buckets_of(gone, fresh.select(doc_key().alias("doc_key")))
+            touched = self.buckets_of("doc_key", gone, fresh.select(doc_key().alias("doc_key")))
         report = stored(report, "report")
-        kept = self._table(state, "chunks", touched).withColumn("_key", doc_key()).join(gone.select(F.col("doc_key").alias("_key")).distinct(), "_key", "left_anti")
+        kept = self.table(state, "chunks", touched).withColumn("_key", doc_key()).join(gone.select(F.col("doc_key").alias("_key")).distinct(), "_key", "left_anti")
         rows = kept if fresh is None else kept.unionByName(fresh.withColumn("_key", doc_key()))
         if touched:
-            written, buckets = self._write("chunks", rows, "_key", batch, ["id"])
+            written, buckets = self.write("chunks", rows, "_key", batch, ["id"])
             state = self._grown(batch, state, written, buckets, touched)
         self._finish(batch, state, report)
 
@@ -248,7 +182,7 @@ class DocumentStore:
 
     def compact(self, batch: int) -> None:
         """Join the files of every bucket, and forget the ids of chunks that are gone."""
-        state = self._begun(batch)
+        state = self.begun(batch)
         if state is not None:
             nobody = self.spark.createDataFrame([], "doc_key string")
             for key in [k for k in state.files if k[0] == "ids"]:

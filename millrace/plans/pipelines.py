@@ -86,16 +86,24 @@ def finalise(answered: DataFrame) -> DataFrame:
     )
 
 
-def answer(queries: DataFrame, chunked: DataFrame, grounded: Callable[[str, str], str], fallback: Callable[[str, str], str], k: int = SETTINGS.top_k) -> DataFrame:
-    """Questions to answers with pluggable generators; the fallback never sees the context."""
+def answer(queries: DataFrame, chunked: DataFrame, grounded: Callable[..., str], fallback: Callable[..., str], k: int = SETTINGS.top_k, chat: bool = False) -> DataFrame:
+    """Questions to answers with pluggable generators; the fallback never sees the context.
+
+    Generators get query and context or, with ``chat``, the messages of the prompt: system, history, question.
+    """
     plan = stored(routed(queries, chunked, k), "routed")  # searched once
-    first = generate(plan.where("route = 'grounded'"), grounded).select("query_id", "answer")
+    first = generate(_prompted(plan.where("route = 'grounded'"), True, chat), grounded).select("query_id", "answer")
     asked = stored(plan.join(first, "query_id", "left"), "answered")
     needs = asked.where((F.col("route") == "empty") | (F.col("route") == "grounded") & is_refusal(F.coalesce("answer", F.lit(""))))
-    other = generate(needs.withColumn("context", F.lit("")), fallback).select("query_id", F.col("answer").alias("fallback"))
+    other = generate(_prompted(needs.withColumn("context", F.lit("")), False, chat), fallback).select("query_id", F.col("answer").alias("fallback"))
     return finalise(asked.join(other, "query_id", "left"))
 
 
+def _prompted(plan: DataFrame, grounded: bool, chat: bool) -> DataFrame:
+    history = F.coalesce("history", F.array().cast(TURN))
+    return plan.withColumn("messages", prompt_messages(F.col("query"), F.col("context"), history, grounded)) if chat else plan
+
+
 def debug(queries: DataFrame, chunked: DataFrame, grounded: Callable[[str, str], str], fallback: Callable[[str, str], str], k: int = SETTINGS.top_k) -> DataFrame:
     """(query_id, query, answer, fallback_used, num_docs, context_preview, documents with clipped contents and scores).
 

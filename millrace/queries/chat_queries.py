@@ -286,6 +286,14 @@ def evolve_columns(spark, sf_dir):
     return C.additive_columns(users(spark, sf_dir), {"username": F.lit("none"), "role": F.lit("user"), "score": F.col("id") * 2})
 
 
+@query("SELECT CASE WHEN turn % 3 = 0 THEN 1000 + conv_id * 100 + turn ELSE (SELECT max(1000 + conv_id * 100 + turn) FROM conversations WHERE turn % 3 = 0) + row_number() OVER (PARTITION BY turn % 3 = 0 ORDER BY conv_id, turn) END AS id, conv_id, turn, 'user' AS kind FROM conversations")
+def fill_ids(spark, sf_dir):
+    """An old table two thirds of whose rows have no id yet: they get the next ones, in order, without a gap."""
+    c = table(spark, sf_dir, "conversations")
+    old = c.select(F.when(F.col("turn") % 3 == 0, 1000 + F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", "turn")
+    return C.additive_columns(old, {"id": F.lit(0), "kind": F.lit("user")}, ids_by=["conv_id", "turn"])
+
+
 # Times, frames and streams --------------------------------------------------------------------------------------------
 
 
@@ -337,7 +345,7 @@ def token_stream_fold(spark, sf_dir):
     token_stream(spark, sf_dir).write.parquet(f"{path}/in")
     stream = spark.readStream.schema("session_id bigint, seq bigint, type string, token string").parquet(f"{path}/in")
     R.run_available(R.fold_tokens(stream), path)
-    return spark.read.schema(R.FOLDED).parquet(f"{path}/rows")
+    return spark.read.schema(R.FOLDED).parquet(f"{path}/rows").drop("done_seq")
 
 
 @query(f"""WITH {MESSAGES_SQL}, {SESSIONS_SQL}, asked AS (SELECT conv_id * 100 + turn AS frame_id, conv_id, turn, {strip_sql('text')} AS t FROM conversations WHERE role = 'user')
@@ -353,15 +361,67 @@ def chat_stream(spark, sf_dir):
     stream = spark.readStream.schema(sent.schema).parquet(f"{path}/in")
     chunks = S.to_chunks(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("b").alias("source"), F.col("text").alias("content")))
     R.chat_stream(stream, sessions(spark, sf_dir), messages(spark, sf_dir), chunks, lambda q, _: REFUSAL if len(q) % 2 else f"found: {q}", lambda q, _: f"I cannot say: {q}", path)
-    replies = spark.read.schema("frame_id bigint, frame string").parquet(f"{path}/replies/batch=*")
+    replies = spark.read.schema("frame_id bigint, place int, frame string").parquet(f"{path}/replies/batch=*").where("place = 0")
     saved = spark.read.schema(R.EXCHANGES).parquet(f"{path}/exchanges/batch=*").select((F.col("session_id") * 100 + F.col("seq")).alias("frame_id"), F.lit(True).alias("saved"))
     read = replies.select("frame_id", F.from_json("frame", "type string, token string, message string").alias("f")).select("frame_id", "f.*")
     return read.join(saved, "frame_id", "left").withColumn("saved", F.coalesce("saved", F.lit(False)))
 
 
+@query(f"""WITH {MESSAGES_SQL}, {SESSIONS_SQL}, asked AS (SELECT conv_id * 100 + turn AS frame_id, conv_id, turn, {strip_sql('text')} AS t, conv_id % 3 <> 1 AS owned FROM conversations WHERE role = 'user' AND turn % 4 <> 2),
+counted AS (SELECT a.*, (SELECT count(*) FROM asked b WHERE b.conv_id = a.conv_id AND b.turn < a.turn) AS before FROM asked a),
+old AS (SELECT session_id, {_GOOD_SQL} AS said, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS back FROM messages),
+heard AS (SELECT c.*, CASE WHEN owned THEN 2 * before + (SELECT count(*) FROM old WHERE session_id = c.conv_id AND said AND back <= 12 - 2 * before) ELSE 0 END AS n FROM counted c)
+SELECT frame_id, CAST(0 AS INTEGER) AS place, 'stream' AS type, n || ' turns: ' || t AS token, NULL AS message, CAST(conv_id % 50 + CAST(NOT owned AS INTEGER) AS VARCHAR) AS user_id FROM heard
+UNION ALL SELECT frame_id, 1, CASE WHEN owned THEN 'done' ELSE 'error' END, NULL, CASE WHEN NOT owned THEN 'Unable to save chat history' END, CASE WHEN owned THEN CAST(conv_id % 50 AS VARCHAR) END FROM heard
+UNION ALL SELECT conv_id * 100 + turn, 0, 'error', NULL, 'Message cannot be empty', NULL FROM conversations WHERE role = 'user' AND turn % 4 = 2""")
+def chat_turns(spark, sf_dir):
+    """User turns as frames of one stream in two batches: each answer tells how many turns its generator was shown, and
+    every frame that goes out is given, done and error frames too."""
+    path = folder(spark, "chat-turns")
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    body = F.to_json(F.struct(F.when(F.col("turn") % 4 == 2, " ").otherwise(F.col("text")).alias("message"), F.col("conv_id").cast("string").alias("session_id")))
+    user = F.col("conv_id") % 50 + (F.col("conv_id") % 3 == 1).cast("int")
+    sent = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("frame_id"), user.alias("user_id"), F.col("turn").cast("long").alias("seq"), body.alias("frame"), (F.col("turn") > 3).cast("int").alias("part"))
+    chunks = S.to_chunks(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("b").alias("source"), F.col("text").alias("content")))
+
+    def told(messages):
+        query = messages[-1]["content"].rpartition("QUESTION:\n")[2]
+        return REFUSAL if messages[0]["content"] == SYSTEM_PROMPT and len(query) % 2 else f"{len(messages) - 2} turns: {query}"
+
+    for part in (0, 1):
+        sent.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(sent.drop("part").schema).parquet(f"{path}/in")
+        R.chat_stream(stream, sessions(spark, sf_dir), messages(spark, sf_dir), chunks, told, told, path, chat=True, buckets=8)
+    replies = spark.read.schema("frame_id bigint, place int, frame string").parquet(f"{path}/replies/batch=*")
+    return replies.select("frame_id", "place", F.from_json("frame", "type string, token string, message string, user_id string").alias("f")).select("frame_id", "place", "f.*")
+
+
+_NUMBERED_SQL = """t AS (SELECT conv_id, turn, text, len(string_split(text, ' ')) AS k, sum(len(string_split(text, ' ')) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS done_seq FROM conversations WHERE role = 'assistant'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM t)"""
+
+
+@query(f"WITH {_NUMBERED_SQL} SELECT conv_id AS session_id, text AS message, k AS n_tokens, trim(text) = {_quoted(REFUSAL)} AS refused, CAST(done_seq AS BIGINT) AS done_seq FROM n WHERE conv_id % 7 <> 3 OR nth = 1")
+def token_fold_late(spark, sf_dir):
+    """All answers of a conversation as one numbered stream: done frames come first, tokens later and some twice; of every
+    seventh conversation the first token of the second answer never comes, and nothing after it is told."""
+    from pyspark.sql import Window
+
+    path = folder(spark, "token-fold-late")
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.split("text", " ").alias("words"))
+    order = Window.partitionBy("conv_id").orderBy("turn")  # the turns of a conversation
+    placed = turns.withColumns({"start": F.sum(F.size("words") + 1).over(order) - F.size("words") - 1, "nth": F.row_number().over(order)})
+    tokens = placed.select("conv_id", "nth", "start", F.posexplode("words").alias("at", "word")).where("conv_id % 7 <> 3 or nth <> 2 or at > 0")
+    stream = tokens.select(F.col("conv_id").alias("session_id"), (F.col("start") + F.col("at")).alias("seq"), F.lit("stream").alias("type"), F.when(F.col("at") == 0, F.col("word")).otherwise(F.concat(F.lit(" "), "word")).alias("token"), "nth")
+    done = placed.select(F.col("conv_id").alias("session_id"), (F.col("start") + F.size("words")).alias("seq"), F.lit("done").alias("type"), F.lit(None).cast("string").alias("token"))
+    for rows in (done, stream.where("seq % 3 < 2").drop("nth"), stream.where("seq % 3 > 0").drop("nth")):
+        rows.select("session_id", F.col("seq").cast("long").alias("seq"), "type", "token").write.mode("append").parquet(f"{path}/in")
+        R.run_available(R.fold_tokens(spark.readStream.schema("session_id bigint, seq bigint, type string, token string").parquet(f"{path}/in")), path)
+    return spark.read.schema(R.FOLDED).parquet(f"{path}/rows")
+
+
 @query(_FOLD_SQL)
 def token_fold_batch(spark, sf_dir):
-    return R.fold_tokens_batch(token_stream(spark, sf_dir))
+    return R.fold_tokens_batch(token_stream(spark, sf_dir)).drop("done_seq")
 
 
 @query(f"WITH {_ASKED_SQL} SELECT query_id, CASE WHEN {_GREETING_SQL} THEN {_quoted(GREETING)} ELSE 'You said: ' || query END AS answer FROM asked")

@@ -10,10 +10,12 @@ from ..functions.vectors import hashed_dense, norm, normalised, postings, square
 from ..operators import documents as D
 from ..operators.plugins import embed
 from ..operators.retrieval import knn
+from ..operators.running import numbered
 from ..operators.store import DocumentStore
 from ..plans import pipelines as P
 from ..scratch import folder
 from ..sources import ingest as S
+from ..streaming import file_stream as I
 from .fixtures import RAW_SQL, chunk_table, chunks_sql, postings_sql, raw_documents, strip_sql, table, uuid_sql
 
 QUERIES, SQL = {}, {}
@@ -133,6 +135,13 @@ def document_chunks_sorted(spark, sf_dir):
     return chunk_table(spark, sf_dir).select("id", "source", "chunk_index", F.row_number().over(order).cast("long").alias("position"))
 
 
+@query(f"WITH {RAW_SQL}, {chunks_sql()} SELECT id, source, chunk_index, row_number() OVER (ORDER BY source NULLS LAST, chunk_index NULLS LAST, id) - 1 AS position FROM chunks")
+def chunks_in_order(spark, sf_dir):
+    """Where each chunk stands in the listing of all documents: by source, then index, those without one last."""
+    c = chunk_table(spark, sf_dir).select("id", "source", "chunk_index", F.col("source").isNull().alias("no_source"), F.col("chunk_index").isNull().alias("no_index"))
+    return numbered(c, [], ["no_source", "source", "no_index", "chunk_index", "id"], "position").drop("no_source", "no_index")
+
+
 _UPDATES_SQL = "updates AS (SELECT r.doc_id, r.source, upper(r.content) AS content FROM raw r JOIN documents d USING (doc_id) WHERE d.lang = 'es' AND r.source IS NOT NULL)"
 
 
@@ -352,3 +361,27 @@ def store_listing(spark, sf_dir):
     """The listing from counts that changes keep, beside the dashboard's totals; no contents are read."""
     store = _changed_store(spark, sf_dir)[0]
     return store.listing().drop("caption").crossJoin(F.broadcast(store.dashboard()))  # one row
+
+
+_ARRIVED_SQL = r"""files AS (SELECT page_id, 'doc' || page_id % 13 || (['', '_copy', '', '_copy2', ''])[page_id % 5 + 1] || (['.txt', '.PDF', '.txt', '.exe', '.docx', ''])[page_id % 6 + 1] AS name, html FROM pages),
+n AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id, lower(name) AS name, regexp_extract(lower(name), '^(.*)\.[^.]*$', 1) AS stem, regexp_extract(lower(name), '[^.]*$') AS ext, html FROM files WHERE page_id % 6 IN (0, 1, 2, 4)),
+stored(i, page_id, stored_name, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[])
+UNION ALL SELECT t.i, t.page_id, t.pick, list_append(t.used, t.pick) FROM (
+SELECT n.i, n.page_id, s.used, list_filter(list_transform(range(0, s.i + 2), lambda k: CASE k WHEN 0 THEN n.name WHEN 1 THEN n.stem || '_copy.' || n.ext ELSE n.stem || '_copy' || k || '.' || n.ext END), lambda c: NOT list_contains(s.used, c))[1] AS pick FROM stored s JOIN n ON n.i = s.i + 1) t),
+raw AS (SELECT page_id AS doc_id, stored_name AS source, html AS content FROM stored JOIN pages USING (page_id) WHERE page_id % 6 <> 4)"""
+
+
+@query(f"WITH RECURSIVE {_ARRIVED_SQL}, {chunks_sql()} SELECT source, chunk_index, content FROM chunks")
+def ingest_arrivals(spark, sf_dir):
+    """Pages as files of six endings that arrive in three batches, their names meeting; the second batch comes twice."""
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % len(values) + 1).cast("int"))
+    name = F.concat(F.lit("doc"), (F.col("page_id") % 13).cast("string"), pick("", "_copy", "", "_copy2", ""), pick(".txt", ".PDF", ".txt", ".exe", ".docx", ""))
+    path = F.concat(F.lit("in/"), F.col("page_id").cast("string"), F.lit("/"), name)
+    pages = table(spark, sf_dir, "pages")
+    files = pages.select("page_id", path.alias("path"), F.timestamp_seconds(1700000000 + F.col("page_id")).alias("modificationTime"), F.col("html").cast("binary").alias("content"))
+    home, n = folder(spark, "arrivals"), pages.count()
+    store, names = DocumentStore(spark, f"{home}/store", 16), I.StoredNames(spark, f"{home}/names", 16)
+    for batch in (0, 1, 1, 2):
+        part = files.where((F.floor(F.col("page_id") * 3 / n)).cast("int") == batch)
+        I.ingest_batch(batch, part.drop("page_id"), {"txt": S.utf8_text, "pdf": S.utf8_text}, names, store, f"{home}/rejected")
+    return store.chunks().select("source", "chunk_index", "content")

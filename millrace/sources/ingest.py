@@ -17,12 +17,13 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of UTF-8 files; bytes that do not decode are dropped.  Valid files stay in the JVM."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     valid = files.where(F.is_valid_utf8("content")).select("path", F.decode("content", "UTF-8").alias("content"))
+    return valid.unionByName(files.where(~F.is_valid_utf8("content")).mapInArrow(utf8_text, "path string, content string"))
 
-    def repair(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([b.decode("utf-8", "ignore") for b in batch.column("content").to_pylist()], pa.string())], names=["path", "content"])
 
-    return valid.unionByName(files.where(~F.is_valid_utf8("content")).mapInArrow(repair, "path string, content string"))
+def utf8_text(batches):
+    """An extractor of (path, content: bytes): UTF-8, bytes that do not decode dropped."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([b.decode("utf-8", "ignore") for b in batch.column("content").to_pylist()], pa.string())], names=["path", "content"])
 
 
 def read_whole_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -66,6 +67,16 @@ def append(chunked: DataFrame, path: str) -> None:
     chunked.write.mode("append").parquet(path)
 
 
+def embed_folder(spark: SparkSession, path: str, embedder: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(one row for each file, whole: id, source, chunk_index, content, embedding; rejected: path, reason), to be appended.
+
+    Rows have no source and no index, as files ingested whole have none.
+    """
+    good, bad = read_whole_folder(spark, path)
+    rows = good.select(uuid_of(F.col("path"), F.col("content")).alias("id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("chunk_index"), "content")
+    return embedder(rows), bad
+
+
 def ingest_report(chunked: DataFrame) -> DataFrame:
     return chunked.agg(F.countDistinct("doc_id").alias("n_documents"), F.count(F.lit(1)).alias("n_chunks"))
 

@@ -31,6 +31,11 @@ def _derivation(name: str) -> tuple:
     return parent, F.when(number == "", 1).otherwise(number.try_cast("long")).cast("long")
 
 
+def root_of(name: str):
+    """The name that ``name`` derives from in the end: names of other roots never meet it."""
+    return F.regexp_replace(name, r"(_copy([2-9]|[1-9][0-9]{1,8})?)+((?:\.[^.]*)?)$", "$3")
+
+
 def _place(name: str, place: str):
     suffix = F.when(F.col(place) == 1, "_copy").otherwise(F.concat(F.lit("_copy"), F.col(place).cast("string")))
     ending = F.regexp_extract(name, r"(\.[^.]*)?$", 0)

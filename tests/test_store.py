@@ -93,8 +93,8 @@ def test_untouched_buckets_keep_their_files_and_batches_count_once(spark, store)
 
 def test_what_has_no_marker_is_not_there(spark, store, tmp_path):
     whole = sorted(store.chunks().collect())
-    state = store._begun(1)
-    store._write("chunks", store.chunks().withColumn("_key", F.lit("a.txt")), "_key", 1, ["id"])  # and the job is lost
+    state = store.begun(1)
+    store.write("chunks", store.chunks().withColumn("_key", F.lit("a.txt")), "_key", 1, ["id"])  # and the job is lost
     assert sorted(store.chunks().collect()) == whole and state.batch == 0
     store.append(1, spark.createDataFrame([(8, "d.txt", "dee")], RAW))
     assert contents(store, "d.txt") == ["dee"] and contents(store, "a.txt") == ["one two th", "o three fo", "e four"]
@@ -118,7 +118,7 @@ def test_only_new_chunks_are_embedded_and_compaction_keeps_rows(spark, tmp_path)
     rows = sorted(map(str, store.chunks().collect()))
     store.compact(2)
     assert sorted(map(str, store.chunks().collect())) == rows and all(len(r.embedding) == 8 for r in store.chunks().collect())
-    assert max(len(f) for f in store._state().files.values()) == 1
+    assert max(len(f) for f in store.state().files.values()) == 1
     store.delete(3, store.chunks().select(F.col("id").alias("key")))
     assert store.chunks().isEmpty() and tuple(store.dashboard().first()) == (0, 0, 0) and store.listing().isEmpty()
     store.append(4, spark.createDataFrame([], RAW))

@@ -2,8 +2,8 @@
 
 Mark-up is stripped to lines, one for each block element, in page order.  What lies in scripts,
 styles, forms, menus, headers, footers, sidebars, notices, adverts and comments, and lists of links,
-becomes lines without text (names of elements tell it; inside an article only names that say so as a
-whole).  Over windows of ``window`` lines the text lengths are summed; the sum
+becomes lines without text (names of elements tell it; inside an article only names all words of
+which say so, while its own header, which may be its title, is text).  Over windows of ``window`` lines the text lengths are summed; the sum
 surges where main text begins and dives to nothing where it ends.  The text between the surge and
 the dive with the most text is kept, with every other such stretch of at least ``share`` of it and
 every shorter one near a kept one.  Where article or main elements hold most of the page's text, their
@@ -51,28 +51,33 @@ _NAMED = {
     "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup",
     "promo", "promotion", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
-# Those of them that name no part of an article when they are the whole class or id of an element in it.
-_NAMED_INSIDE = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "contentinfo", "cookie", "cookies", "disqus",
-    "footer", "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "pagination", "popup", "promo", "promotion", "replies", "share", "sharing", "sidebar", "signup", "social",
-    "sponsor", "sponsored", "subscribe", "toolbar",
+# Those of them that may name a part of an article's text, and words of class and id that say nothing of what is held.
+_NAMED_OUTSIDE = {"header", "complementary", "masthead"}
+_HOLDERS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "close", "col", "container", "content", "field", "form", "group", "holder", "icons", "inline", "inner", "item", "items", "layer",
+    "left", "link", "links", "list", "main", "message", "outer", "overlay", "panel", "right", "root", "row", "section", "slot", "text", "thread", "top", "unit", "wrap", "wrapper",
 }
 _CLOSED_BY = {"p": _BLOCKS, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 
 def _boilerplate(tag: str, rest: str, inside_article: bool, only_article: bool) -> bool:
-    """Whether an element holds no main text.  Inside an article a name must be the whole of a class or id: an
-    "article-header" or "related-work" there is text."""
+    """Whether an element holds no main text.  Inside an article all words of a class or id must say so: an "ad-slot" or
+    "comment-list" there is none, an "article-header" or "related-work" is text, and so is the article's own header."""
     if tag in _BOILERPLATE or tag in ("header", "button") and not inside_article:
         return True
     if tag in ("html", "body", "main") or tag == "article" and only_article or not rest:
         return False
     names = (next(filter(None, found.groups()), "") for found in _NAMES.finditer(rest))
     if inside_article and tag != "article":
-        return any(name.lower() in _NAMED_INSIDE for found in names for name in found.split())
+        return any(_names_no_part([w.lower() for w in _WORDS.findall(name)]) for found in names for name in found.split())
     return any(word.lower() in _NAMED for found in names for word in _WORDS.findall(found))
 
 
+def _names_no_part(words: list[str]) -> bool:
+    told = [w in _NAMED and w not in _NAMED_OUTSIDE for w in words]
+    return any(told) and all(t or w in _HOLDERS for t, w in zip(told, words, strict=True))
+
+
 def lines(page: str) -> list[tuple[str, bool]]:
     """Text of every block ("" for what is no main text) and whether it lies in an article element."""
     out: list[tuple[str, bool]] = []

@@ -321,3 +321,22 @@ def test_html_reads_malformed_pages_in_linear_time(part):
     began = time.process_time()
     html_text.extract(page)
     assert time.process_time() - began < 4
+
+
+def test_html_drops_what_is_no_part_of_an_article():
+    """Notices, adverts and comments inside an article go, whatever their names add; parts whose names add a meaning stay."""
+    kept = "".join(f'<div {a}><p>{"kept words " * 20}</p></div>' for a in ('class="article-header"', 'class="related-work"', 'id="share-prices"', 'class="body-text"', 'class="noticeable"'))
+    names = ['class="notice"', 'class="ad-slot"', 'class="cookie-banner"', 'id="comment-list"', 'class="CommentThread"', 'class="widget"', 'class="related"', 'role="search"', 'class="x related-links"', 'class="social_share_buttons"']
+    gone = "".join(f"<div {a}><p>{'gone away ' * 20}</p></div>" for a in names)
+    page = f"<html><body><article><header><h1>{'The title ' * 5}</h1></header>{kept}{gone}<p>{'kept words ' * 60}</p></article></body></html>"
+    text = html_text.extract(page)
+    assert "gone" not in text and text.count("kept words") == 160 and text.startswith("The title")
+
+
+def test_toxicity_learns_rare_words_from_many_labels(spark):
+    """A word of 44 in 2,200 toxic texts and of no clean one is learned at 20,000 labels."""
+    filler = F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(900)).cast("string")) for k in range(12)))
+    toxic = F.col("id") < 2200
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(filler, F.when(F.col("id") % 50 == 0, F.when(toxic, " grolmok").otherwise("")).otherwise(""), F.when(toxic, " vilest").otherwise("")).alias("text"))
+    model = toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") < 2200).cast("int").alias("toxic")))
+    assert any(" grolmok ".startswith(t) for t in model.weights)

@@ -219,7 +219,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) ->
     return tuple(float(b) for b in beta)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, longest: int = 8, least: int = 6, share: float = 0.02, odds: float = 1.8, evidence: float = 30.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, longest: int = 8, least: int = 6, odds: float = 1.8, evidence: float = 30.0) -> Model:
     """A model from labelled rows of (doc_id, text) and (doc_id, toxic)."""
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"] == 1).alias("toxic")).where("doc_id is not null and toxic is not null").distinct()
     part = min(1.0, sample_rows / max(1, marks.count()))
@@ -229,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, longest
         kinds = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         if len(kinds) < 2:
             return Model({}, [], (-30.0, 0.0, 0.0))
-        counts = _counted(sample, longest, max(least, int(share * kinds[True])))
+        counts = _counted(sample, longest, least)
         weights = _lexicon(counts, kinds[True], kinds[False], odds, evidence)
         model = Model(weights, _exceptions(sample, weights, kinds[True], kinds[False], least), (0.0, 0.0, 0.0))
 

@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     classes = ranked.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"))
     per_gram = classes.groupBy("gram").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("contexts")).where("rows > 1").drop("rows")
     classes = stored(classes.join(per_gram, "gram").where("n > 1 or contexts > 1"), "repeat-classes")
-    found = stored(ranked.drop("gram").join(classes, "context").select("gram", "context", "doc_id", "tag", "place", "n", "contexts"), "repeat-rows")
+    found = stored(ranked.join(classes, ["gram", "context"]).select("gram", "context", "doc_id", "tag", "place", "n", "contexts"), "repeat-rows")
     dropped(ranked)
     sure = _unpacked(found.where("n > 1")).select("doc_id", "tag", "first", (F.col("first") + F.col("more") + length).alias("end"))
     open_rows = found.where("n = 1").select("doc_id", "tag", "place")

@@ -36,19 +36,6 @@ def normalised(a: Column) -> Column:
     return F.when(norm(a) == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / norm(a)))
 
 
-def postings(df: DataFrame, key: str, text: str, dimension: int = SETTINGS.dimension) -> DataFrame:
-    """Sparse hashed vectors: (key, bucket, weight).  A feature's 64-bit digest picks the bucket, its parity the sign.
-
-    The digest's halves are reduced apart, which gives its remainder without decimals; features become
-    (bucket, sign) in the row, and only these are summed.
-    """
-    half = lambda f, at: F.conv(F.substring(F.md5(f), at, 8), 16, 10).cast("long")
-    bucket = lambda f: ((half(f, 1) % dimension) * ((1 << 32) % dimension) + half(f, 9) % dimension) % dimension
-    listed = df.select(key, tokens(F.col(text)).alias("words")).select(key, F.explode(features_of(F.col("words"))).alias("feature"))
-    signed = listed.select(key, bucket(F.col("feature")).cast("int").alias("bucket"), F.when(F.substring(F.md5("feature"), 16, 1).isin(*"13579bdf"), 1).otherwise(-1).alias("sign"))
-    return signed.groupBy(key, "bucket").agg(F.sum("sign").alias("weight")).where("weight <> 0")
-
-
 def squared_norms(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
 
@@ -70,6 +57,24 @@ def with_features(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn("_words", tokens(F.coalesce(F.col(text), F.lit("")))).withColumn(name, features_of(F.col("_words"))).drop("_words")
 
 
+def postings(df: DataFrame, key: str, text: str, dimension: int = SETTINGS.dimension, rows: int = 256) -> DataFrame:
+    """Sparse hashed vectors: (key, bucket, weight).  A feature's 64-bit digest picks the bucket, its parity the sign.
+
+    Every row of ``df`` is folded where it is read, each feature hashed once a batch; nothing is shuffled.
+    """
+    schema = T.StructType([df.select(key).schema[0], T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.LongType())])
+
+    def fold(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                counts = term_counts(part.column("features"), dimension, "md5")
+                row, bucket = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(counts[row, bucket].astype(np.int64))], names=schema.names)
+
+    return with_features(df.select(key, text), text, "features").drop(text).mapInArrow(fold, schema)
+
+
 def with_vectors(df: DataFrame, text: str = "content", dimension: int = SETTINGS.dimension, digest: str = "blake2b", rows: int = 256) -> DataFrame:
     """``df`` with embedding array<float>, the unit vector of hashed terms; no term gives the zero vector."""
     schema, columns = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]), df.columns

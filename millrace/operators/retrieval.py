@@ -81,7 +81,7 @@ def hashed_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k,
 
 
 def postings_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k, dimension: int = SETTINGS.dimension) -> DataFrame:
-    """The same by joining postings on their bucket, all in SQL expressions; chunks that share no bucket with a query have no row.
+    """The same by joining postings on their bucket; chunks that share no bucket with a query have no row.
 
     The query side's postings are broadcast, in blocks of a checked size.
     """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WHITE_RE2, basename, features, normalise_space, tokens
 from ..functions.vectors import hashed_dense, norm, normalised, postings, squared_norms, with_vectors
 from ..operators import documents as D
+from ..operators.neighbours import index_vectors, nearest
 from ..operators.plugins import embed
 from ..operators.retrieval import knn
 from ..operators.running import numbered
@@ -196,6 +197,23 @@ def knn_l2_top4(spark, sf_dir):
     return _knn(spark, sf_dir, 4, "l2")
 
 
+def _indexed(spark, sf_dir, k, metric):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found, _ = nearest(e.where("vec_id % 100 = 0"), index_vectors(e, 64, metric, block_rows=64), k)
+    return found.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
+@query(_KNN_SQL.format(distance="1 - list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)))", k=5))
+def knn_indexed_cosine(spark, sf_dir):
+    """The same through an index of balls that rules blocks out."""
+    return _indexed(spark, sf_dir, 5, "cosine")
+
+
+@query(_KNN_SQL.format(distance="list_distance(a, b)", k=4))
+def knn_indexed_l2(spark, sf_dir):
+    return _indexed(spark, sf_dir, 4, "l2")
+
+
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings) SELECT vec_id, round(sqrt(list_inner_product(a, a)), 6) AS norm, list_transform(a, lambda x: round(x / sqrt(list_inner_product(a, a)), 6)) AS unit FROM v")
 def normalize_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

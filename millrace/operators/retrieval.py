@@ -107,8 +107,9 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
 def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, vec_id, distance, rank) by exact distances, ties by id; both sides are (vec_id, embedding).
 
-    The base is read once and never shuffled; blocks of at most ``BLOCK_VECTORS`` query vectors
-    travel with the tasks, a matrix product gives each batch's distances and its best k go on.
+    The base is read once for each block of at most ``BLOCK_VECTORS`` query vectors, which travel with the tasks, and
+    never shuffled; a matrix product gives each batch's distances and its best k go on.  For many queries, or a base
+    that is searched again, :mod:`.neighbours` has an index that rules most of it out.
     """
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())])
     parts = []

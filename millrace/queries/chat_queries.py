@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import FALLBACK_PROMPT, GREETING, NO_CONTEXT, REFUSAL, SYSTEM_PROMPT
+from ..config import FALLBACK_PROMPT, GREETING, GREETING_PATTERN, NO_CONTEXT, REFUSAL, SYSTEM_PROMPT
 from ..functions.text import daypart, is_greeting, normal_username, retrieval_query, role_of
 from ..operators import chat as C
 from ..operators.plugins import extractive, generate
@@ -86,7 +86,7 @@ def _asked(spark, sf_dir):
 
 
 _ASKED_SQL = "asked AS (SELECT conv_id * 100 + turn AS query_id, CASE WHEN turn = 0 THEN (['Hello there!', 'Good   morning', 'HEY, bot', 'hi all', 'good night', 'howdy'])[conv_id % 6 + 1] ELSE text END AS query FROM conversations)"
-_GREETING_SQL = r"regexp_matches(trim(regexp_replace(regexp_replace(lower(query), '[^a-z\s]', ' ', 'g'), '\s+', ' ', 'g')), '^((hi|hello|hey|hii|hiya)( (there|bot|assistant))?|good (morning|afternoon|evening)|howdy|greetings)$')"
+_GREETING_SQL = rf"regexp_matches(trim(regexp_replace(regexp_replace(lower(query), '[^a-z\s]', ' ', 'g'), '\s+', ' ', 'g')), '{GREETING_PATTERN}')"
 
 
 @query(f"WITH {_ASKED_SQL} SELECT query_id, query, {_GREETING_SQL} AS greeting FROM asked")

@@ -4,7 +4,8 @@
    ``bands * rows`` minima and two hashes of the whole set, one pass over the texts.
 2. Documents with equal sets collapse to the one with the smallest id; only these go on.
 3. ``candidate_groups``: documents that share a band meet: each with central documents of its bands
-   first, then those that this left outside with all others of their family.
+   first, then those that this left outside with all others of their family with which they share
+   one of their rarest shingles, as every pair similar enough does.
 4. ``_verified``: signature batches of a pair are compared one after another; the pair goes when the
    posterior probability (uniform prior) that its similarity reaches the threshold falls under
    ``miss``.  Survivors are verified on their full sets.
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import freed, stored, texts_of
+from .common import freed, pieces, stored, texts_of
 from .components import components
 from .sieve import Sieve, parted
 from .textkernel import batch_blocks, find_words, hash_spans, mix64, shingle_hashes
 
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
+#: log2 of the slots in which shingles of the last step's documents are counted: 4 MB.
+SLOT_BITS = 20
 FEATURES_DDL = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
 
 
@@ -184,16 +187,68 @@ def _pair_units(pairs: DataFrame, block: int) -> DataFrame:
     return members.unionByName(heads)
 
 
+def _families(mixed: DataFrame) -> DataFrame:
+    """(node, family, component): what the buckets of ``mixed`` (bucket, node, component) connect."""
+    least = mixed.groupBy("bucket").agg(F.min("node").alias("v"))
+    families = components(mixed.join(least, "bucket").select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "family")
+    families = families.union(families.select(F.col("family").alias("node"), "family").distinct())
+    return stored(families.join(mixed.select("node", "component").distinct(), "node"), "minhash-families")
+
+
+def _rarest(loaded: DataFrame, percent: int) -> DataFrame:
+    """(node, shingle): of each of n shingles the n - ceil(percent * n / 100) + 1 rarest.
+
+    Two sets whose similarity reaches ``percent`` share at least ceil(percent * n / 100) shingles, so one of these,
+    whatever the order, if it is one for all.  Here it goes by how often the shingle's slot was seen, then by hash:
+    what a template gives to all its documents comes last.  The table of slots has a fixed size.
+    """
+
+    def tally(batches):
+        seen = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for batch in pieces(batches, 512):
+            flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.uint64)
+            seen += np.bincount((flat >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(seen))
+        slots = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(seen[slots])], names=["slot", "n"])
+
+    found = loaded.mapInArrow(tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2**SLOT_BITS rows
+    seen = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
+    seen[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 0xFFFFFFFF)
+
+    def pick(batches):
+        for batch in pieces(batches, 512):
+            chosen = []
+            for raw in batch.column("shingles"):
+                shingles = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+                order = np.argsort(seen[(shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], kind="stable")
+                chosen.append(shingles[order[: len(shingles) + percent * -len(shingles) // 100 + 1]])
+            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), [len(x) for x in chosen])
+            values = np.concatenate(chosen).view(np.int64) if chosen else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values)], names=["node", "shingle"])
+
+    return loaded.mapInArrow(pick, "node long, shingle long")
+
+
+def _rare_meetings(mixed: DataFrame, loaded: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node, component): documents of a family that share one of their rarest shingles, those of several components."""
+    known = _families(mixed)
+    near = Sieve(known, "node")
+
+    def needed(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(near.rows(batch.column("node")))).select(["node", "shingles"])
+
+    rare = _rarest(loaded.mapInArrow(needed, "node long, shingles binary"), percent)
+    entries = rare.join(known, "node").select(F.xxhash64("family", "shingle").alias("bucket"), "node", "component")
+    return stored(_repeated(entries, "component"), "minhash-rare")
+
+
 def _rest_units(mixed: DataFrame, block: int) -> DataFrame:
     """Units in which the documents outside the largest component of a family meet all of the family.
 
-    A family is what the buckets of ``mixed`` (bucket, node, component) connect.  With o such documents among n, it
-    makes 2 * o * n / block rows.
+    With o such documents among n, a family makes 2 * o * n / block rows.
     """
-    least = mixed.groupBy("bucket").agg(F.min("node").alias("v"))
-    families = components(mixed.join(least, "bucket").select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "family")
-    families = families.union(families.select(F.col("family").alias("node"), "family").distinct())
-    known = stored(families.join(mixed.select("node", "component").distinct(), "node"), "minhash-families")
+    known = _families(mixed)
     sizes = known.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).select(
         "family", F.col("most.component").alias("_largest"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("outer"), F.ceil(F.col("n") / block).cast("int").alias("inner")
@@ -240,8 +295,9 @@ def candidate_groups(bands: DataFrame, loaded: DataFrame, percent: int, miss: fl
     """(node, component) over all confirmed links between nodes that share a bucket of ``bands`` (bucket, node).
 
     Twice every node meets the most central node of another component in its buckets, which unites most of a family
-    of copies at the cost of its size.  Buckets that still hold several components then make families, in which the
-    documents outside the largest component meet all others.  ``report`` gets the rows of each of the three steps.
+    of copies at the cost of its size.  Buckets that still hold several components then make families, and those of a
+    family's documents that share rare shingles smaller ones, in which the documents outside the largest component meet
+    all others.  ``report`` gets the rows of each of the three steps.
     """
     links, pairs = None, None
     mixed = _central(bands).withColumn("component", F.col("node"))
@@ -258,6 +314,8 @@ def candidate_groups(bands: DataFrame, loaded: DataFrame, percent: int, miss: fl
         if step == 2:
             return groups
         mixed = _mixed(mixed.drop("component"), groups)
+        if step == 1 and not mixed.isEmpty():
+            mixed = _rare_meetings(mixed, loaded, percent)
         if mixed.isEmpty():
             return groups
 

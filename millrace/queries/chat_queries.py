@@ -8,6 +8,7 @@ from ..config import FALLBACK_PROMPT, GREETING, GREETING_PATTERN, NO_CONTEXT, RE
 from ..functions.text import daypart, is_greeting, normal_username, retrieval_query, role_of
 from ..operators import chat as C
 from ..operators.plugins import extractive, generate
+from ..operators.blocked_postings import blocked_topk, index_postings
 from ..operators.retrieval import context, hashed_topk, hashed_vectors, postings_topk
 from ..plans import pipelines as P
 from ..scratch import folder, stored
@@ -79,6 +80,12 @@ def retrieve_stored_topk(spark, sf_dir):
     return hashed_topk(questions(spark, sf_dir), stored(hashed_vectors(chunk_table(spark, sf_dir)), "stored-vectors"))
 
 
+@query(f"{_TOPK_SQL} SELECT query_id, rank, distance, id, source, chunk_index FROM hits")
+def retrieve_blocked_topk(spark, sf_dir):
+    """The search over stored postings in blocks, of which bounds rule some out."""
+    return blocked_topk(questions(spark, sf_dir), index_postings(chunk_table(spark, sf_dir)))
+
+
 def _asked(spark, sf_dir):
     """Every conversation turn as a question; each opening turn becomes a greeting."""
     c = table(spark, sf_dir, "conversations")

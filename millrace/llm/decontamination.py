@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, texts_of
-from .textkernel import batch_blocks, find_words, hash_spans, mix64, shingle_hashes
+from .textkernel import WORD_BLOCK_BYTES, batch_blocks, find_words, hash_spans, mix64, shingle_hashes
 
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 16, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
@@ -46,7 +46,7 @@ MATCHES_DDL = "doc_id long, item_id long, similarity double, first_word long, n_
 
 def _shingled(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row by row: number of words and shingle hashes in order."""
-    for first, end, data, offsets in batch_blocks(texts):
+    for first, end, data, offsets in batch_blocks(texts, WORD_BLOCK_BYTES):
         starts, ends, rows = find_words(data, offsets)
         shingles, at, _ = shingle_hashes(hash_spans(data, starts, ends), rows, size)
         words = np.bincount(rows, minlength=end - first)

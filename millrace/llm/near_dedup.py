@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import freed, pieces, stored, texts_of
+from .common import freed, pieces, small_batches, stored, texts_of
 from .components import components
 from .sieve import Sieve, parted
-from .textkernel import batch_blocks, find_words, hash_spans, mix64, shingle_hashes
+from .textkernel import WORD_BLOCK_BYTES, batch_blocks, find_words, hash_spans, mix64, shingle_hashes
 
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
+#: Rows of texts, signatures or sets that a task works on at once.
+BATCH_ROWS = 512
 #: log2 of the slots in which shingles of the last step's documents are counted: 4 MB.
 SLOT_BITS = 20
 FEATURES_DDL = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
@@ -42,7 +44,7 @@ FEATURES_DDL = "doc_id long, n_shingles long, set_a long, set_b long, signature
 
 def shingle_sets(texts: pa.Array, size: int):
     """Row by row: the sorted distinct shingle hashes."""
-    for first, end, data, offsets in batch_blocks(texts):
+    for first, end, data, offsets in batch_blocks(texts, WORD_BLOCK_BYTES):
         starts, ends, rows = find_words(data, offsets)
         shingles, rows, _ = shingle_hashes(hash_spans(data, starts, ends), rows, size)
         bounds = np.searchsorted(rows, np.arange(end - first + 1))
@@ -65,7 +67,7 @@ def _signature(shingles: np.ndarray, multipliers: np.ndarray) -> bytes:
 def features(docs: DataFrame, size: int, hashes: int) -> DataFrame:
     def extract(batches):
         multipliers = _multipliers(hashes)
-        for batch in batches:
+        for batch in pieces(batches, BATCH_ROWS):
             counts, a, b, signatures = [], [], [], []
             for shingles in shingle_sets(batch.column("text"), size):
                 counts.append(len(shingles))
@@ -118,7 +120,7 @@ def _loaded(docs: DataFrame, nodes: Sieve, size: int, hashes: int) -> DataFrame:
 
     def attach(batches):
         multipliers = _multipliers(hashes)
-        for batch in batches:
+        for batch in pieces(batches, BATCH_ROWS):
             batch = batch.filter(pa.array(nodes.rows(batch.column("doc_id"))))
             sets = list(shingle_sets(batch.column("text"), size))
             made = [pa.array([_signature(s, multipliers) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
@@ -149,7 +151,7 @@ def _verified(units: DataFrame, loaded: DataFrame, percent: int, miss: float, ha
     def verify(batches):
         steps, unit = least_matches(hashes, 32, percent, miss), None
         heads: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        for batch in batches:
+        for batch in pieces(batches, BATCH_ROWS):
             keys, sides, nodes, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "side", "node", "component"))
             sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column("shingles")]
             signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, hashes)
@@ -330,6 +332,11 @@ def near_groups(docs: DataFrame, percent: int = 80, size: int = 5, rows: int = 5
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their shingle sets.
     """
+    with small_batches(docs.sparkSession):
+        return _near_groups(docs, percent, size, rows, miss, **options)
+
+
+def _near_groups(docs: DataFrame, percent: int, size: int, rows: int, miss: float, **options) -> DataFrame:
     bands = bands_for(percent, rows)
     docs, hashes = texts_of(docs), bands * rows
     found = stored(features(docs, size, hashes), "minhash-features")

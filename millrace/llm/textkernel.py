@@ -27,6 +27,8 @@ _powers: dict[str, np.ndarray] = {}
 
 #: Bytes of text handled at once; bounds the temporary arrays of a task.
 BLOCK_BYTES = 1 << 21
+#: The same where words are hashed, which takes some 40 bytes for each byte of text.
+WORD_BLOCK_BYTES = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -43,7 +45,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the polynomial base and of its inverse, mod 2**64."""
     have = _powers.get("up")
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = WORD_BLOCK_BYTES + 1 if n <= WORD_BLOCK_BYTES + 1 else max(n, BLOCK_BYTES + 1)  # stays with the worker
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.full(size, base, dtype=np.uint64)
             table[0] = 1

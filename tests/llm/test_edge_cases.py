@@ -2,12 +2,13 @@
 
 import hashlib
 
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import class_lm, decontamination, exact_dedup, html_text, near_dedup, packing, repeated_strings, token_rollup, token_store, toxicity
+from millrace.llm import class_lm, decontamination, exact_dedup, html_text, near_dedup, packing, repeated_strings, textkernel, token_rollup, token_store, toxicity
 from millrace.llm.common import held_out, stored
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -282,6 +283,23 @@ def test_language_model_clusters_all_words_above_the_floor(spark):
     assert both[0] == both[1]
 
 
+def test_near_dedup_takes_small_batches_and_leaves_the_setting(spark, docs, monkeypatch):
+    """Jobs of near_groups get Arrow batches of 2,000 rows at most and small tables of powers; the session keeps its setting."""
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, label: (seen.append(int(spark.conf.get(key))), write(df, label))[1])
+    for before in ("10000", "100"):
+        spark.conf.set(key, before)
+        try:
+            near_dedup.near_groups(docs).count()
+            assert spark.conf.get(key) == before and set(seen) == {min(2000, int(before))}
+        finally:
+            spark.conf.unset(key)
+            seen.clear()
+    monkeypatch.setattr(textkernel, "_powers", {})
+    list(near_dedup.shingle_sets(pa.array(["a b c d e f"] * 3), 5))
+    assert len(textkernel._powers["up"]) <= 1 << 20
+
+
 def test_packing_leaves_no_exact_complement():
     """The most even pair (274, 274) needs more pieces of 274 than there are: the next pair is taken."""
     patterns = packing.plan({1500: 10_000, 274: 1, 300: 10_000, 248: 10_000}, 2048)

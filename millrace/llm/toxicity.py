@@ -129,17 +129,26 @@ def _family(text: str) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))), default=0) >> 1
 
 
+def _term_rows(batch: pa.RecordBatch, longest: int, most: int = 20_000):
+    """Distinct (term, family, toxic) of the texts, handed on as soon as there are ``most`` or more."""
+    rows: dict[tuple[str, int, bool], None] = {}
+    for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+        family = _family(text)
+        rows.update(dict.fromkeys((t, family, bool(toxic)) for t in _terms(text, longest)))
+        if len(rows) >= most:
+            yield rows
+            rows = {}
+    yield rows
+
+
 def _counted(sample: DataFrame, longest: int, least: int) -> dict[str, tuple[int, int]]:
     """(toxic, clean) families for each term that at least ``least`` toxic families hold."""
     schema = pa.schema([("term", pa.string()), ("family", pa.int64()), ("toxic", pa.bool_())])
 
     def spread(batches):
         for batch in pieces(batches, 64):
-            rows: dict[tuple[str, int, bool], None] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                family = _family(text)
-                rows.update(dict.fromkeys((t, family, bool(toxic)) for t in _terms(text, longest)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+            for rows in _term_rows(batch, longest):
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     toxic_first = sample.where("toxic").mapInArrow(spread, "term string, family long, toxic boolean").groupBy("term").agg(F.countDistinct("family").alias("t")).where(F.col("t") >= least)
     known = {r.term: r.t for r in toxic_first.collect()}  # at most sample words / least

@@ -300,6 +300,14 @@ def test_near_dedup_takes_small_batches_and_leaves_the_setting(spark, docs, monk
     assert len(textkernel._powers["up"]) <= 1 << 20
 
 
+def test_toxicity_hands_terms_on_in_bounded_pieces():
+    texts = [" ".join(f"{chr(97 + i % 26)}{j}word{i}".translate(str.maketrans("0123456789", "klmnopqrst")) for j in range(300)) for i in range(40)]
+    batch = pa.record_batch({"text": texts, "toxic": [i % 2 == 0 for i in range(40)]})
+    found = list(toxicity._term_rows(batch, 8, most=2000))
+    assert max(map(len, found)) < 2000 + max(len(toxicity._terms(t, 8)) for t in texts) and len(found) > 3
+    assert {r for rows in found for r in rows} == {(w, toxicity._family(t), i % 2 == 0) for i, t in enumerate(texts) for w in toxicity._terms(t, 8)}
+
+
 def test_packing_leaves_no_exact_complement():
     """The most even pair (274, 274) needs more pieces of 274 than there are: the next pair is taken."""
     patterns = packing.plan({1500: 10_000, 274: 1, 300: 10_000, 248: 10_000}, 2048)

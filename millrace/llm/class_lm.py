@@ -8,7 +8,8 @@ Text: ``A-Z`` lower-cased, words between white space, one end token per text.
    precedes each class, and moves every word to the class that raises the class-bigram likelihood most,
    one half of the words after the other, until a round raises it by less than ``tolerance`` nats a
    token.  Then one more pass over all texts counts the classes next to each other word, and each is
-   moved to its best class by the same rule.  Words seen less often form one more class; the end token
+   moved to its best class by the same rule; the class bigrams of two such words are counted with the classes
+   of both.  Words seen less often form one more class; the end token
    is a class of its own.
 3. P(token | previous) = P(class | previous class) * P(token | class).  Transitions are interpolated
    with the class frequency.  In the tail class known words are discounted and the discount goes to
@@ -128,27 +129,34 @@ def _gains(table: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbour_classes(training: DataFrame, others: DataFrame, keys: np.ndarray, ids: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """(token, slot, n) for the tokens in ``others``: how often each comes before each class (slots from 0 on) and after
-    it (from k on).  ``classes``: of the seed's words by number, then of all other words (one class) and of the end."""
+    """(token, slot, next, n) for the tokens in ``others``: how often each comes before each class (slots from 0 on) and
+    after it (from k on), and, with slot -1, before each token ``next`` in ``others``; the sieve lets some more tokens
+    pass.  ``classes``: of the seed's words by number, then of all other words (one class) and of the end."""
     sieve, size, k = Sieve(others, "token", 25), len(classes) - 2, int(classes[-1]) + 1
-    schema = pa.schema([("token", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("slot", pa.int32()), ("next", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         for batch in pieces(batches, BATCH_ROWS):
-            found = []
+            found, met = [], []
             for _, _, tokens, rows in token_blocks(batch.column("text")):
                 number = np.where(tokens == END, size + 1, np.minimum(_ids(tokens, keys, ids, size, size + 1), size)).astype(np.int64)
-                mine, heads = np.flatnonzero((number == size) & sieve.passes(tokens)), np.r_[True, rows[1:] != rows[:-1]]
+                other, heads = (number == size) & sieve.passes(tokens), np.r_[True, rows[1:] != rows[:-1]]
+                mine, both = np.flatnonzero(other), np.flatnonzero(other[:-1] & other[1:])  # an end lies between texts
                 before = np.r_[k - 1, classes[number[:-1]]]
                 before[heads] = k - 1
                 found += [(tokens[mine], classes[number[mine + 1]]), (tokens[mine], k + before[mine])]  # an end always follows
+                met.append((tokens[both], tokens[both + 1]))
             if found:
                 tokens, slots = (np.concatenate(x) for x in zip(*found, strict=True))
                 kinds, code = np.unique(tokens, return_inverse=True)
                 pairs, counts = np.unique(code * (2 * k) + slots, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds[pairs // (2 * k)]), pa.array((pairs % (2 * k)).astype(np.int32)), pa.array(counts)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds[pairs // (2 * k)]), pa.array((pairs % (2 * k)).astype(np.int32)), pa.array(np.zeros(len(pairs), np.int64)), pa.array(counts)], schema=schema)
+                ahead, behind = (np.concatenate(x) for x in zip(*met, strict=True))
+                pairs, counts = np.unique(np.searchsorted(kinds, ahead) * len(kinds) + np.searchsorted(kinds, behind), return_counts=True)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds[pairs // len(kinds)]), pa.array(np.full(len(pairs), -1, np.int32)), pa.array(kinds[pairs % len(kinds)]), pa.array(counts)], schema=schema)
 
-    return training.mapInArrow(run, "token long, slot int, n long").groupBy("token", "slot").agg(F.sum("n").alias("n"))
+    return training.mapInArrow(run, "token long, slot int, next long, n long").groupBy("token", "slot", "next").agg(F.sum("n").alias("n"))
 
 
 def best_classes(slots: DataFrame, table: np.ndarray, free: int) -> DataFrame:
@@ -168,25 +176,16 @@ def best_classes(slots: DataFrame, table: np.ndarray, free: int) -> DataFrame:
     return by_token.mapInArrow(choose, "token long, class int")
 
 
-def _spread(pattern: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """The table with these sums of rows and columns that is most like ``pattern`` (iterative proportional fitting)."""
-    out = pattern * 1.0
-    for _ in range(100):
-        out *= (rows / np.maximum(out.sum(1), 1e-300))[:, None]
-        out *= columns / np.maximum(out.sum(0), 1e-300)
-    return out
-
-
 def assign(training: DataFrame, words: DataFrame, keys: np.ndarray, ids: np.ndarray, seed: np.ndarray, table: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """(token, n, class) with a class for those of ``words`` that have the one of all other words, and the class table.
 
-    Each is moved there from the class of all others, by the rule of exchange.  In the table, pairs with a word of
-    the seed are counted; pairs of two words outside the seed are known by the class of either alone, and are
-    spread over pairs of classes as the counted pairs are, with the sums of rows and columns they have.
+    Each is moved there from the class of all others, by the rule of exchange.  The table is counted: pairs of two
+    words outside the seed are joined with the classes of both.
     """
     k = len(table)
     others = k - 2
-    slots = stored(neighbour_classes(training, words.where(F.col("class") == others), keys, ids, seed), "lm-slots")
+    found = stored(neighbour_classes(training, words.where(F.col("class") == others), keys, ids, seed), "lm-slots")
+    slots, pairs = found.where("slot >= 0").drop("next"), found.where("slot < 0").drop("slot")
     chosen = stored(best_classes(slots, table, others), "lm-chosen").select(F.col("token").alias("_token"), F.col("class").alias("_class"))
     moved = words.join(chosen, F.col("token") == F.col("_token"), "left").select("token", "n", F.when(F.col("class") == others, F.coalesce("_class", F.lit(others))).otherwise(F.col("class")).cast("int").alias("class"))
     moved = stored(moved, "lm-classes")
@@ -197,11 +196,17 @@ def assign(training: DataFrame, words: DataFrame, keys: np.ndarray, ids: np.ndar
     right, left = sides[:, :k], sides[:, k:].T
     right[others] += table[others] - right.sum(0)  # the rest is of words that stay
     left[:, others] += table[:, others] - left.sum(1)
+    both = np.zeros((k, k))  # pairs of two words outside the seed
+    side = lambda token, name: mine.select(F.col("token").alias(token), F.col("class").alias(name))
+    for r in pairs.join(side("token", "a"), "token").join(side("next", "b"), "next").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most k * k
+        both[r.a, r.b] = r.n
+    both[:, others] += right[:, others] - both.sum(1)  # again the rest
+    both[others] += left[others] - both.sum(0)
     out = table.astype(float)
     out[others], out[:, others] = 0, 0
     out += np.where(np.arange(k) == others, 0, right) + np.where(np.arange(k)[:, None] == others, 0, left)
-    out += _spread(out + 1e-6, right[:, others], left[others])
-    dropped(slots)
+    out += both
+    dropped(found)
     return moved, out
 
 

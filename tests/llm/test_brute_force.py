@@ -168,6 +168,22 @@ def test_op3_class_table_keeps_its_sums(spark, sf):
     assert model.of_class.sum() == pytest.approx(model.total)
 
 
+def test_op3_class_bigrams_are_counted_for_words_outside_the_seed(spark, sf, texts):
+    """Transitions worked out from class bigrams counted over all training texts, pairs of two words outside the seed included."""
+    counts = stored(class_lm.token_counts(texts_of(table(spark, sf, "documents"))), "counts")
+    model = class_lm.train(texts_of(table(spark, sf, "documents")), counts, seed=300)
+    class_of, k = {r.token: r["class"] for r in model.words.collect()}, len(model.of_class)
+    seen = np.zeros((k, k))
+    for _, _, tokens, rows in class_lm.token_blocks(pa.array(list(texts.values()))):
+        now = np.array([k - 1 if t == class_lm.END else class_of.get(t, k - 2) for t in tokens.tolist()])
+        before = np.r_[k - 1, now[:-1]]
+        before[np.r_[True, rows[1:] != rows[:-1]]] = k - 1
+        np.add.at(seen, (before, now), 1)
+    frequency, kinds = (model.of_class + 1) / (model.of_class.sum() + k), (seen > 0).sum(1, keepdims=True) + 1
+    assert len(class_of) > 2 * 300
+    assert 10**model.transitions == pytest.approx((seen + kinds * frequency) / (seen.sum(1, keepdims=True) + kinds), rel=1e-9)
+
+
 def test_op4_best_fit_packing(spark, sf, texts):
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = {(r.doc_id, r.piece): r for r in QUERIES["op4_best_fit_packing"](spark, sf).collect()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +23,18 @@ def normalise_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WHITE, " "))
 
 
+@functools.cache
+def _upper_pairs() -> tuple[str, str]:
+    """Characters that have an upper case of one character, and that; the sharp s has its capital."""
+    pairs = {c: next((x for x in (c.upper(), c.title()) if len(x) == 1), c) for c in map(chr, range(sys.maxunicode + 1))} | {"ß": "ẞ"}
+    return tuple(map("".join, zip(*((c, x) for c, x in pairs.items() if c != x), strict=True)))
+
+
+def upper_by_character(c: Column) -> Column:
+    """Upper case of each character alone, so a text keeps its length, as in DuckDB; Spark's own makes SS of a sharp s."""
+    return F.translate(c, *_upper_pairs())
+
+
 def is_blank(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit("")) == ""
 

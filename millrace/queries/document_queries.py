@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITE_RE2, basename, features, normalise_space, tokens
+from ..functions.text import WHITE_RE2, basename, features, normalise_space, tokens, upper_by_character
 from ..functions.vectors import hashed_dense, norm, normalised, postings, squared_norms, with_vectors
 from ..operators import documents as D
 from ..operators.neighbours import index_vectors, nearest
@@ -149,7 +149,7 @@ _UPDATES_SQL = "updates AS (SELECT r.doc_id, r.source, upper(r.content) AS conte
 @query(f"WITH {RAW_SQL}, {chunks_sql()}, {_UPDATES_SQL}, {chunks_sql(raw='updates', out='fresh')} SELECT id, source, chunk_index, content, doc_id FROM chunks WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM updates) OR source IS NULL UNION ALL SELECT id, source, chunk_index, content, doc_id FROM fresh")
 def replace_documents(spark, sf_dir):
     spanish = table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id")
-    updates = raw_documents(spark, sf_dir).where("source is not null").join(spanish, "doc_id", "left_semi").select("doc_id", "source", F.upper("content").alias("content"))
+    updates = raw_documents(spark, sf_dir).where("source is not null").join(spanish, "doc_id", "left_semi").select("doc_id", "source", upper_by_character(F.col("content")).alias("content"))
     return D.replace(chunk_table(spark, sf_dir), updates).select("id", "source", "chunk_index", "content", "doc_id")
 
 

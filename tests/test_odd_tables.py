@@ -43,3 +43,7 @@ def test_upper_case_of_every_character(spark):
 
 def test_documents_replaced_by_capitals_with_a_sharp_s(same):
     same("replace_documents", documents=(SHARP, DOCUMENTS))
+
+
+def test_vectors_rebuilt_of_capitals_with_a_sharp_s(same):
+    same("rebuild_vectors", documents=(SHARP, DOCUMENTS))

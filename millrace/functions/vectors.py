@@ -36,6 +36,11 @@ def normalised(a: Column) -> Column:
     return F.when(norm(a) == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / norm(a)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero; what a negative number is rounded to keeps its sign, a zero too, as in DuckDB."""
+    return F.signum(x) * F.round(F.abs(x), digits)
+
+
 def squared_norms(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
 

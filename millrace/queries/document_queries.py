@@ -6,7 +6,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_RE2, basename, features, normalise_space, tokens, upper_by_character
-from ..functions.vectors import hashed_dense, norm, normalised, postings, squared_norms, with_vectors
+from ..functions.vectors import hashed_dense, norm, normalised, postings, rounded, squared_norms, with_vectors
 from ..operators import documents as D
 from ..operators.neighbours import index_vectors, nearest
 from ..operators.plugins import embed
@@ -217,7 +217,7 @@ def knn_indexed_l2(spark, sf_dir):
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings) SELECT vec_id, round(sqrt(list_inner_product(a, a)), 6) AS norm, list_transform(a, lambda x: round(x / sqrt(list_inner_product(a, a)), 6)) AS unit FROM v")
 def normalize_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"), F.transform(normalised(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return e.select("vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"), F.transform(normalised(F.col("embedding")), lambda x: rounded(x, 6)).alias("unit"))
 
 
 @query("SELECT vec_id, len(e) AS found FROM (SELECT vec_id, CASE WHEN label = 0 THEN embedding[1:63] ELSE embedding END AS e FROM embeddings) WHERE len(e) <> 64")

@@ -47,3 +47,8 @@ def test_documents_replaced_by_capitals_with_a_sharp_s(same):
 
 def test_vectors_rebuilt_of_capitals_with_a_sharp_s(same):
     same("rebuild_vectors", documents=(SHARP, DOCUMENTS))
+
+
+def test_small_negative_numbers_round_to_a_negative_zero(same):
+    rows = [(1, [1.0, -1e-8, 1e-8, 0.0]), (2, [-0.0, -3.0, 4.0, -4e-6]), (3, [-0.5, 0.5, -2e-6, 0.70710677])]
+    same("normalize_vectors", embeddings=(rows, "vec_id long, embedding array<float>"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import NO_CONTEXT, SETTINGS
 from ..functions.text import strip
-from ..functions.vectors import postings, squared_norms, term_counts, with_features
+from ..functions.vectors import term_counts, with_features
 from ..scratch import stored
 
 #: Rows of query postings that are broadcast at once, and query vectors held by a task at once.
@@ -38,65 +38,76 @@ def hashed_vectors(chunked: DataFrame, dimension: int = SETTINGS.dimension, rows
     return listed.mapInArrow(run, "id string, source string, chunk_index int, counts binary")
 
 
-def hashed_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k, dimension: int = SETTINGS.dimension) -> DataFrame:
+def vectors_of(queries: DataFrame, dimension: int) -> tuple[list[int], np.ndarray]:
+    """The ids and vectors of one block of queries (query_id, query)."""
+    asked = queries.select("query_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("chunk_index"), F.col("query").alias("content"))
+    rows = hashed_vectors(asked.withColumn("id", F.col("query_id").cast("string")), dimension).collect()
+    return [int(r.id) for r in rows], np.array([np.frombuffer(r.counts, "<i4") for r in rows], dtype=float).reshape(len(rows), dimension)
+
+
+HITS = pa.schema([("query_id", pa.int64()), ("distance", pa.float64()), ("id", pa.string()), ("source", pa.string()), ("chunk_index", pa.int32())])
+HIT_ROWS = "query_id long, distance double, id string, source string, chunk_index int"
+
+
+def nearest_rows(names: list[int], table: np.ndarray, wide: np.ndarray, chunks: tuple[list, list, list], k: int, meeting: bool = False, asked: np.ndarray | None = None) -> pa.RecordBatch:
+    """The k nearest of the chunks (ids, sources, places) with vectors ``wide`` to each query, as rows of ``HITS``.
+
+    With ``meeting`` only pairs that share a bucket count, with ``asked`` only those it is true of.
+    """
+    n, (ids, sources, places) = min(k, len(wide)) - 1, chunks
+    with np.errstate(divide="ignore", invalid="ignore"):  # whole numbers, exact in doubles
+        distance = 1 - (table @ wide.T) / (np.sqrt((table * table).sum(axis=1))[:, None] * np.sqrt((wide * wide).sum(axis=1))[None, :])
+    order = np.where(np.isnan(distance), np.inf, distance)
+    if asked is not None:
+        order[~asked] = np.inf
+    cut = np.partition(order, n, axis=1)[:, n]
+    if meeting:  # a pair that shares none has a distance of 1
+        far = np.flatnonzero(cut >= 1)
+        order[far] = np.where((table[far] != 0).astype(np.float32) @ (wide != 0).astype(np.float32).T > 0, order[far], np.inf)
+        cut[far] = np.partition(order[far], n, axis=1)[:, n]
+    some, out = meeting or asked is not None, []
+    for q, (name, limit) in enumerate(zip(names, cut, strict=True)):
+        close = order[q] <= limit
+        near = [(order[q, i], sources[i] is None, sources[i] or "", places[i] is None, places[i] or 0, ids[i], i) for i in np.flatnonzero(close & np.isfinite(order[q]) if some else close)]
+        out += [(name, float(distance[q, x[-1]]), x[-2], sources[x[-1]], places[x[-1]]) for x in sorted(near)[:k]]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(HITS)], schema=HITS)
+
+
+def hashed_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k, dimension: int = SETTINGS.dimension, meeting: bool = False) -> DataFrame:
     """(query_id, rank, distance, id, source, chunk_index): cosine distance of hashed term vectors, ties by source, index and id.
 
     Queries are (query_id, query), chunks (id, source, chunk_index, content) or the rows of
     ``hashed_vectors``.  Vectors of chunks never shuffle: blocks of at most ``BLOCK_VECTORS`` query
     vectors travel with the tasks and each slice of a batch passes on its best k per query.  Texts are
     read once; with several blocks their vectors are written and read again.  A chunk without terms has
-    distance NaN, which sorts last.
+    distance NaN, which sorts last; with ``meeting`` only chunks that share a bucket with a query have rows.
     """
-    schema = pa.schema([("query_id", pa.int64()), ("distance", pa.float64()), ("id", pa.string()), ("source", pa.string()), ("chunk_index", pa.int32())])
     vectors = chunked if "counts" in chunked.columns else hashed_vectors(chunked, dimension)
     split, parts = blocks(queries, "query_id", queries.count(), BLOCK_VECTORS), []
     if len(split) > 1 and vectors is not chunked:
         vectors = stored(vectors, "hashed-vectors")
     for part in split:
-        asked = part.select("query_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("chunk_index"), F.col("query").alias("content"))
-        rows = hashed_vectors(asked.withColumn("id", F.col("query_id").cast("string")), dimension).collect()  # one block of queries
-        if not rows:
+        names, table = vectors_of(part, dimension)
+        if not names:
             continue
-        names, table = [int(r.id) for r in rows], np.stack([np.frombuffer(r.counts, "<i4") for r in rows]).astype(float)
-        lengths = np.sqrt((table * table).sum(axis=1))
 
-        def search(batches, names=names, table=table, lengths=lengths):
+        def search(batches, names=names, table=table):
             for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-                wide = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i4").reshape(batch.num_rows, dimension).astype(float)  # whole numbers, exact in doubles
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    distance = 1 - (table @ wide.T) / (lengths[:, None] * np.sqrt((wide * wide).sum(axis=1))[None, :])
-                ids, sources, places = (batch.column(c).to_pylist() for c in ("id", "source", "chunk_index"))
-                order = np.where(np.isnan(distance), np.inf, distance)
-                cut = np.partition(order, min(k, batch.num_rows) - 1, axis=1)[:, min(k, batch.num_rows) - 1]
-                out = []
-                for q, (name, limit) in enumerate(zip(names, cut, strict=True)):
-                    near = [(order[q, i], sources[i] is None, sources[i] or "", places[i] is None, places[i] or 0, ids[i], i) for i in np.flatnonzero(order[q] <= limit)]
-                    out += [(name, float(distance[q, x[-1]]), x[-2], sources[x[-1]], places[x[-1]]) for x in sorted(near)[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], f.type) for n, f in enumerate(schema)], schema=schema)
-
-        parts.append(vectors.mapInArrow(search, "query_id long, distance double, id string, source string, chunk_index int"))
+                wide = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i4").reshape(batch.num_rows, dimension).astype(float)
+                yield nearest_rows(names, table, wide, tuple(batch.column(c).to_pylist() for c in ("id", "source", "chunk_index")), k, meeting)
+
+        parts.append(vectors.mapInArrow(search, HIT_ROWS))
     if not parts:
         return chunked.sparkSession.createDataFrame([], "query_id long, rank int, distance double, id string, source string, chunk_index int")
     return _ranked(reduce(DataFrame.unionByName, parts), k)
 
 
 def postings_topk(queries: DataFrame, chunked: DataFrame, k: int = SETTINGS.top_k, dimension: int = SETTINGS.dimension) -> DataFrame:
-    """The same by joining postings on their bucket; chunks that share no bucket with a query have no row.
+    """The same over the buckets that both sides have; chunks that share no bucket with a query have no row.
 
-    The query side's postings are broadcast, in blocks of a checked size.
+    Postings meet where a chunk is read, so neither they nor the pairs of query and chunk are ever rows.
     """
-    q = stored(postings(queries, "query_id", "query", dimension), "query-postings")
-    c = postings(chunked, "id", "content", dimension)
-    lengths = squared_norms(c, "id")
-    parts = []
-    for part in blocks(q, "query_id", q.count(), BROADCAST_ROWS):
-        query_lengths = part.groupBy("query_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("q2"))
-        side = part.join(query_lengths, "query_id").select("query_id", "bucket", F.col("weight").alias("qw"), "q2")
-        parts.append(c.join(F.broadcast(side), "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("dot"), F.first("q2").alias("q2")))
-    dots = reduce(DataFrame.unionByName, parts).join(lengths, "id")
-    scored = dots.select("query_id", "id", (1 - F.col("dot") / (F.sqrt(F.col("q2")) * F.sqrt(F.col("norm2")))).alias("distance"))
-    placed = scored.join(chunked.select("id", "source", "chunk_index"), "id")
-    return _ranked(placed, k)
+    return hashed_topk(queries, chunked, k, dimension, meeting=True)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:

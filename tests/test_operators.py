@@ -75,6 +75,28 @@ def test_retrieval_ties_zero_vectors_and_both_ways(spark):
     assert retrieval.context(q, retrieval.hashed_topk(q, chunks.limit(0), 3), chunks).first().context == NO_CONTEXT
 
 
+def test_postings_meet_without_rows_of_pairs(spark):
+    """Against sums over all pairs, with pairs whose common buckets cancel out and pairs without any; nothing is joined."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 5))) for _ in range(60)]
+    schema = "id string, source string, chunk_index int, content string"
+    chunks = spark.createDataFrame([(f"i{i}", rng.choice([None, "s", "t"]), rng.choice([None, 0, 1]), t) for i, t in enumerate(texts)], schema)
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "c", "f g e h", "zz", "", "d a"])], "query_id long, query string")
+    listed = lambda df, key, text: {(r[0], r.bucket): r.weight for r in V.postings(df, key, text, 13).collect()}
+    ours, theirs, place = listed(q, "query_id", "query"), listed(chunks, "id", "content"), {r.id: (r.source is None, r.source or "", r.chunk_index is None, r.chunk_index or 0) for r in chunks.collect()}
+    want, length = [], lambda of, name: math.sqrt(sum(w * w for (n, _), w in of.items() if n == name))
+    for a in range(6):
+        dots = {}
+        for (n, b), w in theirs.items():
+            if (a, b) in ours:
+                dots[n] = dots.get(n, 0) + w * ours[a, b]
+        near = sorted((1 - dot / (length(ours, a) * length(theirs, n)), *place[n], n) for n, dot in dots.items())
+        want += [(a, rank + 1, x[-1], x[0]) for rank, x in enumerate(near[:60])]
+    found = retrieval.postings_topk(q, chunks, 60, 13)
+    assert sorted((r.query_id, r.rank, r.id, r.distance) for r in found.collect()) == sorted(want) and any(x[-1] == 1 for x in want) and len(want) < 300
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
 def test_knn_zero_vector_sorts_last(spark):
     e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in retrieval.knn(e.where("vec_id = 1"), e, 3).orderBy("rank").collect()] == [1, 3, 2]

@@ -14,8 +14,8 @@ from ..functions.text import strip
 from ..functions.vectors import term_counts, with_features
 from ..scratch import stored
 
-#: Rows of query postings that are broadcast at once, and query vectors held by a task at once.
-BROADCAST_ROWS, BLOCK_VECTORS = 200_000, 2048
+#: Query vectors held by a task at once.
+BLOCK_VECTORS = 2048
 
 
 def blocks(df: DataFrame, key: str, rows: int, most: int) -> list[DataFrame]:

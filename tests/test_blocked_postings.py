@@ -1,8 +1,11 @@
 """Top-k over blocked postings against the search of all vectors, and what the bounds leave out."""
 
+import os
+import uuid
+
 import numpy as np
 
-from millrace.operators.blocked_postings import blocked_topk, blocks_read, index_postings
+from millrace.operators.blocked_postings import blocked_topk, blocks_read, index_postings, pack, unpack
 from millrace.operators.retrieval import hashed_topk
 
 CHUNKS = "id string, source string, chunk_index int, content string"
@@ -39,3 +42,21 @@ def test_fewer_chunks_than_asked_for_and_rows_without_terms(spark):
     assert [(r[0], r[1], r[2]) for r in _sorted(blocked_topk(queries, index, 5, first=1))] == [(7, 1, "1"), (7, 2, "2"), (7, 3, "3")]
     assert blocked_topk(queries.limit(0), index).count() == 0
     assert blocked_topk(queries, index_postings(chunks.limit(0))).count() == 0
+
+
+def _written(spark):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(spark.sparkContext.getConf().get("spark.local.dir")) for f in names)
+
+
+def test_index_and_search_write_less_than_the_texts(spark):
+    """Texts that share most words, as those of a language do; vectors of any size are packed as they are."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"word{n}" for n in rng.zipf(1.3, 300).clip(0, 5000)) for _ in range(1500)]
+    chunks = spark.createDataFrame([(str(uuid.UUID(int=i << 90)), f"s{i % 40}", i, t) for i, t in enumerate(texts)], CHUNKS)
+    queries = spark.createDataFrame([(i, " ".join(t.split()[:25])) for i, t in enumerate(texts[::30])], "query_id long, query string")
+    before = _written(spark)
+    found = _sorted(blocked_topk(queries, index_postings(chunks), 5))
+    assert _written(spark) - before < sum(map(len, texts))
+    assert found == _sorted(hashed_topk(queries, chunks, 5))
+    for most in (1, 127, 128, -128, 40000, 1 << 40):
+        assert unpack(pack(np.array([[0, most], [1, -1]])), 2).tolist() == [[0, most], [1, -1]]

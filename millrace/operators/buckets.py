@@ -75,10 +75,21 @@ class Buckets:
 
     def write(self, name: str, rows: DataFrame, key: str, batch: int, by: list[str]) -> tuple[DataFrame, list[int]]:
         """New files of a table, split evenly however many rows share a key; the rows as written, and their buckets."""
+        self._save(name, rows.withColumn("bucket", self.bucket(key)).repartitionByRange("bucket", *by), batch, "overwrite")
+        return self.written(name, batch)
+
+    def keep(self, name: str, rows: DataFrame, key: str, batch: int, more: bool) -> None:
+        """New files of rows that were read from their buckets, without a shuffle, as a bucket's files are split evenly; ``more`` adds to what the batch wrote."""
+        self._save(name, rows.withColumn("bucket", self.bucket(key)), batch, "append" if more else "overwrite")
+
+    def _save(self, name: str, placed: DataFrame, batch: int, mode: str) -> None:
+        placed.drop("_key").write.mode(mode).option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}/batch={batch}")
+
+    def written(self, name: str, batch: int) -> tuple[DataFrame, list[int]]:
+        """The rows that a batch wrote, and their buckets."""
         path = f"{self.path}/{name}/batch={batch}"
-        rows.withColumn("bucket", self.bucket(key)).repartitionByRange("bucket", *by).drop("_key").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        written = self.spark.read.schema(f"{self.schemas[name]}, bucket int").option("basePath", path).parquet(path)
-        return written.drop("bucket"), [r.bucket for r in written.select("bucket").distinct().toLocalIterator()]
+        rows = self.spark.read.schema(f"{self.schemas[name]}, bucket int").option("basePath", path).parquet(path)
+        return rows.drop("bucket"), [r.bucket for r in rows.select("bucket").distinct().toLocalIterator()]
 
     def replace(self, state: State, name: str, old: list[int], batch: int, new: list[int]) -> None:
         """From now on the ``old`` buckets hold only what ``batch`` wrote, and ``new`` ones that too."""

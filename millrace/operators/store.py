@@ -9,7 +9,9 @@ A document is all chunks of one source; a chunk without a source is a document o
 Every change is a batch with a number.  It writes new files and, last, a marker that lists the files which make up each
 bucket from then on, with the totals of the whole store; what has no marker is never read.  A batch that is committed
 already changes nothing and gives its report again, so retried jobs add nothing.  Appending writes new files only; an
-update or a deletion reads and rewrites the buckets of the documents it touches, and no others.
+update or a deletion reads and rewrites the buckets of the documents it touches, and no others.  Contents that stay or
+are cut again are picked out where they are read, by keys that are broadcast for as many buckets at once as have
+``BROADCAST_KEYS`` of them (a bucket that has more alone is joined by shuffle); only new chunks are dealt out.
 
 ``buckets`` is fixed when the store is made: a few times the cores of the cluster, or more for a very large store.
 """
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from ..functions.text import UUID_PATTERN, source_label, strip
-from ..scratch import stored
+from ..scratch import folder, stored
 from ..sources.ingest import to_chunks
 from .buckets import Buckets, State
 from .documents import rechunk
 
 SCHEMAS = {"chunks": "id string, source string, chunk_index int, content string", "documents": "doc_key string, source string, chunk_count bigint", "ids": "id string, doc_key string"}
+#: Keys that are broadcast at once.
+BROADCAST_KEYS = 200_000
 TOTALS = ("documents", "chunks", "sources")
 UPDATED, DELETED, MISSING, BLANK, SUPERSEDED = "updated", "deleted", "missing", "blank", "superseded"
 
@@ -126,7 +130,7 @@ class DocumentStore(Buckets):
         """Remove the documents of ``keys`` (key: a chunk id or a source).  The report: (key, status, chunks)."""
         state = self.begun(batch)
         if state is not None:
-            found = self._resolved(state, keys)
+            found = self._resolved(state, keys)  # stored
             touched = self.buckets_of("doc_key", found)
             counts = self.table(state, "documents", touched).groupBy("doc_key").agg(F.sum("chunk_count").alias("chunks"))
             told = keys.select("key").distinct().join(found, "key", "left").join(counts, "doc_key", "left")
@@ -143,38 +147,60 @@ class DocumentStore(Buckets):
         state = self.begun(batch)
         if state is not None:
             seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
-            asked = changes.select("key", "content", F.nullif("source", F.lit("")).alias("new_source"), seq.cast("long").alias("seq"), strip(F.col("content")).alias("clean"))
+            asked = changes.select("key", "content", F.nullif("source", F.lit("")).alias("new_source"), seq.cast("long").alias("seq"))
             found = asked.join(self._resolved(state, asked), "key", "left")
             last = Window.partitionBy("doc_key").orderBy(F.desc("seq"), "key", "content")
-            ranked = found.withColumn("nth", F.when(F.col("doc_key").isNotNull(), F.row_number().over(last)))
+            ranked = found.withColumn("nth", F.when(F.col("doc_key").isNotNull(), F.row_number().over(last))).withColumn("clean", strip(F.col("content")))
             status = F.when(F.col("doc_key").isNull(), MISSING).when(F.col("nth") > 1, SUPERSEDED).when(F.col("clean") == "", BLANK).otherwise(UPDATED)
-            marked = stored(ranked.withColumn("status", status), "changes")
+            marked = stored(ranked.select("key", "doc_key", "new_source", status.alias("status"), F.col("content").isNotNull().alias("given"), F.when(status == UPDATED, F.col("clean")).alias("content")), "changes", "zstd")
             good = marked.where(F.col("status") == UPDATED)
-            old = self.table(state, "chunks", self.buckets_of("doc_key", good)).withColumn("doc_key", doc_key())
-            whole = good.where("content is not null").select("doc_key", "new_source", F.col("clean").alias("content"))
-            sources = old.select("doc_key", F.nullif("source", F.lit("")).alias("source")).distinct()
-            given = whole.join(sources, "doc_key").select(F.col("doc_key").alias("doc_id"), F.coalesce("new_source", "source").alias("source"), "content")
-            again = old.join(good.where("content is null").select("doc_key", "new_source"), "doc_key").withColumn("source", F.coalesce("new_source", F.nullif("source", F.lit(""))))
-            made = stored(to_chunks(given, **self.cut).unionByName(rechunk(again, key="doc_key", named_by=F.col("doc_id"), **self.cut)), "made")
-            fresh = stored(self._embedded(made).join(made.select("id", F.col("doc_id").alias("_from")), "id"), "fresh")
+            touched = self.buckets_of("doc_key", good)
+            sources = self.table(state, "documents", touched).select("doc_key", "source").distinct()
+            given = good.where("given").join(sources, "doc_key").select(F.col("doc_key").alias("doc_id"), F.coalesce("new_source", "source").alias("source"), "content")
+            again = self._picked(state, good.where("not given").select("doc_key", "new_source")).withColumn("source", F.coalesce("new_source", F.nullif("source", F.lit(""))))
+            made = stored(to_chunks(given, **self.cut).unionByName(rechunk(again, key="doc_key", named_by=F.col("doc_id"), **self.cut)), "made", "zstd").withColumnRenamed("doc_id", "_from")
+            fresh = stored(self._embedded(made).join(made.select("id", "_from"), "id"), "fresh", "zstd") if self.embedder else made
             counts = fresh.groupBy(F.col("_from").alias("doc_key")).agg(F.count(F.lit(1)).alias("chunks"))
             # a document whose chunks hold nothing but white space stays as it is
-            hollow = good.where("content is null").join(counts, "doc_key", "left_anti").select("key")
+            hollow = good.where("not given").join(counts, "doc_key", "left_anti").select("key")
             told = marked.join(hollow.withColumn("hollow", F.lit(True)), "key", "left").withColumn("status", F.when(F.col("hollow") & (F.col("status") == UPDATED), BLANK).otherwise(F.col("status")))
             report = told.join(counts, "doc_key", "left").select("key", "status", F.when(F.col("status") == UPDATED, F.coalesce("chunks", F.lit(0))).otherwise(0).cast("long").alias("chunks"))
-            gone = good.join(counts, "doc_key", "left_semi").select("doc_key").distinct()
+            gone = stored(good.join(counts, "doc_key", "left_semi").select("doc_key").distinct(), "gone")
             self._rewrite(batch, state, gone, fresh.drop("_from"), report, None)
         return self._report(batch)
 
+    def _groups(self, keys: DataFrame, buckets: list[int]) -> list[tuple[list[int], DataFrame]]:
+        """``buckets`` in groups, each with its rows of ``keys`` (doc_key, ...), to be broadcast but for those of a bucket that has too many."""
+        counts = {r.b: r["count"] for r in keys.groupBy(self.bucket("doc_key").alias("b")).count().toLocalIterator()}  # a row for each bucket
+        groups: list[tuple[list[int], int]] = []
+        for b in buckets:
+            n = counts.get(b, 0)
+            if groups and groups[-1][1] + n <= BROADCAST_KEYS:
+                groups[-1] = ([*groups[-1][0], b], groups[-1][1] + n)
+            else:
+                groups.append(([b], n))
+        return [(group, F.broadcast(part) if n <= BROADCAST_KEYS else part) for group, n in groups for part in [keys.where(self.bucket("doc_key").isin(group))]]
+
+    def _picked(self, state: State, keys: DataFrame) -> DataFrame:
+        """The chunks of the documents of ``keys`` (doc_key, new_source), with the columns of both, written apart."""
+        path, columns = folder(self.spark, "picked"), "id string, source string, chunk_index int, content string"
+        for group, part in self._groups(keys, self.buckets_of("doc_key", keys)):
+            there = self.table(state, "chunks", group).select("id", "source", "chunk_index", "content").withColumn("doc_key", doc_key())
+            there.join(part, "doc_key").write.mode("append").option("compression", "zstd").parquet(path)
+        self.spark.createDataFrame([], f"doc_key string, {columns}, new_source string").write.mode("append").parquet(path)
+        return self.spark.read.schema(f"doc_key string, {columns}, new_source string").parquet(path)
+
     def _rewrite(self, batch: int, state: State, gone: DataFrame, fresh: DataFrame | None, report: DataFrame, touched: list[int] | None) -> None:
         if touched is None:
             touched = self.buckets_of("doc_key", gone, fresh.select(doc_key().alias("doc_key")))
         report = stored(report, "report")
-        kept = self.table(state, "chunks", touched).withColumn("_key", doc_key()).join(gone.select(F.col("doc_key").alias("_key")).distinct(), "_key", "left_anti")
-        rows = kept if fresh is None else kept.unionByName(fresh.withColumn("_key", doc_key()))
         if touched:
-            written, buckets = self.write("chunks", rows, "_key", batch, ["id"])
-            state = self._grown(batch, state, written, buckets, touched)
+            if fresh is not None:
+                self.write("chunks", fresh.withColumn("_key", doc_key()), "_key", batch, ["id"])
+            for n, (group, part) in enumerate(self._groups(gone.select("doc_key"), touched)):
+                kept = self.table(state, "chunks", group).withColumn("_key", doc_key()).join(part.withColumnRenamed("doc_key", "_key"), "_key", "left_anti")
+                self.keep("chunks", kept, "_key", batch, more=n > 0 or fresh is not None)
+            state = self._grown(batch, state, *self.written("chunks", batch), touched)
         self._finish(batch, state, report)
 
     def _report(self, batch: int) -> DataFrame:
@@ -184,7 +210,8 @@ class DocumentStore(Buckets):
         """Join the files of every bucket, and forget the ids of chunks that are gone."""
         state = self.begun(batch)
         if state is not None:
-            nobody = self.spark.createDataFrame([], "doc_key string")
             for key in [k for k in state.files if k[0] == "ids"]:
                 del state.files[key]
-            self._rewrite(batch, state, nobody, None, self.spark.createDataFrame([], "key string, status string, chunks bigint"), list(range(self.buckets)))
+            written, buckets = self.write("chunks", self.chunks().withColumn("_key", doc_key()), "_key", batch, ["id"])
+            report = self.spark.createDataFrame([], "key string, status string, chunks bigint")
+            self._finish(batch, self._grown(batch, state, written, buckets, list(range(self.buckets))), report)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.vectors import with_vectors
+from millrace.operators import store as S
 from millrace.operators.documents import dashboard, listing, rechunk, rollup
 from millrace.operators.store import DocumentStore
 from millrace.sources.ingest import to_chunks
@@ -125,6 +126,39 @@ def test_only_new_chunks_are_embedded_and_compaction_keeps_rows(spark, tmp_path)
     assert store.committed() == [0, 1, 2, 3, 4]
 
 
+def _disk(spark):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(spark.sparkContext.getConf().get("spark.local.dir")) for f in names)
+
+
+def test_changes_write_contents_once_more_and_do_not_shuffle_what_stays(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(2000)) for _ in range(200)]
+    raw, whole = spark.createDataFrame([(i, f"{i}.txt", t) for i, t in enumerate(texts)], RAW), sum(map(len, texts))
+    store = DocumentStore(spark, f"{spark.conf.get('spark.checkpoint.dir')}/{os.urandom(8).hex()}", buckets=4)
+    store.append(0, raw)
+    before = _disk(spark)
+    changes = [(f"{i}.txt", None if i % 4 == 1 else texts[i][::-1], None, 1) for i in range(200) if i % 2]
+    store.update(1, spark.createDataFrame(changes, CHANGE))
+    store.delete(2, spark.createDataFrame([("0.txt",), ("2.txt",)], "key string"))
+    assert _disk(spark) - before < 2.3 * whole
+    assert store.dashboard().first().sources == 198
+    agrees(store)
+
+
+@pytest.mark.parametrize("most", [0, 1])
+def test_groups_of_buckets_give_the_same_store(spark, store, tmp_path, monkeypatch, most):
+    other = DocumentStore(spark, str(tmp_path / "other"), buckets=8, size=10, overlap=4)
+    other.append(0, spark.createDataFrame(ROWS, RAW))
+    alone = [r.id for r in store.chunks().where("source is null").orderBy("chunk_index").collect()]
+    changes = spark.createDataFrame([("a.txt", None, "z.txt", 1), (alone[0], "new text here", None, 1), ("b.txt", "bumble bee", None, 1), (alone[1], None, None, 1)], CHANGE)
+    gone = spark.createDataFrame([("z.txt",), (alone[2],)], "key string")
+    told_by_one = [told(store.update(1, changes)), told(store.delete(2, gone))]
+    monkeypatch.setattr(S, "BROADCAST_KEYS", most)
+    assert [told(other.update(1, changes)), told(other.delete(2, gone))] == told_by_one
+    assert sorted(map(str, other.chunks().collect())) == sorted(map(str, store.chunks().collect()))
+    agrees(other)
+
+
 @pytest.mark.parametrize("size, overlap", [(1, 0), (2, 0), (5, 2), (7, 9), (40, 10)])
 def test_rechunk_equals_cutting_the_joined_text(spark, size, overlap):
     rng = random.Random(size)
